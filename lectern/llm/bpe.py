@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +32,7 @@ _CHUNKS = regex.compile(f"[^{_BLANK}]+")
 #: Fixed pattern of the word vocabulary.
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
 #: Chunks remembered by a worker; beyond this its memory starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 
 def byte_letters() -> list[str]:
@@ -64,18 +65,38 @@ class WordBPE:
         self.joined = {a + b for t in bodies for a, b in zip(t, t[1:])}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> Iterator[tuple[str, bool]]:
         """Pieces of a word in byte letters between forced boundaries; True: the word ends with it."""
-        start = 0
-        for k in range(1, len(word)):
-            if word[k - 1 : k + 1] not in self.joined:
+        joined, start = self.joined, 0
+        for k, pair in enumerate(map(str.__add__, word, word[1:]), 1):
+            if pair not in joined:
                 yield word[start:k], False
                 start = k
         yield word[start:], True
 
     def merged(self, fragment: str, last: bool) -> list[str]:
         """Symbols after all merges, lowest rank and then leftmost first."""
+        if len(fragment) > 48:
+            return self._merged_long(fragment, last)
+        parts, ranks = list(fragment), self.ranks
+        if last:
+            parts[-1] += self.end
+        never = len(ranks)
+        at = [ranks.get(x, never) for x in zip(parts, parts[1:])]
+        while at and (low := min(at)) < never:
+            k = at.index(low)
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            del at[k]
+            if k:
+                at[k - 1] = ranks.get((parts[k - 1], parts[k]), never)
+            if k < len(at):
+                at[k] = ranks.get((parts[k], parts[k + 1]), never)
+        return parts
+
+    def _merged_long(self, fragment: str, last: bool) -> list[str]:
+        """The same with a heap and links between live symbols."""
         parts: list[str | None] = list(fragment)
         if last:
             parts[-1] += self.end
@@ -97,15 +118,28 @@ class WordBPE:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p is not None]
 
+    def piece(self, piece: str) -> bytes:
+        """Ids, as little-endian 32-bit integers, of one piece of the splitting pattern."""
+        found = self.pieces.get(piece)
+        if found is None:
+            word = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
+            ids = [i for f, last in self.fragments(word) for s in self.merged(f, last) if (i := self.ids.get(s)) is not None]
+            found = array("I", ids).tobytes()
+            if len(piece) <= 48:
+                if len(self.pieces) >= REMEMBERED:
+                    self.pieces.clear()
+                self.pieces[piece] = found
+        return found
+
     def chunk(self, raw: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of a text without white space."""
-        normal = raw.lower() if raw.isascii() else self.normal.normalize_str(raw)
-        out = []
-        for piece in _PIECES.findall(normal):
-            word = "".join(map(self.letters.__getitem__, piece.encode()))
-            for fragment, last in self.fragments(word):
-                out += [i for s in self.merged(fragment, last) if (i := self.ids.get(s)) is not None]
-        return b"".join(i.to_bytes(4, "little") for i in out)
+        """Ids of a text without white space."""
+        if raw.isascii():
+            normal = raw.lower()
+            if normal.isalpha():
+                return self.piece(normal)
+        else:
+            normal = self.normal.normalize_str(raw)
+        return b"".join(map(self.piece, _PIECES.findall(normal)))
 
     def plain(self, text: str) -> bytes:
         known, out = self.known, []
@@ -149,42 +183,58 @@ def loaded(path: str) -> WordBPE:
     return _LOADED[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text") -> DataFrame:
-    """``keep`` columns, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``."""
+def _portions(b: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    for k in range(0, b.num_rows, rows):
+        yield b.slice(k, rows)
+
+
+def _slim(docs: DataFrame, keep: tuple[str, ...], text: str) -> DataFrame:
     python_workers_see_library(docs.sparkSession)
-    slim = docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_t"))
-    out = T.StructType([*slim.schema.fields[:-1], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())])
+    return docs.select(*[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text), F.lit("")).alias("_t"))
+
+
+def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",), text: str = "text", decoded: bool = False) -> DataFrame:
+    """``keep`` columns, ``ids`` (little-endian unsigned 32-bit integers) and ``n_tokens``.
+
+    ``decoded``: the text that :func:`decode` makes of the ids comes with them, in the same pass.
+    """
+    slim = _slim(docs, keep, text)
+    more = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    more += [T.StructField("decoded", T.StringType())] * decoded
+    out = T.StructType([*slim.schema.fields[:-1], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for b in batches:
-            ids = [bpe.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
-            counts = pa.array([len(x) // 4 for x in ids], pa.int64())
-            names = [*b.schema.names[:-1], "ids", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(ids, pa.binary()), counts], names=names)
+        for batch in batches:
+            for b in _portions(batch):
+                ids = [bpe.encode(t) for t in b.column(b.num_columns - 1).to_pylist()]
+                made = [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decoded:
+                    made.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=out.names)
 
     return slim.mapInArrow(run, out).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
-    """All columns and ``decoded``, the text of ``ids``."""
+    """All columns and ``decoded``, the text of ``ids``; null ids are no tokens."""
     python_workers_see_library(encoded.sparkSession)
     out = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.StringType())])
     at = encoded.columns.index("ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        for b in batches:
-            texts = [bpe.decode(x or b"") for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, "decoded"])
+        for batch in batches:
+            for b in _portions(batch):
+                texts = [bpe.decode(x or b"") for x in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=out.names)
 
     return encoded.mapInArrow(run, out)
 
 
 def digests(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_tokens and the hashes of ids and decoded text."""
-    both = decode(encode(docs, tokenizer, keep), tokenizer)
-    return both.select(
+    return encode(docs, tokenizer, keep, decoded=True).select(
         *keep,
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
