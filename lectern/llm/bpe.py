@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from lectern.llm._common import python_workers_see_library
 
 #: White space of the splitting pattern (Unicode White_Space).
-_BLANK = r"\t-\r \x85\xa0  -     　"
+_BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = regex.compile(f"[^{_BLANK}]+")
 #: Fixed pattern of the word vocabulary.
 _PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
