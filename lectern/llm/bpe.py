@@ -29,8 +29,8 @@ from lectern.llm._common import python_workers_see_library
 #: White space of the splitting pattern (Unicode White_Space).
 _BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = regex.compile(f"[^{_BLANK}]+")
-#: Fixed pattern of the word vocabulary.
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_BLANK}\p{{L}}\p{{N}}]+")
+#: Fixed pattern of the word vocabulary, over lower-case ASCII.
+_PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Chunks remembered by a worker; beyond this its memory starts afresh.
 REMEMBERED = 200_000
 
@@ -59,13 +59,14 @@ class WordBPE:
         self.ranks = {m: k for k, m in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.normal = Tokenizer.from_file(path).normalizer
+        library = Tokenizer.from_file(path)
+        self.normal, self.splitter = library.normalizer, library.pre_tokenizer
         self.letters = byte_letters()
         bodies = [t[: -len(self.end)] if self.end and t.endswith(self.end) else t for t in self.ids]
         self.joined = {a + b for t in bodies for a, b in zip(t, t[1:])}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def fragments(self, word: str) -> Iterator[tuple[str, bool]]:
         """Pieces of a word in byte letters between forced boundaries; True: the word ends with it."""
@@ -118,28 +119,29 @@ class WordBPE:
                     heapq.heappush(heap, (r, x, parts[x], parts[y]))
         return [p for p in parts if p is not None]
 
-    def piece(self, piece: str) -> bytes:
-        """Ids, as little-endian 32-bit integers, of one piece of the splitting pattern."""
-        found = self.pieces.get(piece)
+    def word(self, word: str) -> bytes:
+        """Ids, as little-endian 32-bit integers, of one piece of the splitting pattern in byte letters."""
+        found = self.words.get(word)
         if found is None:
-            word = piece if piece.isascii() and piece.isprintable() else "".join(map(self.letters.__getitem__, piece.encode()))
             ids = [i for f, last in self.fragments(word) for s in self.merged(f, last) if (i := self.ids.get(s)) is not None]
             found = array("I", ids).tobytes()
-            if len(piece) <= 48:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = found
+            if len(word) <= 48:
+                if len(self.words) >= REMEMBERED:
+                    self.words.clear()
+                self.words[word] = found
         return found
 
     def chunk(self, raw: str) -> bytes:
-        """Ids of a text without white space."""
-        if raw.isascii():
+        """Ids of a text without white space.
+
+        Beyond ASCII the file's own normaliser and splitter decide, since they
+        follow another Unicode version than Python.
+        """
+        if raw.isascii() and raw.isprintable():
             normal = raw.lower()
-            if normal.isalpha():
-                return self.piece(normal)
-        else:
-            normal = self.normal.normalize_str(raw)
-        return b"".join(map(self.piece, _PIECES.findall(normal)))
+            return self.word(normal) if normal.isalpha() else b"".join(map(self.word, _PIECES.findall(normal)))
+        pieces = self.splitter.pre_tokenize_str(self.normal.normalize_str(raw))
+        return b"".join(self.word(w) for w, _ in pieces)
 
     def plain(self, text: str) -> bytes:
         known, out = self.known, []

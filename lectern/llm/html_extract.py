@@ -165,7 +165,7 @@ def main_container(root: _Node) -> list[_Node]:
 
     for node in order:
         own_text = node.tag in ("p", "pre", "td", "blockquote", "h1", "h2", "h3", "li") or (
-            node.tag in _BLOCKS and any(isinstance(c, str) and c.strip() for c in node.children)
+            (node.tag in _BLOCKS or node.parent is None) and any(isinstance(c, str) and c.strip() for c in node.children)
         )
         if own_text and node.length:
             points = (1 + node.commas + min(node.length / 100, 3)) * (1 - _density(node))
