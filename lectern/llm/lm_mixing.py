@@ -3,17 +3,19 @@
 The model gives the probability of a text's words, spelled byte by byte, with a
 blank after each word and a line end after the last. A byte is a walk down a
 Huffman tree of the training bytes; each turn is a bit that several predictors
-judge, each from its own hashed context: the last two, three and five bytes,
-and the whole word so far. Predictors are counts of both turns in tables of a
-fixed size. Their log-odds are combined by weights that a gate picks (how much
-each context has been seen), learned online in small steps, with the current
-occurrence left out of the counts; an adaptive map then refines the mixture.
-
-What is gathered from the corpus grows with it: training words, with the last
-byte before them, are counted over all training documents into a staged table,
-from which vocabulary, bit counts, weights and map are all drawn. The base
-model's word counts are exact for every word: the most frequent ``head`` words
-go to the tasks, all others are met by a join.
+judge, each from its own hashed context: the last two, three and five bytes of
+the word, and all of it so far. Predictors are counts of both turns in tables
+of a fixed size. Their log-odds are combined by weights that a gate picks (how
+much each context has been seen), learned online in small steps, with the
+current occurrence left out of the counts; an adaptive map then refines the
+mixture. Contexts end at the blank, so a word's bits are the same wherever it
+stands: they are summed once for each distinct word of the corpus.
+
+What is gathered from the corpus grows with it: words are counted over all
+documents, training and held out apart, into a staged table, from which
+vocabulary, bit counts, weights and map are all drawn. Every word then has its
+exact training count and its bits in one lexicon; the ``head`` most frequent
+words go to the tasks, all others are met by a join.
 
 Defined results: a null or empty text is the end token alone. A null id counts
 as an empty text for the split. Repeated rows are learned and scored each time.
@@ -47,43 +49,44 @@ _GATES = 64
 _STEPS = 24  # buckets of the adaptive map, over log-odds from -12 to 12
 _EVEN = 0.05  # added to the counts of both turns
 _BLOCK = 8192  # table slots that travel together
-_REMEMBERED = 300_000
 
 
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
 
 
-def units_of(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """Words, and units: each word with the last byte before it, then the last byte alone for the end."""
-    words = (text or "").encode().lower().split()
-    before = [b"\n", *[w[-1:] for w in words]]
-    return words, [*map(bytes.__add__, before, words), before[-1]]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
 
 
-def unit_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
-    """(unit, c) over the training documents; tasks count before anything is sent."""
+def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
+    """(word, c, held): counts in training and held-out documents; the end token is the empty word.
+
+    Tasks count before anything is sent.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
 
-        def out() -> pa.RecordBatch:
-            done = pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["unit", "c"]
-            )
-            seen.clear()
-            return done
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, counts in enumerate(seen):
+                values = pa.array(list(counts.values()), pa.int64())
+                zero = pa.array(np.zeros(len(counts), np.int64))
+                pair = [zero, values] if k else [values, zero]
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *pair], names=["word", "c", "held"])
+                counts.clear()
 
         for b in batches:
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not held_out(doc_id):
-                    seen.update(units_of(text)[1])
-                    if len(seen) >= room:
-                        yield out()
-        if seen:
-            yield out()
+                counts = seen[held_out(doc_id)]
+                counts.update(words_of(text))
+                counts[b""] += 1
+                if len(counts) >= room:
+                    yield from out()
+        yield from out()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "unit binary, c long").groupBy("unit").agg(F.sum("c").alias("c"))
+    counted = docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, held long")
+    return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
 @dataclass
@@ -94,6 +97,9 @@ class Tree:
     node: np.ndarray
     turn: np.ndarray
 
+    def __post_init__(self):
+        self.salted = ((self.node.reshape(-1) + 1) * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)
+
     @classmethod
     def of(cls, counts: np.ndarray) -> Tree:
         heap = [(int(c) + 1, k, k) for k, c in enumerate(counts)]
@@ -120,50 +126,47 @@ class Tree:
         return cls(np.array([len(paths[b]) for b in range(256)]), node, turn)
 
 
-def bits_of(units: list[bytes], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For every bit of the units' spelling: its unit, its slot in each table, its turn."""
-    spelled = [u + (b" " if len(u) > 1 else b"\n") for u in units]
+def bits_of(words: list[bytes], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For every bit of the words' spelling: its word, its slot in each table, its turn."""
+    spelled = [w + b" " if w else b"\n" for w in words]
     raw = np.frombuffer(b"".join(spelled), np.uint8)
     sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
     start = np.repeat(np.cumsum(sizes) - sizes, sizes)
     place = np.arange(len(raw)) - start
     wide = raw.astype(np.uint64) + _U(1)
     power = np.concatenate([[_U(1)], np.cumprod(np.full(int(sizes.max()), _BASE))])
-    rolled = np.cumsum(wide * power[place])  # wraps around, as a hash may
-    lead = np.concatenate([[_U(0)], rolled])
-
-    def last(k: int) -> np.ndarray:
-        """Hash of up to k bytes before each byte."""
-        h = np.zeros(len(raw), np.uint64)
-        for j in range(1, k + 1):
-            h = h * _U(257) + np.where(place >= j, np.roll(wide, j), _U(0))
-        return h
-
-    coded = np.flatnonzero(place > 0)
-    word = lead[coded] - lead[start[coded] + 1]  # bytes after the first, before this one
-    context = [last(2)[coded], last(3)[coded], last(5)[coded], word]
-    byte = raw[coded]
-    depth = tree.length[byte]
-    at = np.repeat(np.arange(len(byte)), depth)
-    step = np.arange(len(at)) - np.repeat(np.cumsum(depth) - depth, depth)
-    node = tree.node[byte[at], step].astype(np.uint64)
-    turn = tree.turn[byte[at], step]
+    rolled = np.concatenate([[_U(0)], np.cumsum(wide * power[place])])  # wraps around, as a hash may
+    near, h = {}, np.zeros(len(raw), np.uint64)
+    for j in range(1, 6):
+        h = h * _U(257) + np.where(place >= j, np.roll(wide, j), _U(0))
+        near[j] = h
+    contexts = (near[2], near[3], near[5], rolled[:-1] - rolled[start])  # the last: bytes of the word before this one
+    depth = tree.length[raw]
+    at = np.repeat(np.arange(len(raw), dtype=np.int32), depth)
+    step = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(depth) - depth).astype(np.int32), depth)
+    cell = raw[at].astype(np.int32) * tree.node.shape[1] + step
+    node = tree.salted[cell]
+    turn = tree.turn.reshape(-1)[cell]
     slots = []
-    for c, mix, bits in zip(context, _MIX, TABLE_BITS):
+    for c, mix, bits in zip(contexts, _MIX, TABLE_BITS):
         c = c * mix
         c ^= c >> _U(31)
-        h = (c[at] + node * _MIX[0]) * mix
-        slots.append(((h ^ (h >> _U(29))) * _MIX[1] >> _U(64 - bits)).astype(np.int64))
-    unit = np.repeat(np.arange(len(units)), sizes)[coded][at]
-    return unit, slots, turn
-
-
-def _portions(units: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """Runs of units with about ``most`` bytes."""
+        h = ((c * mix) >> _U(32)).astype(np.uint32)[at]
+        h ^= node
+        h *= np.uint32(0x9E3779B1)
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA77)
+        slots.append((h >> np.uint32(32 - bits)).astype(np.int32))
+    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[at]
+    return word, slots, turn
+
+
+def _portions(words: list[bytes], most: int) -> Iterator[list[bytes]]:
+    """Runs of words with about ``most`` bytes."""
     part, size = [], 0
-    for u in units:
-        part.append(u)
-        size += len(u) + 1
+    for w in words:
+        part.append(w)
+        size += len(w) + 1
         if size >= most:
             yield part
             part, size = [], 0
@@ -171,11 +174,11 @@ def _portions(units: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield part
 
 
-def byte_counts(units: DataFrame) -> np.ndarray:
+def byte_counts(words: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for b in batches:
-            spelled = [u[1:] + b" " if len(u) > 1 else b"\n" for u in b.column(0).to_pylist()]
+            spelled = [w + b" " if w else b"\n" for w in b.column(0).to_pylist()]
             raw = np.frombuffer(b"".join(spelled), np.uint8)
             each = np.repeat(b.column(1).to_numpy().astype(float), [len(x) for x in spelled])
             total += np.bincount(raw, each, 256)
@@ -183,18 +186,18 @@ def byte_counts(units: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["byte", "c"])
 
     out = np.zeros(256, np.int64)
-    for r in units.mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect():
+    for r in words.mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect():
         out[r["byte"]] = r["c"]
     return out
 
 
-def bit_counts(units: DataFrame, tree: Tree) -> list[np.ndarray]:
+def bit_counts(words: DataFrame, tree: Tree) -> list[np.ndarray]:
     """Counts of both turns for every slot of every table, summed over all tasks.
 
     The tables have a fixed size; they travel in blocks, summed by 64 tasks'
     parts at a time first, so that no group grows with the number of tasks.
     """
-    spark = units.sparkSession
+    spark = words.sparkSession
     held = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,9 +207,9 @@ def bit_counts(units: DataFrame, tree: Tree) -> list[np.ndarray]:
         for b in batches:
             names, counts = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float32)
             first = 0
-            for part in _portions(names, 60_000):
-                unit, slots, turn = bits_of(part, held.value)
-                weight = counts[first + unit]
+            for part in _portions(names, 16_000):
+                word, slots, turn = bits_of(part, held.value)
+                weight = counts[first + word]
                 first += len(part)
                 for t, s in zip(tables, slots):
                     np.add.at(t.reshape(-1), s + turn.astype(np.int64) * t.shape[1], weight)
@@ -215,27 +218,32 @@ def bit_counts(units: DataFrame, tree: Tree) -> list[np.ndarray]:
             blocks = t.reshape(2, -1, min(_BLOCK, t.shape[1]))
             for j in range(blocks.shape[1]):
                 if blocks[:, j].any():
-                    packed = [blocks[:, j].tobytes()]
+                    packed = [blocks[:, j].astype(np.float64).tobytes()]
                     arrays = [pa.array([k]), pa.array([j]), pa.array([part]), pa.array(packed, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
 
-    def summed(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.float32).astype(np.float64) for x in group.column("counts"))
-        out = pa.array([total.astype(np.float32).tobytes()], pa.binary())
-        first = group.slice(0, 1)
-        return pa.table([first.column("t"), first.column("block"), first.column("part"), out], names=group.schema.names)
-
     schema = "t long, block long, part long, counts binary"
-    parts = units.mapInArrow(run, schema)
-    parts = parts.groupBy("t", "block", "part").applyInArrow(summed, schema).withColumn("part", F.lit(0).cast("long"))
+    parts = _summed(_summed(words.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long")))
     out = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
-    for r in parts.groupBy("t", "block", "part").applyInArrow(summed, schema).toLocalIterator():
+    for r in parts.collect():
         t = out[r["t"]]
         size = min(_BLOCK, t.shape[1])
-        t[:, r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["counts"], np.float32).reshape(2, size)
+        t[:, r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["counts"]).reshape(2, size)
     return out
 
 
+def _summed(parts: DataFrame) -> DataFrame:
+    """(t, block, part, counts): packed doubles added up within a group."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer()) for x in group.column("counts"))
+        first = group.slice(0, 1)
+        packed = pa.array([total.tobytes()], pa.binary())
+        return pa.table([first.column("t"), first.column("block"), first.column("part"), packed], names=group.schema.names)
+
+    return parts.groupBy("t", "block", "part").applyInArrow(add, "t long, block long, part long, counts binary")
+
+
 @dataclass
 class Model:
     tree: Tree
@@ -260,19 +268,22 @@ class Model:
         return odds, gate
 
     def mixed(self, odds: np.ndarray, gate: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        w = (self.weights if weights is None else weights)[gate]
-        return np.clip(np.einsum("kn,nk->n", odds, w), -11.99, 11.99)
-
-    def score(self, units: list[bytes]) -> np.ndarray:
-        """log10 probability of each unit."""
+        w = (self.weights if weights is None else weights).astype(np.float32)
+        x = w[:, 0][gate] * odds[0]
+        for k in range(1, len(odds)):
+            x += w[:, k][gate] * odds[k]
+        return np.clip(x, np.float32(-11.99), np.float32(11.99))
+
+    def score(self, words: list[bytes]) -> np.ndarray:
+        """log10 probability of each word."""
         out = []
-        for part in _portions(units, 60_000):
-            unit, slots, turn = bits_of(part, self.tree)
+        for part in _portions(words, 16_000):
+            word, slots, turn = bits_of(part, self.tree)
             odds, gate = self.judged(slots)
             x = self.mixed(odds, gate)
             p = (1 / (1 + np.exp(-x)) + refine(self.refined, x, gate)) / 2
             p = np.clip(np.where(turn == 1, p, 1 - p), 1e-6, 1 - 1e-6)
-            out.append(np.bincount(unit, np.log10(p), len(part)))
+            out.append(np.bincount(word, np.log10(p), len(part)))
         return np.concatenate(out) if out else np.empty(0)
 
 
@@ -284,25 +295,27 @@ def refine(table: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
     return table[gate, low] * (1 - share) + table[gate, low + 1] * share
 
 
-def fit_mixer(units: DataFrame, tree: Tree, tables: list[np.ndarray], rate: float = 0.02) -> Model:
-    """Weights learned online in every task over its part of all training units, then averaged by the bits seen."""
-    spark = units.sparkSession
+def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: float = 0.02) -> Model:
+    """Weights learned online in every task over its part of all training words, then averaged by the bits seen."""
+    spark = words.sparkSession
     start = np.full((_GATES, len(TABLE_BITS) + 1), 0.35)
     even = 1 / (1 + np.exp(-(np.arange(_STEPS + 2) - _STEPS / 2)))
     model = Model(tree, tables, start, np.tile(even, (_GATES, 1)))
     held = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         m = held.value
         weights, pace = m.weights.copy(), np.full(m.weights.shape, 1e-3)
         seen = np.zeros(_GATES)
         cells = np.zeros((2, _GATES * (_STEPS + 2)))
         for b in batches:
-            names, counts = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float64)
+            names, counts = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float32)
             first = 0
             for part in _portions(names, 8_000):
-                unit, slots, turn = bits_of(part, m.tree)
-                each = counts[first + unit]
+                word, slots, turn = bits_of(part, m.tree)
+                each = counts[first + word]
                 first += len(part)
                 odds, gate = m.judged(slots, turn)
                 x = m.mixed(odds, gate, weights)
@@ -313,30 +326,44 @@ def fit_mixer(units: DataFrame, tree: Tree, tables: list[np.ndarray], rate: floa
                     pace[:, k] += slope * slope
                     weights[:, k] += rate * slope / np.sqrt(pace[:, k])
                 seen += mass
-                at = x + _STEPS // 2
-                low = at.astype(np.int64)
-                for cell, share in ((low, 1 - (at - low)), (low + 1, at - low)):
-                    where = gate * (_STEPS + 2) + cell
-                    cells[1] += np.bincount(where, share * each * turn, cells.shape[1])
-                    cells[0] += np.bincount(where, share * each, cells.shape[1])
-        packed = [x.tobytes() for x in (weights, seen, cells)]
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in packed], names=["w", "seen", "cells"])
-
-    total, mass = np.zeros(start.shape), np.zeros(_GATES)
-    cells = np.zeros((2, _GATES, _STEPS + 2))
-    for r in units.mapInArrow(run, "w binary, seen binary, cells binary").toLocalIterator():
-        seen = np.frombuffer(r["seen"])
-        total += np.frombuffer(r["w"]).reshape(start.shape) * seen[:, None]
-        mass += seen
-        cells += np.frombuffer(r["cells"]).reshape(cells.shape)
-    model.weights = np.where(mass[:, None] > 0, total / np.maximum(mass, 1)[:, None], start)
-    model.refined = (cells[1] + 20 * even) / (cells[0] + 20)
+                at = x + np.float32(_STEPS // 2)
+                low = at.astype(np.int32)
+                up = (at - low) * each
+                where, n = gate * (_STEPS + 2) + low, cells.shape[1]
+                for row, c in ((0, None), (1, turn)):
+                    near, far = (each - up, up) if c is None else ((each - up) * c, up * c)
+                    cells[row] += np.bincount(where, near, n)
+                    cells[row] += np.bincount(where + 1, far, n)
+        packed = np.concatenate([(weights * seen[:, None]).ravel(), seen, cells.ravel()]).tobytes()
+        part = TaskContext.get().partitionId() // 64
+        arrays = [pa.array([0]), pa.array([0]), pa.array([part]), pa.array([packed], pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
+
+    parts = words.mapInArrow(run, "t long, block long, part long, counts binary")
+    rows = _summed(_summed(parts).withColumn("part", F.lit(0).cast("long"))).collect()
+    if rows:
+        total, seen, cells = np.split(np.frombuffer(rows[0]["counts"]), [start.size, start.size + _GATES])
+        cells = cells.reshape(2, _GATES, _STEPS + 2)
+        model.weights = np.where(seen[:, None] > 0, total.reshape(start.shape) / np.maximum(seen, 1)[:, None], start)
+        model.refined = (cells[1] + 20 * even) / (cells[0] + 20)
     return model
 
 
-def fit(units: DataFrame) -> Model:
-    tree = Tree.of(byte_counts(units))
-    return fit_mixer(units, tree, bit_counts(units, tree))
+def fit(words: DataFrame) -> Model:
+    tree = Tree.of(byte_counts(words))
+    return fit_mixer(words, tree, bit_counts(words, tree))
+
+
+def lexicon(words: DataFrame, model: Model) -> DataFrame:
+    """(word, c, bits): each distinct word's training count and log10 probability."""
+    held = words.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            scores = pa.array(held.value.score(b.column(0).to_pylist()), pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), scores], names=["word", "c", "bits"])
+
+    return words.select("word", "c").mapInArrow(run, "word binary, c long, bits double")
 
 
 def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
@@ -344,74 +371,62 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
     spark = docs.sparkSession
     python_workers_see_library(spark)
     slim = docs.select("doc_id", "text")
-    units = stage(unit_counts(slim), "units")
-    words = units.groupBy(F.expr("substring(unit, 2)").alias("word")).agg(F.sum("c").alias("c"))
-    words = stage(words, "words")
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    words = stage(word_counts(slim), "words")
+    learned = words.where(F.col("c") > 0).select("word", "c")
+    sums = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, n_distinct = int(sums[0]), int(sums[1])
-    top = {bytes(r["word"]): r["c"] for r in words.orderBy(F.desc("c"), "word").limit(head).collect()}
-    rest = words.where(F.col("c") <= min(top.values())) if len(top) >= head else words.limit(0)
-    known = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in top.items()})
-    model = spark.sparkContext.broadcast(fit(units))
+    scored_words = stage(lexicon(words, fit(learned)), "lexicon")
+    top = {bytes(r["word"]): (r["c"], r["bits"]) for r in scored_words.orderBy(F.desc("c"), "word").limit(head).collect()}
+    rest = scored_words.where(F.col("c") <= min(c for c, _ in top.values())) if len(top) >= head else scored_words.limit(0)
+    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), bits, c > 0) for w, (c, bits) in top.items()})
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_sum", T.DoubleType())]
-    fields += [("score", T.DoubleType()), ("n_bytes", T.LongType()), ("tail", tail)]
+    fields += [("head_score", T.DoubleType()), ("n_bytes", T.LongType()), ("tail", tail)]
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(*f) for f in fields]])
-    pairs = pa.list_(pa.struct([("w", pa.binary()), ("k", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, m = known.value, model.value
-        scored: dict[bytes, float] = {}
-
-        def done(ids: list, texts: list[tuple]) -> pa.RecordBatch:
-            wanted = {u for _, _, us in texts for u in us if u not in scored}
-            if len(scored) + len(wanted) > _REMEMBERED:
-                scored.clear()
-                wanted = {u for _, _, us in texts for u in us}
-            wanted = list(wanted)
-            scored.update(zip(wanted, m.score(wanted).tolist()))
-            rows = []
-            for doc_id, words_, us in texts:
-                n, total, left = 0, 0.0, []
-                for w, k in Counter(words_).items():
-                    v = logs.get(w)
-                    if v is None:
-                        left.append((w, k))
+        table = known.value
+
+        def done(ids: pa.Array, texts: list) -> pa.RecordBatch:
+            rows, left_words, left_counts, ends = [], [], [], [0]
+            for doc_id, text in zip(ids.to_pylist(), texts):
+                mine = words_of(text)
+                counts = Counter(mine)
+                counts[b""] = 1
+                n, total, bits = 0, 0.0, 0.0
+                for w, k in counts.items():
+                    found = table.get(w)
+                    if found is None:
+                        left_words.append(w)
+                        left_counts.append(k)
                     else:
-                        n, total = n + k, total + k * v
-                v = logs.get(b"")
-                if v is None:
-                    left.append((b"", 1))
-                else:
-                    n, total = n + 1, total + v
-                size = sum(map(len, words_)) + len(words_) + 1
-                rows.append((held_out(doc_id), len(words_) + 1, n, total, math.fsum(map(scored.__getitem__, us)), size, left))
-            cols = list(zip(*rows))
+                        n += k * found[2]
+                        total += k * found[0]
+                        bits += k * found[1]
+                ends.append(len(left_words))
+                rows.append((held_out(doc_id), len(mine) + 1, n, total, bits, sum(map(len, mine)) + len(mine) + 1))
             kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(cols, kinds)]
-            lefts = pa.array([[{"w": w, "k": k} for w, k in x] for x in cols[-1]], pairs)
-            return pa.RecordBatch.from_arrays([ids, *arrays, lefts], names=schema.names)
+            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            pairs = pa.StructArray.from_arrays([pa.array(left_words, pa.binary()), pa.array(left_counts, pa.int64())], names=["w", "k"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
+            return pa.RecordBatch.from_arrays([ids, *arrays, lists], names=schema.names)
 
         for b in batches:
-            ids, first, part, size = b.column(0), 0, [], 0
-            for k, (doc_id, text) in enumerate(zip(ids.to_pylist(), b.column(1).to_pylist())):
-                part.append((doc_id, *units_of(text)))
-                size += len(part[-1][1]) + 1
-                if size >= 200_000:
-                    yield done(ids.slice(first, len(part)), part)
-                    first, part, size = k + 1, [], 0
-            if part:
-                yield done(ids.slice(first, len(part)), part)
+            for k in range(0, b.num_rows, 512):
+                part = b.slice(k, 512)
+                yield done(part.column(0), part.column(1).to_pylist())
 
     scored = slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stage(scored, "scored")
     left = scored.select("row", F.explode("tail").alias("x")).select("row", F.col("x.w").alias("word"), F.col("x.k").alias("k"))
-    met = left.join(rest, "word", "left").groupBy("row").agg(
+    met = left.join(rest, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_tail"),
-        F.sum(F.col("k") * F.log10(F.coalesce(F.col("c"), F.lit(0)) + F.lit(0.1))).alias("tail_sum"),
+        F.sum(F.col("k") * F.log10(F.col("c") + F.lit(0.1))).alias("tail_sum"),
+        F.sum(F.col("k") * F.col("bits")).alias("tail_score"),
     )
     space = math.log10(n_train + 0.1 * (n_distinct + 1))
+    score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
     return scored.drop("tail").join(met, "row", "left").select(
         "doc_id",
         "held_out",
@@ -419,6 +434,6 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(space)).alias("base_score"),
-        "score",
-        (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
+        score.alias("score"),
+        (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )

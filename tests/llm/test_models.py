@@ -61,10 +61,12 @@ def test_spelling_is_a_distribution():
 
 def test_slots_depend_on_context_alone():
     tree = m.Tree.of(np.ones(256, int))
-    unit, slots, turn = m.bits_of([b"\nabc", b"\nabd", b"\n", b"xabc"], tree)
-    a, b, c = (np.flatnonzero(unit == k)[:16] for k in (0, 1, 3))
-    assert all((s[a] == s[b]).all() for s in slots)
-    assert (slots[3][a] == slots[3][c]).all() and not (slots[0][a] == slots[0][c]).all()
+    word, slots, turn = m.bits_of([b"abcdefgh", b"abcdexgh", b"", b"zbcdefgh"], tree)
+    a, b, c = (np.flatnonzero(word == k) for k in (0, 1, 3))
+    assert len(a) == 9 * 8 and (word == 2).sum() == 8
+    assert all((s[a[:40]] == s[b[:40]]).all() for s in slots)
+    late = slice(48, 72)  # the seventh byte and later: five bytes back are equal, the whole word is not
+    assert all((s[a[late]] == s[c[late]]).all() for s in slots[:3]) and not (slots[3][a[late]] == slots[3][c[late]]).all()
 
 
 def containment(docs, items):
