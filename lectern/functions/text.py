@@ -156,7 +156,7 @@ def parsed_response(c: Column) -> Column:
 
     def parts(x: Column) -> Column:
         v = F.try_parse_json(x)
-        is_object = F.schema_of_variant(v).startswith("OBJECT")
+        is_object = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
         bare = strip(x)
         plain = F.when(F.lower(bare).startswith("answer:"), strip(F.substring(bare, F.lit(8), F.length(bare)))).otherwise(bare)
         need = F.to_json(F.try_variant_get(v, "$.need_api", "variant"))
