@@ -288,7 +288,10 @@ def extract(files: DataFrame, options: CleaningOptions = CleaningOptions(), clea
 
 
 def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(source, filename, content, modified, length) of files on any file system Spark reads."""
+    """(source, filename, content, modified, length) of files on any file system Spark reads.
+
+    Files without a byte have no row: Spark's file sources pass over them.
+    """
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
     return files.select(F.col("path").alias("source"), name.alias("filename"), "content", F.col("modificationTime").alias("modified"), "length")

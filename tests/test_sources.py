@@ -57,7 +57,6 @@ FILES = {
     "b.bin": (b"readable", True, "readable"),
     "p.pdf": (b"%PDF", False, ""),
     "u.xyz": (b"?", False, ""),
-    "e.txt": (b"", True, ""),
 }
 
 
