@@ -93,8 +93,57 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
+
+def _span_sql(kind: str, rank: int, pattern: str, fits: str) -> str:
+    quoted = pattern.replace("'", "''")
+    size = "lambda x: length(x)"
+    return f"""SELECT doc_id, source, '{kind}' AS kind, {rank} AS r, s, s + length(v) AS e, v FROM (
+  SELECT doc_id, source, unnest(m) AS v, unnest(list_transform(range(1, len(m) + 1), lambda i:
+    CAST(list_sum(list_transform(p[1:i], {size})) + coalesce(list_sum(list_transform(m[1:i - 1], {size})), 0) AS BIGINT))) AS s
+  FROM (SELECT doc_id, source, string_split_regex(text, '{quoted}') AS p, regexp_extract_all(text, '{quoted}') AS m
+    FROM documents WHERE regexp_matches(text, '{quoted}'))) WHERE {fits}"""
+
+
+_ASSIGN_SQL = secret_scan.ASSIGN.replace("'", "''")
+_FIVES_OF_SHA1 = "list_transform(range(1, 41, 5), lambda i: CAST('0x' || substring(h, i, 5) AS INTEGER))"
+
 #: Where DuckDB can express the query. The others are tested against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op6_warc": f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(body)) AS payload_bytes, array_to_string(list_transform({_FIVES_OF_SHA1}, lambda n:
+    array_to_string(list_transform([15, 10, 5, 0], lambda k: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (n >> k) % 32 + 1, 1)), '')), '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = f THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> f THEN f END AS refers_to
+FROM (SELECT *, min(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS f FROM d)
+""",
+    # These pages mark their article; all else in it is paragraphs, headings, bold text and line breaks.
+    "op8_html_text": r"""
+WITH a AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM pages),
+b AS (SELECT page_id, url, trim(regexp_replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g')) AS text FROM a)
+SELECT page_id, url, text, length(text) AS n_chars FROM b
+""",
+    "op9_secret_scan": f"""
+WITH base AS (
+{_span_sql("assign", 0, secret_scan.ASSIGN, f"length(regexp_extract(v, '{_ASSIGN_SQL}', 2)) >= 6")}
+UNION ALL {_span_sql("access", 1, secret_scan.ACCESS, "true")}
+UNION ALL {_span_sql("hex", 2, secret_scan.HEX, "true")}
+), wide AS (
+  SELECT * FROM ({_span_sql("live", 3, secret_scan.WIDE, "regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')")}) w
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s <= w.s AND w.e <= b.e)
+), cand AS (
+  SELECT *, CASE WHEN kind = 'assign' THEN regexp_extract(v, '{_ASSIGN_SQL}', 2) ELSE v END AS x FROM (SELECT * FROM base UNION ALL SELECT * FROM wide)
+), held AS (SELECT x, count(DISTINCT coalesce(source, '')) <= 1 AND count(DISTINCT doc_id) <= 8 AS alive FROM cand GROUP BY x),
+told AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (kind <> 'live') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, r) FILTER (kind <> 'live' OR alive) AS spans,
+    count(*) FILTER (alive) AS n_live, count(*) FILTER (NOT alive) AS n_example
+  FROM cand JOIN held USING (x) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents LEFT JOIN told USING (doc_id)
+""",
     # Words lose ASCII punctuation; an item with fewer than five words is one shingle.
     "op10_decontamination": r"""
 WITH words AS (
