@@ -29,11 +29,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm._common import python_workers_see_library, stage
+from lectern.llm._common import discard, python_workers_see_library, stage
 
 SEED = 42
 
@@ -268,7 +269,8 @@ def components(edges: DataFrame) -> DataFrame:
     edges = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
     while True:
-        edges = stage(small(large(edges).distinct()).distinct(), "edges")
+        last, edges = edges, stage(small(large(edges).distinct()).distinct(), "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -292,24 +294,25 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
 
 
 def _sketched(texts: DataFrame, width: int, routes: int) -> DataFrame:
-    """row, fp and ``routes`` smallest shingle hashes under as many permutations, of each text."""
+    """row, doc_id, key of the text, fp, number of distinct shingles, and ``routes`` smallest shingle hashes under as many permutations."""
     keys = [(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(routes)]
+    slim = texts.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("t"), "text")
+    more = [T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("low", T.ArrayType(T.LongType()))]
+    out = T.StructType([*slim.schema.fields[:3], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, low = [], []
-            for t in b.column(1).to_pylist():
+            fp, n, low = [], [], []
+            for t in b.column(3).to_pylist():
                 h = hashes_of(t, width)
                 fp.append(simhash(h))
-                if len(h):
-                    low.append([int(((x := h * np.uint64(k)) ^ (x >> np.uint64(32))).min().view(np.int64)) for k in keys])
-                else:
-                    low.append([])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(fp, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["row", "fp", "low"]
-            )
+                h = np.unique(h)
+                n.append(len(h))
+                low.append([int(((x := h * np.uint64(k)) ^ (x >> np.uint64(32))).min().view(np.int64)) for k in keys] if len(h) else [])
+            made = [pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(low, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=out.names)
 
-    return texts.select("row", "text").mapInArrow(run, "row long, fp long, low array<long>")
+    return slim.mapInArrow(run, out)
 
 
 def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
@@ -323,26 +326,42 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("row", "text").mapInArrow(run, "row long, set binary")
 
 
-def similar_links(texts: DataFrame, width: int, min_similarity: float, radius: int, routes: int, room: int) -> DataFrame:
-    """Spanning links (a, b) between rows of distinct ``texts`` (row, text) of similar shingle sets."""
-    sketched = stage(_sketched(texts, width, routes), "sketches")
-    filed = sketched.select("row", "fp", "low", F.posexplode("low").alias("j", "v")).withColumn("k", F.xxhash64("j", "v"))
+def _suspects(sketches: DataFrame, min_similarity: float, radius: int, room: int) -> DataFrame:
+    """(k, fp, row): rows under the keys where they have a partner of like size within the radius.
+
+    A pair counts only under the first of the smallest hashes that both share,
+    so a row is carried on for few of its keys.
+    """
+    filed = sketches.select("row", "fp", "n", "low", F.posexplode("low").alias("j", "v")).withColumn("k", F.xxhash64("j", "v"))
     counts = filed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     filed = filed.join(counts, "k")
     # A crowded key is filed again under the other smallest hashes beside it.
     finer = F.when(F.col("c") > room, F.transform("low", lambda v, i: F.xxhash64("k", i, v))).otherwise(F.array("k"))
-    filed = stage(filed.select("row", "fp", F.explode(finer).alias("k")), "filed")
+    filed = filed.select("row", "fp", "n", "low", "j", F.explode(finer).alias("k"))
+    slim = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "fp", "row")])
 
-    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
-            keys, code = t.column("k").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            keys, code, n, route = (t.column(c).to_numpy() for c in ("k", "fp", "n", "j"))
+            low = t.column("low").combine_chunks().flatten().to_numpy().reshape(len(keys), -1)
             near = np.zeros(len(code), bool)
-            for i, j in GrayIndex(code, keys).pairs(radius):
+            for i, j in GrayIndex(code.view(np.uint64), keys).pairs(radius):
+                fits = np.minimum(n[i], n[j]) >= min_similarity * np.maximum(n[i], n[j])
+                i, j = i[fits], j[fits]
+                for k in range(low.shape[1] - 1):
+                    first = (route[i] <= k) | (low[i, k] != low[j, k])
+                    i, j = i[first], j[first]
                 near[i] = near[j] = True
             at = np.flatnonzero(near)
-            yield t.take(pa.array(at)).combine_chunks().to_batches()[0] if len(at) else _empty(t)
+            yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(at)) for c in slim.names], names=slim.names)
 
-    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return filed.repartition("k").sortWithinPartitions("k", gray_rank(F.col("fp"))).mapInArrow(run, slim)
+
+
+def _verified_links(near: DataFrame, sets: DataFrame, min_similarity: float, radius: int) -> DataFrame:
+    """Spanning links (a, b) between suspect rows of similar shingle sets (row, set)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
             keys, code, row = (t.column(c).to_numpy() for c in ("k", "fp", "row"))
             sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
@@ -360,17 +379,9 @@ def similar_links(texts: DataFrame, width: int, min_similarity: float, radius: i
             a, b = row[far], row[label[far]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    rank = gray_rank(F.col("fp"))
-    near = filed.repartition("k").sortWithinPartitions("k", rank).mapInArrow(close, filed.schema)
-    near = stage(near, "near")
-    wanted = near.select("row").distinct()
-    sets = _shingle_sets(texts.join(wanted, "row", "left_semi"), width)
-    full = near.join(stage(sets, "sets"), "row").repartition("k").sortWithinPartitions("k", rank)
-    return full.select("k", "fp", "row", "set").mapInArrow(verified, "a long, b long").distinct()
-
-
-def _empty(t: pa.Table) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in t.schema], schema=t.schema)
+    full = near.join(sets, "row").select("k", "fp", "row", "set")
+    full = full.repartition("k").sortWithinPartitions("k", gray_rank(F.col("fp")))
+    return full.mapInArrow(run, "a long, b long").distinct()
 
 
 def _verify(i: int, js: np.ndarray, sets: list, size: np.ndarray, label: np.ndarray, bound: float) -> np.ndarray:
@@ -402,17 +413,27 @@ def near_duplicates(
     Equal texts are one class before anything else; texts without words are
     equal to each other only if they are the same text.
     """
-    python_workers_see_library(docs.sparkSession)
+    spark = docs.sparkSession
+    python_workers_see_library(spark)
     cols = docs.columns
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("_row"), F.monotonically_increasing_id().alias("row"))
     whole = stage(whole, "numbered")
-    text = F.coalesce(F.col("_row")["text"], F.lit(""))
-    first = F.min(F.struct(F.col("_row")["doc_id"].isNull().alias("n"), F.col("_row")["doc_id"].alias("d"), F.col("row").alias("row")))
-    reps = whole.groupBy(F.sha2(text.cast("binary"), 256).alias("t")).agg(first.alias("x"))
-    reps = stage(reps.select(F.col("x")["row"].alias("row"), F.col("x")["n"].alias("n"), F.col("x")["d"].alias("d")), "distinct")
-    texts = whole.join(reps.select("row"), "row", "left_semi").select("row", text.alias("text"))
-    root = components(similar_links(stage(texts, "texts"), width, min_similarity, radius, routes, room))
-    placed = reps.join(root, reps["row"] == root["node"], "left").select("row", "n", "d", F.coalesce("root", "row").alias("root"))
-    best = placed.groupBy("root").agg(F.min(F.struct("n", "d", "row")).alias("x")).select(F.col("x")["row"].alias("row"))
-    kept = whole.join(best, "row", "left_semi")
-    return kept.select(*[F.col("_row")[c].alias(c) for c in cols])
+    texts = whole.select("row", F.col("_row")["doc_id"].alias("doc_id"), F.col("_row")["text"].alias("text"))
+    sketches = stage(_sketched(texts, width, routes), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), F.col("doc_id").alias("d"), "row")).alias("m")
+    groups = sketches.groupBy("t").agg(first, F.first(F.struct("fp", "n", "low")).alias("s"))
+    reps = stage(groups.select("m.x", "m.d", "m.row", "s.fp", "s.n", "s.low"), "distinct")
+    near = stage(_suspects(reps, min_similarity, radius, room), "near")
+    # The only exchange of whole rows; suspects' shingles and the result are both read from it.
+    moved = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row").persist(StorageLevel.DISK_ONLY)
+    suspects = moved.join(near.select("row").distinct(), "row", "left_semi")
+    sets = _shingle_sets(suspects.select("row", F.col("_row")["text"].alias("text")), width)
+    edges = stage(_verified_links(near, sets, min_similarity, radius), "links")
+    root = components(edges)
+    placed = reps.join(root, reps["row"] == root["node"], "left").select("row", "x", "d", F.coalesce("root", "row").alias("root"))
+    best = placed.groupBy("root").agg(F.min(F.struct("x", "d", "row")).alias("m")).select(F.col("m")["row"].alias("row"))
+    kept = moved.join(best, "row", "left_semi")
+    result = stage(kept.select(*[F.col("_row")[c].alias(c) for c in cols]), "kept")
+    moved.unpersist()
+    discard(whole, sketches, reps, near, edges)
+    return result
