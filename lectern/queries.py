@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,9 @@ from lectern.operators import answer, chunking, neardup, search
 from lectern.operators.embedding import HashingEmbedder, concatenated, normalised
 from lectern.options import CleaningOptions, SearchOptions
 from lectern.plans import engine
-from lectern.plans.staging import numbered
-from lectern.sources import extract, routing
+from lectern.plans.staging import numbered, shared_folder
+from lectern.sources import dispatch, extract, routing
+from lectern.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -761,3 +763,43 @@ def text_file_extract(spark, sf_dir):
     d = _docs(spark, sf_dir).select(F.col("doc_id").cast("string").alias("source"), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.encode("text", "UTF-8").alias("content"))
     options = CleaningOptions(normalize_unicode=False, max_length=10**9)
     return extract.extract(d, options).select(F.col("source").cast("long").alias("doc_id"), "text", "success")
+
+
+@query(
+    """SELECT source, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) FILTER (regexp_matches(text, '\\S')) AS text FROM documents GROUP BY source"""
+)
+def page_assembly(spark, sf_dir):
+    """Documents as the pages of their source, with a good text layer."""
+    pages = _docs(spark, sf_dir).select("source", F.col("doc_id").alias("page"), F.col("text").alias("digital"), F.lit("").alias("ocr"), F.lit(0.0).alias("area"))
+    return dispatch.assembled_pages(pages).select("source", "text")
+
+
+@query("SELECT doc_id, CASE WHEN length(lang) + 2 > length(source) THEN lang || '__' ELSE source END AS text FROM documents")
+def ocr_best_attempt(spark, sf_dir):
+    """The longer of two short readings of each document."""
+    d = _docs(spark, sf_dir)
+    first = d.select("doc_id", F.lit(0).alias("attempt"), F.col("source").alias("text"))
+    second = d.select("doc_id", F.lit(1).alias("attempt"), F.concat("lang", F.lit("__")).alias("text"))
+    return dispatch.best_attempt(first.unionByName(second), "doc_id")
+
+
+@query(f"SELECT page_id, CASE WHEN url_type = 'error' THEN 'failed' ELSE 'success' END AS status, url_type FROM (SELECT page_id, {_KIND} AS url_type FROM {_MADE} WHERE content_type IS NULL OR content_type NOT LIKE '%pdf%')")
+def source_parse(spark, sf_dir):
+    """Pages as fetched sources of several kinds, each through its extractor; there is no reader of PDF here."""
+    made = _made(spark, sf_dir).where("content_type is null or content_type not like '%pdf%'")
+    name = F.concat(F.lit("http://host/"), F.col("page_id").cast("string"), F.lit(".txt"))
+    done = dispatch.parsed(made.select(name.alias("source"), "status", "content_type", F.encode("html", "UTF-8").alias("content")), _PLAIN)
+    return done.select(F.regexp_extract("source", "([0-9]+)", 1).cast("long").alias("page_id"), "status", "url_type")
+
+
+@query(ORACLE["chunk_fixed"])
+def streaming_chunks(spark, sf_dir):
+    """Documents as a stream of files: cleaned, cut into windows, appended batch by batch, read back."""
+    out = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    schema = _docs(spark, sf_dir).schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    chunks = ingest.chunk_stream(stream, "doc_id")
+    ingest.append_to(chunks, f"{out}/table", f"{out}/progress").awaitTermination()
+    got = spark.read.parquet(f"{out}/table")
+    cols = ["chunk_pos", "start_idx", "end_idx"]
+    return got.select("doc_id", "text", *[F.col(c).cast("long").alias(c) for c in cols])

@@ -134,3 +134,39 @@ def test_stream(spark, tmp_path):
     stream = ingest.unrepeated(ingest.arriving(spark, f"{tmp_path}/in", df.schema), "ts")
     ingest.append_to(ingest.chunk_stream(stream, "doc_id"), f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == ["four", "one two three"]
+
+
+def test_dispatch_with_cache(spark, tmp_path):
+    from lectern.sources import dispatch as D
+
+    bodies = {
+        "http://h/w": (200, "text/html", b"<html><nav>n</nav><p>web text</p></html>"),
+        "http://h/a": (200, "application/json", b'{"k": 1}'),
+        "http://h/d.csv": (200, "text/csv", b"a,b\n1,2\n"),
+        "http://h/u": (200, None, b"unknown kind"),
+        "http://h/x": (404, "text/html", b""),
+        "http://h/e": (200, "text/plain", b" "),
+    }
+
+    def fetch(url):
+        return bodies[url]
+
+    src = spark.createDataFrame([(u,) for u in [*bodies, "http://h/z.bin", "http://h/gone"]], "source string")
+    done, entries = D.cached_parse(src, fetch)
+    got = {r["source"][9:]: r for r in done.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {"w": "success", "a": "success", "d.csv": "success", "u": "success", "x": "failed", "e": "failed", "z.bin": "failed", "gone": "failed"}
+    assert got["w"]["text"] == "web text" and got["u"]["text"] == "unknown kind" and got["z.bin"]["error"] == "binary files are refused"
+    D.save_entries(entries, f"{tmp_path}/cache")
+    cache = spark.read.parquet(f"{tmp_path}/cache")
+    again, more = D.cached_parse(src.where("source like '%/w'"), lambda u: 1 / 0, cache)
+    assert [r["text"] for r in again.collect()] == ["web text"] and more.count() == 0
+    assert D.clear_cache(spark, f"{tmp_path}/cache") and D.clear_expired(spark, "x") == 0
+
+
+def test_pages(spark):
+    from lectern.sources import dispatch as D
+
+    good = "A page with a good many words, read well."
+    rows = [("s", 2, good, "", 0.0), ("s", 1, "", "scanned words of page one", 0.0), ("s", 3, " ", None, 0.0), ("t", 1, good, "other", 0.0)]
+    got = {r["source"]: r for r in D.assembled_pages(spark.createDataFrame(rows, "source string, page int, digital string, ocr string, area double")).collect()}
+    assert got["s"]["text"] == f"scanned words of page one\n\n{good}" and got["s"]["ocr_used"] and not got["t"]["ocr_used"]
