@@ -48,6 +48,7 @@ _BASE = _U(0x100000001B3)
 _GATES = 64
 _STEPS = 24  # buckets of the adaptive map, over log-odds from -12 to 12
 _EVEN = 0.05  # added to the counts of both turns
+_HEAD_BYTES = 64  # longer words are met by the join, so that the head's size is bounded
 _BLOCK = 8192  # table slots that travel together
 
 
@@ -376,8 +377,10 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
     sums = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, n_distinct = int(sums[0]), int(sums[1])
     scored_words = stage(lexicon(words, fit(learned)), "lexicon")
-    top = {bytes(r["word"]): (r["c"], r["bits"]) for r in scored_words.orderBy(F.desc("c"), "word").limit(head).collect()}
-    rest = scored_words.where(F.col("c") <= min(c for c, _ in top.values())) if len(top) >= head else scored_words.limit(0)
+    short = F.length("word") <= _HEAD_BYTES
+    top = {bytes(r["word"]): (r["c"], r["bits"]) for r in scored_words.where(short).orderBy(F.desc("c"), "word").limit(head).collect()}
+    beyond = F.col("c") <= min(c for c, _ in top.values()) if len(top) >= head else F.lit(False)
+    rest = scored_words.where(~short | beyond)
     known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), bits, c > 0) for w, (c, bits) in top.items()})
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
