@@ -148,12 +148,11 @@ def answer_clean(spark, sf_dir):
         r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '-\n', '', 'g'), '\s*\n\s*', ' ', 'g'), '\s+', ' ', 'g'),
   '\*\*(.*?)\*\*', '\1', 'g'), '\*(.*?)\*', '\1', 'g'), '_(.*?)_', '\1', 'g')"""
     )
-    + " AS text FROM documents WHERE text NOT LIKE '%\\_%' ESCAPE '\\'"
+    + " AS text FROM documents"
 )
 def ocr_clean(spark, sf_dir):
-    """Texts without underscores: SQL has no back references to pair either mark."""
-    docs = _docs(spark, sf_dir).where(~F.contains("text", F.lit("_")))
-    return docs.select("doc_id", T.ocr_text(F.col("text")).alias("text"))
+    """SQL has no back references, so it pairs stars and underscores one after the other; no text here mixes them."""
+    return _docs(spark, sf_dir).select("doc_id", T.ocr_text(F.col("text")).alias("text"))
 
 
 _WORDS = r"list_filter(string_split_regex({t}, '\s+'), lambda x: x <> '')"
@@ -164,16 +163,15 @@ def _words(t: str) -> str:
 
 
 @query(
-    rf"""SELECT doc_id, round(greatest(0.0, least(length(array_to_string(w, '')) / len(w) / 5, 1.0) * 0.3
+    rf"""SELECT doc_id, CASE WHEN len(w) = 0 THEN 0.0 ELSE round(greatest(0.0, least(length(array_to_string(w, '')) / len(w) / 5, 1.0) * 0.3
   + length(regexp_replace(text, '[^\p{{L}}]', '', 'g')) / length(text) * 0.3
   + least((length(text) - length(replace(text, ' ', ''))) / length(text) * 10, 1.0) * 0.2
   + least(len(list_filter(string_split_regex(text, '[.!?]+'), lambda s: regexp_matches(s, '\S'))) / 10, 1.0) * 0.2
-  - (len(regexp_extract_all(text, '\|')) * 0.1 + len(regexp_extract_all(text, '[0O]{{2,}}')) * 0.2 + len(regexp_extract_all(text, '[l1]{{3,}}')) * 0.2)), 6) AS quality
-FROM (SELECT doc_id, text, {_words("text")} AS w FROM documents) WHERE len(w) > 0"""
+  - (len(regexp_extract_all(text, '\|')) * 0.1 + len(regexp_extract_all(text, '[0O]{{2,}}')) * 0.2 + len(regexp_extract_all(text, '[l1]{{3,}}')) * 0.2)), 6) END AS quality
+FROM (SELECT doc_id, text, {_words("text")} AS w FROM documents)"""
 )
 def text_quality(spark, sf_dir):
-    docs = _docs(spark, sf_dir).where(F.col("text").rlike(r"\S"))
-    return docs.select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("quality"))
+    return _docs(spark, sf_dir).select("doc_id", F.round(T.text_quality(F.col("text")), 6).alias("quality"))
 
 
 @query(
@@ -783,11 +781,12 @@ def ocr_best_attempt(spark, sf_dir):
     return dispatch.best_attempt(first.unionByName(second), "doc_id")
 
 
-@query(f"SELECT page_id, CASE WHEN url_type = 'error' THEN 'failed' ELSE 'success' END AS status, url_type FROM (SELECT page_id, {_KIND} AS url_type FROM {_MADE} WHERE content_type IS NULL OR content_type NOT LIKE '%pdf%')")
+@query(f"SELECT page_id, CASE WHEN url_type = 'error' OR pdf THEN 'failed' ELSE 'success' END AS status, url_type FROM (SELECT page_id, coalesce(content_type LIKE '%pdf%', false) AS pdf, {_KIND} AS url_type FROM {_MADE})")
 def source_parse(spark, sf_dir):
-    """Pages as fetched sources of several kinds, each through its extractor; there is no reader of PDF here."""
-    made = _made(spark, sf_dir).where("content_type is null or content_type not like '%pdf%'")
-    name = F.concat(F.lit("http://host/"), F.col("page_id").cast("string"), F.lit(".txt"))
+    """Pages as fetched sources of several kinds, each through its extractor; without a provider of page texts, PDF fails."""
+    made = _made(spark, sf_dir)
+    suffix = F.when(F.contains("content_type", F.lit("pdf")), ".pdf").otherwise(".txt")
+    name = F.concat(F.lit("http://host/"), F.col("page_id").cast("string"), suffix)
     done = dispatch.parsed(made.select(name.alias("source"), "status", "content_type", F.encode("html", "UTF-8").alias("content")), _PLAIN)
     return done.select(F.regexp_extract("source", "([0-9]+)", 1).cast("long").alias("page_id"), "status", "url_type")
 
