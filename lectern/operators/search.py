@@ -57,10 +57,9 @@ def postings_of(chunks: DataFrame) -> DataFrame:
     return each.groupBy("term", "pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def term_weights(postings: DataFrame, corpus: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
-    """(term, df, idf): negative weights become epsilon times the mean over the vocabulary."""
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = df.crossJoin(F.broadcast(corpus)).select(
+def term_weights(counts: DataFrame, corpus: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
+    """(term, df, idf) of (term, df): negative weights become epsilon times the mean over the vocabulary."""
+    raw = counts.crossJoin(F.broadcast(corpus)).select(
         "term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")
     )
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -73,10 +72,11 @@ def build_index(chunks: DataFrame, embedder: Embedder | None = None, o: SearchOp
     if "start_idx" not in chunks.columns:
         chunks = chunks.withColumn("start_idx", F.lit(0))
     chunks = staged(chunks.select("chunk_id", "pos", "text", F.coalesce("start_idx", F.lit(0)).alias("start_idx")), "chunks")
-    postings = staged(postings_of(chunks).repartition("term"), "postings")
+    postings = staged(postings_of(chunks), "postings")
     lengths = chunks.select("pos", F.size(lexical_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("dl"))
     corpus = staged(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
-    terms = staged(term_weights(postings, corpus, o), "terms")
+    counts = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
+    terms = term_weights(counts, corpus, o)
     vectors = None
     if embedder is not None:
         vectors = staged(embedded(chunks.select("chunk_id", "pos", "text"), embedder).drop("text"), "vectors")

@@ -2,34 +2,50 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.operators.answer import EMPTY_SOURCES, Generator, answers
-from lectern.operators.chunking import exploded, raw_chunks
+from lectern.operators.chunking import raw_chunks, resized
 from lectern.operators.embedding import Embedder, HashingEmbedder
-from lectern.operators.neardup import deduplicated_chunks, merged_chunks
+from lectern.operators.neardup import greedy_unique, merged_texts
 from lectern.operators.search import Index, build_index
 from lectern.options import ChunkOptions
-from lectern.plans.staging import numbered, staged
+from lectern.plans.staging import numbered, spread, staged
 from lectern.sources.routing import file_type
 
 
-def sorted_pieces(chunks: DataFrame, key: str, o: ChunkOptions) -> DataFrame:
-    """Chunks by start, over-long ones cut, numbered anew: all within the arrays of a document."""
-    fields = ["text", "start_idx", "end_idx", "chunk_type", "num_sentences", "num_paragraphs", "resized"]
-    by_start = F.array_sort(F.collect_list(F.struct("start_idx", "chunk_pos", F.struct(*fields).alias("c"))))
-    listed = chunks.groupBy(key).agg(by_start.alias("x"))
-    from lectern.operators.chunking import resized
-
-    return exploded(listed, resized(F.transform("x", lambda y: y["c"]), o), key)
-
-
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", o: ChunkOptions = ChunkOptions(), keep_metadata: bool = False) -> DataFrame:
-    """Final chunks of each document: all strategies, repeats dropped, by start, cut to size, merged."""
-    body = docs.where(F.col(text).rlike(r"(?U)\S"))
-    raw = exploded(body, raw_chunks(F.col(text), o), key)
-    return merged_chunks(sorted_pieces(deduplicated_chunks(raw, key, o), key, o), key, o, keep_metadata)
+    """Final chunks of each document: all strategies, repeats dropped, by start, cut to size, merged.
+
+    A document's chunks stay in one row's array from end to end, so nothing is
+    shuffled; only the two greedy steps run in Python.
+    """
+    fields = ["start_idx", "end_idx", "chunk_type", "num_sentences", "num_paragraphs", "resized"]
+    body = spread(docs.select(key, text)).where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("_key"), raw_chunks(F.col(text), o).alias("_raw"))
+
+    def dropped(texts: pd.Series) -> pd.Series:
+        return pd.Series([greedy_unique(list(t), o) for t in texts], dtype=object)
+
+    kept = F.pandas_udf(dropped, T.ArrayType(T.IntegerType()))(F.transform("_raw", lambda x: x["text"]))
+    body = body.withColumn("_kept", kept)
+    by_start = F.array_sort(F.transform("_kept", lambda i: F.struct(F.get("_raw", i)["start_idx"].alias("s"), i.alias("i"), F.get("_raw", i).alias("c"))))
+    cut = body.select("_key", resized(F.transform(by_start, lambda x: x["c"]), o).alias("_cut"))
+    cut = cut.select("_key", F.transform("_cut", lambda x: x["text"]).alias("_text"), *[F.get("_cut", F.lit(0))[c].alias(c) for c in fields])
+    schema = T.StructType([cut.schema["_key"], T.StructField("chunk_pos", T.IntegerType()), T.StructField("text", T.StringType()), *cut.schema.fields[2:]])
+
+    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for row in f.to_dict("records"):
+                texts = [t for t, _ in merged_texts(list(row["_text"]), None, o)]
+                out = {"_key": [row["_key"]] * len(texts), "chunk_pos": range(len(texts)), "text": texts}
+                yield pd.DataFrame(out | {c: [row[c] if keep_metadata else None] * len(texts) for c in fields}).astype(object)
+
+    return cut.mapInPandas(merged, schema).withColumnRenamed("_key", key)
 
 
 def ingested(sources: DataFrame, source: str = "source", text: str = "text", o: ChunkOptions = ChunkOptions()) -> DataFrame:

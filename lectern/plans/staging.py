@@ -42,3 +42,9 @@ def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     before = df.sparkSession.createDataFrame([(k, s) for (k, _), s in zip(counts, starts)], "_range int, _before long")
     nth = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
     return dealt.withColumn("_nth", nth).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_nth")).drop("_range", "_before", "_nth")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` on all cores: dealt out anew only if it comes in fewer partitions than there are cores."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
