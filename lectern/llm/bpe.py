@@ -32,7 +32,7 @@ _CHUNKS = regex.compile(f"[^{_BLANK}]+")
 #: Fixed pattern of the word vocabulary, over lower-case ASCII.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Chunks remembered by a worker; beyond this its memory starts afresh.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 
 
 def byte_letters() -> list[str]:
