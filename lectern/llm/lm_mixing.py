@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm._common import python_workers_see_library, stage
+from lectern.llm._common import discard, python_workers_see_library, stage
 
 #: Bits of each predictor's table: contexts of 2, 3 and 5 bytes and the word so far.
 TABLE_BITS = (16, 19, 20, 21)
@@ -224,12 +224,13 @@ def bit_counts(words: DataFrame, tree: Tree) -> list[np.ndarray]:
                     yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
 
     schema = "t long, block long, part long, counts binary"
-    parts = _summed(_summed(words.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long")))
+    parts = stage(_summed(_summed(words.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long"))), "tables")
     out = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
-    for r in parts.collect():
+    for r in parts.toLocalIterator():
         t = out[r["t"]]
         size = min(_BLOCK, t.shape[1])
         t[:, r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["counts"]).reshape(2, size)
+    discard(parts)
     return out
 
 

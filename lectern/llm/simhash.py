@@ -63,13 +63,20 @@ def simhash(h: np.ndarray) -> int:
     return int(np.packbits(2 * ones > len(h)).view(">i8")[0])
 
 
+def _portions(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches in small slices, so that few texts are Python objects at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and fingerprint ``fp`` of every whole text."""
     python_workers_see_library(docs.sparkSession)
     slim = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             fp = [simhash(hashes_of(t, width)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], names=["doc_id", "fp"])
 
@@ -114,7 +121,7 @@ class GrayIndex:
             tree = tree[head]
             self.levels.append((all_, any_, head, count, last))
 
-    def pairs(self, radius: int, room: int = 4_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, radius: int, room: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (i, j), i < j, of codes of a group within ``radius``; i comes in blocks, in order."""
         sizes = np.bincount(self.tree)
         reach = sizes[self.tree]
@@ -314,7 +321,7 @@ def _sketched(texts: DataFrame, width: int, routes: int) -> DataFrame:
     out = T.StructType([*slim.schema.fields[:3], *[T.StructField(*x) for x in more]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             fp, n, low, sig = [], [], [], []
             for t in b.column(3).to_pylist():
                 h = hashes_of(t, width)
@@ -334,7 +341,7 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     """row and its sorted distinct shingle hashes as packed 64-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _portions(batches):
             sets = [np.unique(hashes_of(t, width)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["row", "set"])
 
@@ -363,7 +370,7 @@ def _suspects(sketches: DataFrame, min_similarity: float, radius: int, room: int
             sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(keys), -1)
             least = min_similarity * 0.625 * sig.shape[1]
             near = np.zeros(len(code), bool)
-            for i, j in GrayIndex(code.view(np.uint64), keys).pairs(radius, 1_000_000):
+            for i, j in GrayIndex(code.view(np.uint64), keys).pairs(radius):
                 fits = np.minimum(n[i], n[j]) >= min_similarity * np.maximum(n[i], n[j])
                 i, j = i[fits], j[fits]
                 for k in range(low.shape[1] - 1):
