@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,14 +39,16 @@ def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", o: ChunkOp
     cut = cut.select("_key", F.transform("_cut", lambda x: x["text"]).alias("_text"), *[F.get("_cut", F.lit(0))[c].alias(c) for c in fields])
     schema = T.StructType([cut.schema["_key"], T.StructField("chunk_pos", T.IntegerType()), T.StructField("text", T.StringType()), *cut.schema.fields[2:]])
 
-    def merged(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row in f.to_dict("records"):
-                texts = [t for t, _ in merged_texts(list(row["_text"]), None, o)]
-                out = {"_key": [row["_key"]] * len(texts), "chunk_pos": range(len(texts)), "text": texts}
-                yield pd.DataFrame(out | {c: [row[c] if keep_metadata else None] * len(texts) for c in fields}).astype(object)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [[t for t, _ in merged_texts(x, None, o)] for x in b.column(1).to_pylist()]
+            row = pa.array([k for k, x in enumerate(texts) for _ in x], pa.int64())
+            place = pa.array([p for x in texts for p in range(len(x))], pa.int32())
+            rest = [b.column(k).take(row) if keep_metadata else pa.nulls(len(row), b.column(k).type) for k in range(2, b.num_columns)]
+            arrays = [b.column(0).take(row), place, pa.array([t for x in texts for t in x], pa.string()), *rest]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return cut.mapInPandas(merged, schema).withColumnRenamed("_key", key)
+    return cut.mapInArrow(merged, schema).withColumnRenamed("_key", key)
 
 
 def ingested(sources: DataFrame, source: str = "source", text: str = "text", o: ChunkOptions = ChunkOptions()) -> DataFrame:
