@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.text import lexical_tokens, words
+from lectern.functions.text import let, lexical_tokens, words
 from lectern.operators.embedding import Embedder, embedded
 from lectern.operators.neardup import merged_results
 from lectern.options import SearchOptions
@@ -51,10 +51,23 @@ class Index:
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    """(term, pos, tf, dl)."""
-    tokens = lexical_tokens(F.coalesce(F.col("text"), F.lit("")))
-    each = chunks.select("pos", tokens.alias("t")).select("pos", F.size("t").alias("dl"), F.explode("t").alias("term"))
-    return each.groupBy("term", "pos", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """(term, pos, tf, dl): runs of equal words in each chunk's sorted words, so that counting needs no shuffle."""
+
+    def runs(w: Column) -> Column:
+        first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
+        one = lambda starts: F.transform(
+            starts,
+            lambda i, k: F.struct(
+                F.get(w, i).alias("term"),
+                F.size(w).alias("dl"),
+                (F.coalesce(F.get(starts, k + 1), F.size(w)) - i).cast("long").alias("tf"),
+            ),
+        )
+        return F.when(F.size(w) > 0, let(first, one))
+
+    sorted_words = F.sort_array(lexical_tokens(F.coalesce(F.col("text"), F.lit(""))))
+    listed = chunks.select("pos", F.inline_outer(let(sorted_words, runs)))
+    return listed.where(F.col("term").isNotNull()).select("term", "pos", "tf", "dl")
 
 
 def term_weights(counts: DataFrame, corpus: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
