@@ -77,6 +77,7 @@ def java_replacement(put: str) -> str:
 
 
 def clean_text(c: Column, options: CleaningOptions = CleaningOptions(), is_ocr: bool = False) -> Column:
+    # The patterns of the steps are fixed values.
     t = F.coalesce(c, F.lit(""))
     if options.normalize_unicode:
         t = nfkc(t)
@@ -113,6 +114,7 @@ def capitalised(c: Column) -> Column:
 
 def prompt_text(c: Column) -> Column:
     """One paragraph for a model: line ends become full stops."""
+    # Fixed patterns, in the order that results depend on.
     steps = (
         ("\r\n|\r", "\n"),
         ("\n{2,}", "\n"),
@@ -129,6 +131,7 @@ def prompt_text(c: Column) -> Column:
 
 
 def ocr_text(c: Column) -> Column:
+    # Fixed patterns: broken words, white space, emphasis marks.
     t = sub(F.coalesce(c, F.lit("")), "-\n")
     t = sub(sub(t, r"(?U)\s*\n\s*", " "), r"(?U)\s+", " ")
     t = sub(sub(t, r"(\*\*|__)(.*?)\1", "$2"), r"(\*|_)(.*?)\1", "$2")
@@ -178,6 +181,7 @@ def text_quality(c: Column) -> Column:
     """0 to 1: word length, letters, spacing and sentences, less the marks of bad recognition."""
 
     def score(t: Column) -> Column:
+        # Fixed weights and patterns.
         size, w = F.length(t), words(t)
         count = lambda p: F.regexp_count(t, F.lit(p))
         length = F.length(F.array_join(w, "")) / F.size(w)
@@ -198,6 +202,7 @@ def needs_ocr(c: Column, page_area: Column | float = 0.0) -> Column:
     t = F.coalesce(c, F.lit(""))
     area = F.lit(page_area) if isinstance(page_area, (int, float)) else page_area
     size, n = F.length(strip(t)), F.size(words(t))
+    # Fixed limits and patterns.
     signs = [
         (size < 50) & (area > 1_000_000),
         (n > 0) & (size > 50 * n),
