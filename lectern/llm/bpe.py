@@ -32,7 +32,7 @@ _CHUNKS = regex.compile(f"[^{_BLANK}]+")
 #: Fixed pattern of the word vocabulary, over lower-case ASCII.
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
 #: Chunks remembered by a worker; beyond this its memory starts afresh.
-REMEMBERED = 500_000
+REMEMBERED = 400_000
 
 
 def byte_letters() -> list[str]:
@@ -214,6 +214,7 @@ def encode(docs: DataFrame, tokenizer: str, keep: tuple[str, ...] = ("doc_id",),
                 if decoded:
                     made.append(pa.array([bpe.decode(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], *made], names=out.names)
+        pa.default_memory_pool().release_unused()
 
     return slim.mapInArrow(run, out).withColumnsRenamed({f"_k{i}": c for i, c in enumerate(keep)})
 

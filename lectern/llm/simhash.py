@@ -121,7 +121,7 @@ class GrayIndex:
             tree = tree[head]
             self.levels.append((all_, any_, head, count, last))
 
-    def pairs(self, radius: int, room: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs(self, radius: int, room: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Positions (i, j), i < j, of codes of a group within ``radius``; i comes in blocks, in order."""
         sizes = np.bincount(self.tree)
         reach = sizes[self.tree]
@@ -381,17 +381,27 @@ def _suspects(sketches: DataFrame, min_similarity: float, radius: int, room: int
                 near[i] = near[j] = True
             at = np.flatnonzero(near)
             yield pa.RecordBatch.from_arrays([t.column(c).combine_chunks().take(pa.array(at)) for c in slim.names], names=slim.names)
+        pa.default_memory_pool().release_unused()
 
     return filed.repartition("k").sortWithinPartitions("k", gray_rank(F.col("fp"))).mapInArrow(run, slim)
 
 
+def _packed(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The packed 64-bit integers of each binary value, without a copy."""
+    held = column.combine_chunks()
+    _, ends, data = held.buffers()
+    ends = np.frombuffer(ends, np.int32)[held.offset : held.offset + len(held) + 1] // 8
+    values = np.frombuffer(data, np.uint64) if data is not None and data.size else np.empty(0, np.uint64)
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _verified_links(near: DataFrame, sets: DataFrame, min_similarity: float, radius: int) -> DataFrame:
     """Spanning links (a, b) between suspect rows of similar shingle sets (row, set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _whole_groups(batches):
             keys, code, row = (t.column(c).to_numpy() for c in ("k", "fp", "row"))
-            sets = [np.frombuffer(x, np.uint64) for x in t.column("set").to_pylist()]
+            sets = _packed(t.column("set"))
             size = np.array([len(x) for x in sets])
             label = np.arange(len(row))
             for i, j in GrayIndex(code.view(np.uint64), keys).pairs(radius):
@@ -405,6 +415,7 @@ def _verified_links(near: DataFrame, sets: DataFrame, min_similarity: float, rad
             far = np.flatnonzero(label != np.arange(len(row)))
             a, b = row[far], row[label[far]]
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        pa.default_memory_pool().release_unused()
 
     full = near.join(sets, "row").select("k", "fp", "row", "set")
     full = full.repartition("k").sortWithinPartitions("k", gray_rank(F.col("fp")))
