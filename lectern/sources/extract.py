@@ -9,7 +9,6 @@ from __future__ import annotations
 import csv
 import email
 import email.policy
-import hashlib
 import io
 import json
 import re
@@ -297,9 +296,8 @@ def read_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return files.select(F.col("path").alias("source"), name.alias("filename"), "content", F.col("modificationTime").alias("modified"), "length")
 
 
-def fetched(sources: DataFrame, fetch: Callable[[str], tuple[int, str, bytes]], timeout: float = 30.0) -> DataFrame:
-    """(source, status, content_type, content): a pluggable fetcher run over a sources table; ``.bin`` isn't fetched."""
-    del timeout  # the fetcher's own
+def fetched(sources: DataFrame, fetch: Callable[[str], tuple[int, str, bytes]]) -> DataFrame:
+    """(source, status, content_type, content): a pluggable fetcher (with its own time limit) run over a sources table; ``.bin`` isn't fetched."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -342,7 +340,3 @@ def api_text(df: DataFrame, body: str, options: CleaningOptions = CleaningOption
 
     out = df.withColumn("_p", F.pandas_udf(run, "text string, data_type string, data_keys string, method string")(F.col(body)))
     return out.select(*df.columns, "_p.text", "_p.data_type", "_p.data_keys", "_p.method")
-
-
-def digest(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
