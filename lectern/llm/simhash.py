@@ -29,7 +29,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -465,16 +464,14 @@ def near_duplicates(
     groups = sketches.groupBy("t").agg(first, F.first(F.struct("fp", "n", "low", "sig")).alias("s"))
     reps = stage(groups.select("m.x", "m.d", "m.row", "s.fp", "s.n", "s.low", "s.sig"), "distinct")
     near = stage(_suspects(reps, min_similarity, radius, room), "near")
-    # The only exchange of whole rows; suspects' shingles and the result are both read from it.
-    moved = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row").persist(StorageLevel.DISK_ONLY)
+    # Dealt by row twice, for the suspects' shingles and for the result: less disk than to hold all rows in between.
+    moved = whole.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "row")
     suspects = moved.join(near.select("row").distinct(), "row", "left_semi")
     sets = _shingle_sets(suspects.select("row", F.col("_row")["text"].alias("text")), width)
     edges = stage(_verified_links(near, sets, min_similarity, radius), "links")
-    root = components(edges)
+    root = stage(components(edges), "roots")
     placed = reps.join(root, reps["row"] == root["node"], "left").select("row", "x", "d", F.coalesce("root", "row").alias("root"))
     best = placed.groupBy("root").agg(F.min(F.struct("x", "d", "row")).alias("m")).select(F.col("m")["row"].alias("row"))
     kept = moved.join(best, "row", "left_semi")
-    result = stage(kept.select(*[F.col("_row")[c].alias(c) for c in cols]), "kept")
-    moved.unpersist()
-    discard(whole, sketches, reps, near, edges)
-    return result
+    discard(sketches, near, edges)
+    return kept.select(*[F.col("_row")[c].alias(c) for c in cols])
