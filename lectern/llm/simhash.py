@@ -300,16 +300,19 @@ def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     )
 
 
-#: Permutations of a text's signature; the first of them are also its routes.
-_TURNS = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) & (2**64 - 1) for k in range(64)], np.uint64)
+#: Random keys of the permutations of a text's signature; the first of them are also its routes.
+_TURNS = np.array([xxhash.xxh64_intdigest(b"turn %d" % k, SEED) for k in range(64)], np.uint64)
 
 
 def signature(h: np.ndarray) -> np.ndarray:
-    """Smallest shingle hash under each permutation."""
+    """Smallest shingle hash under each permutation: a key of its own, then splitmix64's finaliser, so that minima are independent."""
     low = np.full(len(_TURNS), 2**64 - 1, np.uint64)
-    for at in range(0, len(h), 8192):
-        x = h[at : at + 8192, None] * _TURNS
-        x ^= x >> np.uint64(32)
+    for at in range(0, len(h), 512):
+        x = h[at : at + 512, None] ^ _TURNS
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x ^= x >> np.uint64(shift)
+            x *= np.uint64(factor)
+        x ^= x >> np.uint64(31)
         low = np.minimum(low, x.min(0))
     return low
 
@@ -352,7 +355,8 @@ def _suspects(sketches: DataFrame, min_similarity: float, radius: int, room: int
     """(k, fp, row): rows under the keys where they have a partner of like size within the radius.
 
     A partner must also share half of the 64 signature bytes at least: pairs of
-    similarity 0.8 share 51 on average, with a deviation of 3.2. A pair counts only under the first of the smallest hashes that both share,
+    similarity 0.8 share 51.2 on average, with a deviation of 3.2 as the permutations
+    are independent, so half is six deviations off. A pair counts only under the first of the smallest hashes that both share,
     so a row is carried on for few of its keys.
     """
     filed = sketches.select("row", "fp", "n", "low", "sig", F.posexplode("low").alias("j", "v")).withColumn("k", F.xxhash64("j", "v"))

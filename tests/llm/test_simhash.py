@@ -137,3 +137,20 @@ def test_near_duplicates_on_odd_tables(odd, empty):
     assert out.columns == odd("row").columns
     assert sorted(str(x["doc_id"]) for x in out.collect()) == ["1", "3", "5", "6", "7", "8", "None"]
     assert s.near_duplicates(empty).count() == 0
+
+
+@pytest.mark.parametrize("n, shared", [(200, 178), (60, 54)])
+def test_signatures_of_similar_sets_meet(n, shared):
+    """Pairs just over 0.8: none without a common route, none with under half of the signature's bytes."""
+    rng = np.random.default_rng(5)
+    lost = unlike = 0
+    alike = []
+    for _ in range(3000):
+        h = rng.integers(0, 2**64, 2 * n - shared, np.uint64)
+        a, b = s.signature(h[:n]), s.signature(h[n - shared :])
+        lost += not (a[:8] == b[:8]).any()
+        alike.append((a.astype(np.uint8) == b.astype(np.uint8)).sum())
+        unlike += alike[-1] < 32
+    similarity = shared / (2 * n - shared)
+    assert lost == 0 and unlike == 0
+    assert abs(np.mean(alike) - 64 * similarity) < 0.6 and np.std(alike) < 3.5
