@@ -318,7 +318,7 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def _sketched(texts: DataFrame, width: int, routes: int) -> DataFrame:
-    """row, doc_id, key of the text, fp, number of distinct shingles, ``routes`` smallest hashes, and a byte of all 64."""
+    """row, doc_id, key of the text, fp of and number of distinct shingles, ``routes`` smallest hashes, and a byte of all 64."""
     slim = texts.select("row", "doc_id", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("t"), "text")
     more = [("fp", T.LongType()), ("n", T.LongType()), ("low", T.ArrayType(T.LongType())), ("sig", T.BinaryType())]
     out = T.StructType([*slim.schema.fields[:3], *[T.StructField(*x) for x in more]])
@@ -327,9 +327,8 @@ def _sketched(texts: DataFrame, width: int, routes: int) -> DataFrame:
         for b in _portions(batches):
             fp, n, low, sig = [], [], [], []
             for t in b.column(3).to_pylist():
-                h = hashes_of(t, width)
+                h = np.unique(hashes_of(t, width))  # similarity is of sets, so repeats must not weigh
                 fp.append(simhash(h))
-                h = np.unique(h)
                 n.append(len(h))
                 least = signature(h)
                 low.append(least[:routes].view(np.int64).tolist() if len(h) else [])
@@ -453,7 +452,7 @@ def near_duplicates(
     """One row of each class, with all columns: the one with the smallest id (null ids last).
 
     The radius lies five deviations above the 9.7 bits that fingerprints of
-    similarity 0.8 differ in on average.
+    sets of similarity 0.8 differ in on average.
 
     Equal texts are one class before anything else; texts without words are
     equal to each other only if they are the same text.

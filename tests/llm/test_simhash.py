@@ -154,3 +154,15 @@ def test_signatures_of_similar_sets_meet(n, shared):
     similarity = shared / (2 * n - shared)
     assert lost == 0 and unlike == 0
     assert abs(np.mean(alike) - 64 * similarity) < 0.6 and np.std(alike) < 3.5
+
+
+def test_repeated_passages_do_not_hide_near_duplicates(spark):
+    """A short passage once and ten times: the shingle sets are nearly equal, the weighted fingerprints are not."""
+    texts = []
+    for k in range(80):
+        body, passage = [f"b{k}x{i}" for i in range(104)], [f"p{k}x{i}" for i in range(6)]
+        texts += [" ".join(body + passage), " ".join(body + passage * 10)]
+    label = jaccard_classes(texts)
+    assert len(set(label)) == 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x["doc_id"] for x in s.near_duplicates(df).collect()) == sorted(set(label))
