@@ -21,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 _PLAIN = CleaningOptions(normalize_unicode=False)
+_WHOLE = CleaningOptions(normalize_unicode=False, max_length=10**9)
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -741,14 +742,14 @@ def html_title(spark, sf_dir):
 
 @query()
 def html_web_text(spark, sf_dir):
-    return extract.web_text(load(spark, sf_dir, "pages"), _PLAIN).select("page_id", "text")
+    return extract.web_text(load(spark, sf_dir, "pages"), _WHOLE).select("page_id", "text")
 
 
 @query()
 def html_file_text(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
     files = p.select(F.col("url").alias("source"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode("html", "UTF-8").alias("content"))
-    return extract.extract(files, _PLAIN).select("source", "text", "success", "file_hash")
+    return extract.extract(files, _WHOLE).select("source", "text", "success", "file_hash")
 
 
 @query("SELECT event_id, '{' || chr(10) || '  ' || substring(props, 2, length(props) - 2) || chr(10) || '}' AS text, 'dict' AS data_type, json_keys(props)[1] AS data_keys, 'api_parser_json' AS method FROM events")
@@ -797,7 +798,7 @@ def streaming_chunks(spark, sf_dir):
     out = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
     schema = _docs(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    chunks = ingest.chunk_stream(stream, "doc_id")
+    chunks = ingest.chunk_stream(stream, "doc_id", cleaning=_WHOLE)
     ingest.append_to(chunks, f"{out}/table", f"{out}/progress").awaitTermination()
     got = spark.read.parquet(f"{out}/table")
     cols = ["chunk_pos", "start_idx", "end_idx"]

@@ -22,9 +22,15 @@ def unrepeated(stream: DataFrame, event_time: str, text: str = "text", delay: st
     return keyed.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["text_hash"])
 
 
-def chunk_stream(stream: DataFrame, *keep: str, text: str = "text", o: ChunkOptions = ChunkOptions()) -> DataFrame:
-    """Stateless: cleaned word windows of each row."""
-    cleaned = stream.withColumn(text, clean_text(F.col(text), CleaningOptions(normalize_unicode=False)))
+def chunk_stream(
+    stream: DataFrame,
+    *keep: str,
+    text: str = "text",
+    o: ChunkOptions = ChunkOptions(),
+    cleaning: CleaningOptions = CleaningOptions(normalize_unicode=False, max_length=10**9),
+) -> DataFrame:
+    """Stateless: cleaned word windows of each row, of the whole text unless ``cleaning`` bounds it."""
+    cleaned = stream.withColumn(text, clean_text(F.col(text), cleaning))
     return exploded(cleaned, fixed_chunks(F.col(text), o), *keep)
 
 

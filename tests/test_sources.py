@@ -170,3 +170,18 @@ def test_pages(spark):
     rows = [("s", 2, good, "", 0.0), ("s", 1, "", "scanned words of page one", 0.0), ("s", 3, " ", None, 0.0), ("t", 1, good, "other", 0.0)]
     got = {r["source"]: r for r in D.assembled_pages(spark.createDataFrame(rows, "source string, page int, digital string, ocr string, area double")).collect()}
     assert got["s"]["text"] == f"scanned words of page one\n\n{good}" and got["s"]["ocr_used"] and not got["t"]["ocr_used"]
+
+
+def test_long_texts_stay_whole(spark, tmp_path):
+    """Texts of over 100,000 characters, the default bound of cleaning."""
+    from lectern.queries import QUERIES
+
+    words = [f"word{k:06d}" for k in range(20_000)]
+    text = " ".join(words)
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    page = f"<html><body><p>{text}</p></body></html>"
+    spark.createDataFrame([(1, "http://h/1", page)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    seen = {w for r in QUERIES["streaming_chunks"](spark, str(tmp_path)).collect() for w in r["text"].split()}
+    assert seen == set(words)
+    for name in ("html_web_text", "html_file_text"):
+        assert QUERIES[name](spark, str(tmp_path)).first()["text"].split() == words
