@@ -1,21 +1,21 @@
 """Language-model scoring by logistic context mixing.
 
-The model gives the probability of a text's words, spelled byte by byte, with a
-blank after each word and a line end after the last. A byte is a walk down a
-Huffman tree of the training bytes; each turn is a bit that several predictors
-judge, each from its own hashed context: the last two, three and five bytes of
-the word, and all of it so far. Predictors are counts of both turns in tables
-of a fixed size. Their log-odds are combined by weights that a gate picks (how
-much each context has been seen), learned online in small steps, with the
-current occurrence left out of the counts; an adaptive map then refines the
-mixture. Contexts end at the blank, so a word's bits are the same wherever it
-stands: they are summed once for each distinct word of the corpus.
+The model gives the probability of a text, its words spelled byte by byte in
+their order, with a blank after each word and a line end after the last. A byte
+is a walk down a Huffman tree of the training bytes; each turn is a bit that
+several predictors judge, each from its own hashed context: the last two, three
+and five bytes of the text, across blanks; the word so far; and the word so far
+with the whole word before it. Predictors are counts of both turns in tables of
+a fixed size. Their log-odds are combined by weights that a gate picks (how
+much each context has been seen), learned online in small steps along the
+training texts, with the current occurrence left out of the counts; an adaptive
+map then refines the mixture. A score is that of the whole sequence, so it
+changes with the order of the words.
 
 What is gathered from the corpus grows with it: words are counted over all
-documents, training and held out apart, into a staged table, from which
-vocabulary, bit counts, weights and map are all drawn. Every word then has its
-exact training count and its bits in one lexicon; the ``head`` most frequent
-words go to the tasks, all others are met by a join.
+documents, training and held out apart, into a staged table for the base model;
+the ``head`` most frequent words go to the tasks, all others are met by a join.
+Bit counts, weights and map are learned from every training text.
 
 Defined results: a null or empty text is the end token alone. A null id counts
 as an empty text for the split. Repeated rows are learned and scored each time.
@@ -40,12 +40,12 @@ from pyspark.sql import types as T
 
 from lectern.llm._common import discard, python_workers_see_library, stage
 
-#: Bits of each predictor's table: contexts of 2, 3 and 5 bytes and the word so far.
-TABLE_BITS = (16, 19, 20, 21)
+#: Bits of each predictor's table: contexts of 2, 3 and 5 bytes, the word so far, and that after the word before.
+TABLE_BITS = (16, 19, 20, 21, 21)
 _U = np.uint64
-_MIX = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_MIX = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 _BASE = _U(0x100000001B3)
-_GATES = 64
+_GATES = 64  # four degrees of use of each of the last three contexts
 _STEPS = 24  # buckets of the adaptive map, over log-odds from -12 to 12
 _EVEN = 0.05  # added to the counts of both turns
 _HEAD_BYTES = 64  # longer words are met by the join, so that the head's size is bounded
@@ -127,47 +127,82 @@ class Tree:
         return cls(np.array([len(paths[b]) for b in range(256)]), node, turn)
 
 
-def bits_of(words: list[bytes], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For every bit of the words' spelling: its word, its slot in each table, its turn."""
-    spelled = [w + b" " if w else b"\n" for w in words]
-    raw = np.frombuffer(b"".join(spelled), np.uint8)
-    sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
-    start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-    place = np.arange(len(raw)) - start
+def spelled(words: list[bytes]) -> bytes:
+    """The words in order, each with a blank after it; :func:`bits_of` adds the line end."""
+    return b"".join([w + b" " for w in words])
+
+
+def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every byte of the texts and the line end after each: the byte, its text, its hashed contexts."""
+    raw = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+    begin = np.cumsum(sizes) - sizes
+    place = np.arange(len(raw)) - np.repeat(begin, sizes)
     wide = raw.astype(np.uint64) + _U(1)
-    power = np.concatenate([[_U(1)], np.cumprod(np.full(int(sizes.max()), _BASE))])
-    rolled = np.concatenate([[_U(0)], np.cumsum(wide * power[place])])  # wraps around, as a hash may
     near, h = {}, np.zeros(len(raw), np.uint64)
     for j in range(1, 6):
         h = h * _U(257) + np.where(place >= j, np.roll(wide, j), _U(0))
         near[j] = h
-    contexts = (near[2], near[3], near[5], rolled[:-1] - rolled[start])  # the last: bytes of the word before this one
+    # A word ends with its blank or line end; its hash is a sum over its bytes, by their place in it.
+    opens = np.zeros(len(raw), bool)
+    opens[begin] = True
+    opens[1:] |= raw[:-1] == 32
+    heads = np.flatnonzero(opens)
+    lengths = np.diff(np.append(heads, len(raw)))
+    power = np.concatenate([[_U(1)], np.cumprod(np.full(int(lengths.max()), _BASE))])
+    rolled = np.concatenate([[_U(0)], np.cumsum(wide * power[np.arange(len(raw)) - np.repeat(heads, lengths)])])  # wraps around, as a hash may
+    word = rolled[:-1] - np.repeat(rolled[heads], lengths)
+    whole = np.concatenate([[_U(0)], np.diff(rolled[np.append(heads, len(raw))])[:-1]])
+    whole[place[heads] == 0] = 0
+    before = np.repeat((whole ^ (whole >> _U(29))) * _MIX[1], lengths)
+    contexts = []
+    for c, mix in zip((near[2], near[3], near[5], word, word + before), _MIX):
+        c = c * mix
+        c ^= c >> _U(31)
+        contexts.append(((c * mix) >> _U(32)).astype(np.uint32))
+    return raw, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), contexts
+
+
+def _walks(raw: np.ndarray, contexts: list[np.ndarray], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For every bit of the bytes: its byte's position, its slot in each table, its turn."""
     depth = tree.length[raw]
     at = np.repeat(np.arange(len(raw), dtype=np.int32), depth)
     step = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(depth) - depth).astype(np.int32), depth)
     cell = raw[at].astype(np.int32) * tree.node.shape[1] + step
     node = tree.salted[cell]
-    turn = tree.turn.reshape(-1)[cell]
     slots = []
-    for c, mix, bits in zip(contexts, _MIX, TABLE_BITS):
-        c = c * mix
-        c ^= c >> _U(31)
-        h = ((c * mix) >> _U(32)).astype(np.uint32)[at]
+    for c, bits in zip(contexts, TABLE_BITS):
+        h = c[at]
         h ^= node
         h *= np.uint32(0x9E3779B1)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA77)
         slots.append((h >> np.uint32(32 - bits)).astype(np.int32))
-    word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)[at]
-    return word, slots, turn
+    return at, slots, tree.turn.reshape(-1)[cell]
+
+
+def bits_of(texts: list[bytes], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """For every bit of the texts' spelling: its text, its slot in each table, its turn."""
+    raw, owner, contexts = contexts_of(texts)
+    at, slots, turn = _walks(raw, contexts, tree)
+    return owner[at], slots, turn
+
 
+def _strides(texts: list[bytes], tree: Tree, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
+    """As :func:`bits_of`, by ``most`` bytes at a time, with contexts that go on across them."""
+    raw, owner, contexts = contexts_of(texts)
+    for k in range(0, len(raw), most):
+        part = slice(k, k + most)
+        at, slots, turn = _walks(raw[part], [c[part] for c in contexts], tree)
+        yield owner[part][at], slots, turn
 
-def _portions(words: list[bytes], most: int) -> Iterator[list[bytes]]:
-    """Runs of words with about ``most`` bytes."""
+
+def _portions(texts: Iterator[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
+    """Runs of whole texts with about ``most`` bytes."""
     part, size = [], 0
-    for w in words:
-        part.append(w)
-        size += len(w) + 1
+    for t in texts:
+        part.append(t)
+        size += len(t) + 1
         if size >= most:
             yield part
             part, size = [], 0
@@ -175,13 +210,25 @@ def _portions(words: list[bytes], most: int) -> Iterator[list[bytes]]:
         yield part
 
 
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
+    """Portions of the training texts in (doc_id, text)."""
+
+    def texts() -> Iterator[bytes]:
+        for b in batches:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not held_out(doc_id):
+                    yield spelled(words_of(text))
+
+    return _portions(texts())
+
+
 def byte_counts(words: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256)
         for b in batches:
-            spelled = [w + b" " if w else b"\n" for w in b.column(0).to_pylist()]
-            raw = np.frombuffer(b"".join(spelled), np.uint8)
-            each = np.repeat(b.column(1).to_numpy().astype(float), [len(x) for x in spelled])
+            ended = [w + b" " if w else b"\n" for w in b.column(0).to_pylist()]
+            raw = np.frombuffer(b"".join(ended), np.uint8)
+            each = np.repeat(b.column(1).to_numpy().astype(float), [len(x) for x in ended])
             total += np.bincount(raw, each, 256)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["byte", "c"])
@@ -192,28 +239,23 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_counts(words: DataFrame, tree: Tree) -> list[np.ndarray]:
-    """Counts of both turns for every slot of every table, summed over all tasks.
+def bit_counts(docs: DataFrame, tree: Tree) -> list[np.ndarray]:
+    """Counts of both turns for every slot of every table along all training texts, summed over all tasks.
 
     The tables have a fixed size; they travel in blocks, summed by 64 tasks'
     parts at a time first, so that no group grows with the number of tasks.
     """
-    spark = words.sparkSession
+    spark = docs.sparkSession
     held = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
-        for b in batches:
-            names, counts = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float32)
-            first = 0
-            for part in _portions(names, 16_000):
-                word, slots, turn = bits_of(part, held.value)
-                weight = counts[first + word]
-                first += len(part)
+        tables = [np.zeros((2, 1 << bits), np.int64) for bits in TABLE_BITS]
+        for part in _learned(batches):
+            for _, slots, turn in _strides(part, held.value, 16_384):
                 for t, s in zip(tables, slots):
-                    np.add.at(t.reshape(-1), s + turn.astype(np.int64) * t.shape[1], weight)
+                    np.add.at(t.reshape(-1), s + turn.astype(np.int64) * t.shape[1], 1)
         part = TaskContext.get().partitionId() // 64
         for k, t in enumerate(tables):
             blocks = t.reshape(2, -1, min(_BLOCK, t.shape[1]))
@@ -224,7 +266,7 @@ def bit_counts(words: DataFrame, tree: Tree) -> list[np.ndarray]:
                     yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
 
     schema = "t long, block long, part long, counts binary"
-    parts = stage(_summed(_summed(words.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long"))), "tables")
+    parts = stage(_summed(_summed(docs.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long"))), "tables")
     out = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
     for r in parts.toLocalIterator():
         t = out[r["t"]]
@@ -263,7 +305,7 @@ class Model:
                 one = np.maximum(one - turn, 0)
                 zero = np.maximum(zero - (1 - turn), 0)
             odds[k] = np.log((one + np.float32(_EVEN)) / (zero + np.float32(_EVEN)))
-            if k:
+            if k > 1:
                 n = one + zero
                 gate = gate * 4 + (n > 0) + (n > 2) + (n > 20)
         odds[-1] = 0.3
@@ -276,17 +318,25 @@ class Model:
             x += w[:, k][gate] * odds[k]
         return np.clip(x, np.float32(-11.99), np.float32(11.99))
 
-    def score(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word."""
-        out = []
-        for part in _portions(words, 16_000):
-            word, slots, turn = bits_of(part, self.tree)
-            odds, gate = self.judged(slots)
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """log10 probability of each spelled text."""
+        if not hasattr(self, "final"):  # log-odds and degree of use of each slot, made once a worker
+            self.final = [np.log((t[1] + np.float32(_EVEN)) / (t[0] + np.float32(_EVEN))) for t in self.tables]
+            uses = [t[0] + t[1] for t in self.tables[2:]]
+            self.degree = [(n > 0).astype(np.uint8) + (n > 2) + (n > 20) for n in uses]
+        out = np.zeros(len(texts))
+        for owner, slots, turn in _strides(texts, self.tree, 16_384):
+            odds = [*(t[s] for t, s in zip(self.final, slots)), np.float32(0.3)]
+            gate = np.zeros(len(turn), np.int64)
+            for t, s in zip(self.degree, slots[2:]):
+                gate = gate * 4 + t[s]
             x = self.mixed(odds, gate)
             p = (1 / (1 + np.exp(-x)) + refine(self.refined, x, gate)) / 2
             p = np.clip(np.where(turn == 1, p, 1 - p), 1e-6, 1 - 1e-6)
-            out.append(np.bincount(word, np.log10(p), len(part)))
-        return np.concatenate(out) if out else np.empty(0)
+            first = owner[0]
+            sums = np.bincount(owner - first, np.log10(p))
+            out[first : first + len(sums)] += sums
+        return out
 
 
 def refine(table: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
@@ -297,9 +347,9 @@ def refine(table: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
     return table[gate, low] * (1 - share) + table[gate, low + 1] * share
 
 
-def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: float = 0.02) -> Model:
-    """Weights learned online in every task over its part of all training words, then averaged by the bits seen."""
-    spark = words.sparkSession
+def fit_mixer(docs: DataFrame, tree: Tree, tables: list[np.ndarray], rate: float = 0.02) -> Model:
+    """Weights learned online in every task along its part of all training texts, then averaged by the bits seen."""
+    spark = docs.sparkSession
     start = np.full((_GATES, len(TABLE_BITS) + 1), 0.35)
     even = 1 / (1 + np.exp(-(np.arange(_STEPS + 2) - _STEPS / 2)))
     model = Model(tree, tables, start, np.tile(even, (_GATES, 1)))
@@ -312,17 +362,12 @@ def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: floa
         weights, pace = m.weights.copy(), np.full(m.weights.shape, 1e-3)
         seen = np.zeros(_GATES)
         cells = np.zeros((2, _GATES * (_STEPS + 2)))
-        for b in batches:
-            names, counts = b.column(0).to_pylist(), b.column(1).to_numpy().astype(np.float32)
-            first = 0
-            for part in _portions(names, 8_000):
-                word, slots, turn = bits_of(part, m.tree)
-                each = counts[first + word]
-                first += len(part)
+        for part in _learned(batches):
+            for _, slots, turn in _strides(part, m.tree, 8_192):
                 odds, gate = m.judged(slots, turn)
                 x = m.mixed(odds, gate, weights)
-                miss = (turn - 1 / (1 + np.exp(-x))) * each
-                mass = np.bincount(gate, each, _GATES)
+                miss = turn - 1 / (1 + np.exp(-x))
+                mass = np.bincount(gate, minlength=_GATES)
                 for k in range(len(odds)):
                     slope = np.bincount(gate, miss * odds[k], _GATES) / np.maximum(mass, 1)
                     pace[:, k] += slope * slope
@@ -330,10 +375,10 @@ def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: floa
                 seen += mass
                 at = x + np.float32(_STEPS // 2)
                 low = at.astype(np.int32)
-                up = (at - low) * each
+                up = at - low
                 where, n = gate * (_STEPS + 2) + low, cells.shape[1]
                 for row, c in ((0, None), (1, turn)):
-                    near, far = (each - up, up) if c is None else ((each - up) * c, up * c)
+                    near, far = (1 - up, up) if c is None else ((1 - up) * c, up * c)
                     cells[row] += np.bincount(where, near, n)
                     cells[row] += np.bincount(where + 1, far, n)
         packed = np.concatenate([(weights * seen[:, None]).ravel(), seen, cells.ravel()]).tobytes()
@@ -341,7 +386,7 @@ def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: floa
         arrays = [pa.array([0]), pa.array([0]), pa.array([part]), pa.array([packed], pa.binary())]
         yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
 
-    parts = words.mapInArrow(run, "t long, block long, part long, counts binary")
+    parts = docs.mapInArrow(run, "t long, block long, part long, counts binary")
     rows = _summed(_summed(parts).withColumn("part", F.lit(0).cast("long"))).collect()
     if rows:
         total, seen, cells = np.split(np.frombuffer(rows[0]["counts"]), [start.size, start.size + _GATES])
@@ -351,21 +396,9 @@ def fit_mixer(words: DataFrame, tree: Tree, tables: list[np.ndarray], rate: floa
     return model
 
 
-def fit(words: DataFrame) -> Model:
+def fit(docs: DataFrame, words: DataFrame) -> Model:
     tree = Tree.of(byte_counts(words))
-    return fit_mixer(words, tree, bit_counts(words, tree))
-
-
-def lexicon(words: DataFrame, model: Model) -> DataFrame:
-    """(word, c, bits): each distinct word's training count and log10 probability."""
-    held = words.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            scores = pa.array(held.value.score(b.column(0).to_pylist()), pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), scores], names=["word", "c", "bits"])
-
-    return words.select("word", "c").mapInArrow(run, "word binary, c long, bits double")
+    return fit_mixer(docs, tree, bit_counts(docs, tree))
 
 
 def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
@@ -377,41 +410,43 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
     learned = words.where(F.col("c") > 0).select("word", "c")
     sums = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, n_distinct = int(sums[0]), int(sums[1])
-    scored_words = stage(lexicon(words, fit(learned)), "lexicon")
+    model = spark.sparkContext.broadcast(fit(slim, learned))
     short = F.length("word") <= _HEAD_BYTES
-    top = {bytes(r["word"]): (r["c"], r["bits"]) for r in scored_words.where(short).orderBy(F.desc("c"), "word").limit(head).collect()}
-    beyond = F.col("c") <= min(c for c, _ in top.values()) if len(top) >= head else F.lit(False)
-    rest = scored_words.where(~short | beyond)
-    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), bits, c > 0) for w, (c, bits) in top.items()})
+    top = {bytes(r["word"]): r["c"] for r in words.where(short).orderBy(F.desc("c"), "word").limit(head).collect()}
+    beyond = F.col("c") <= min(top.values()) if len(top) >= head else F.lit(False)
+    rest = words.where(~short | beyond).select("word", "c")
+    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), c > 0) for w, c in top.items()})
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_sum", T.DoubleType())]
-    fields += [("head_score", T.DoubleType()), ("n_bytes", T.LongType()), ("tail", tail)]
+    fields += [("score", T.DoubleType()), ("n_bytes", T.LongType()), ("tail", tail)]
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(*f) for f in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
 
         def done(ids: pa.Array, texts: list) -> pa.RecordBatch:
-            rows, left_words, left_counts, ends = [], [], [], [0]
+            rows, left_words, left_counts, ends, whole = [], [], [], [0], []
             for doc_id, text in zip(ids.to_pylist(), texts):
                 mine = words_of(text)
                 counts = Counter(mine)
                 counts[b""] = 1
-                n, total, bits = 0, 0.0, 0.0
+                n, total = 0, 0.0
+                whole.append(spelled(mine))
                 for w, k in counts.items():
                     found = table.get(w)
                     if found is None:
                         left_words.append(w)
                         left_counts.append(k)
                     else:
-                        n += k * found[2]
+                        n += k * found[1]
                         total += k * found[0]
-                        bits += k * found[1]
                 ends.append(len(left_words))
-                rows.append((held_out(doc_id), len(mine) + 1, n, total, bits, sum(map(len, mine)) + len(mine) + 1))
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
+                rows.append((held_out(doc_id), len(mine) + 1, n, total, len(whole[-1]) + 1))
+            scores = np.concatenate([model.value.score(part) for part in _portions(whole)])
+            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
+            arrays.insert(4, pa.array(scores, pa.float64()))
             pairs = pa.StructArray.from_arrays([pa.array(left_words, pa.binary()), pa.array(left_counts, pa.int64())], names=["w", "k"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             return pa.RecordBatch.from_arrays([ids, *arrays, lists], names=schema.names)
@@ -427,10 +462,8 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
     met = left.join(rest, "word").groupBy("row").agg(
         F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("n_tail"),
         F.sum(F.col("k") * F.log10(F.col("c") + F.lit(0.1))).alias("tail_sum"),
-        F.sum(F.col("k") * F.col("bits")).alias("tail_score"),
     )
     space = math.log10(n_train + 0.1 * (n_distinct + 1))
-    score = F.col("head_score") + F.coalesce("tail_score", F.lit(0.0))
     return scored.drop("tail").join(met, "row", "left").select(
         "doc_id",
         "held_out",
@@ -438,6 +471,6 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
         (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"),
         (F.col("head_sum") + F.coalesce("tail_sum", F.lit(0.0)) - F.col("n_tokens") * F.lit(space)).alias("base_score"),
-        score.alias("score"),
-        (-score / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
+        "score",
+        (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"),
     )

@@ -69,6 +69,31 @@ def test_slots_depend_on_context_alone():
     assert all((s[a[late]] == s[c[late]]).all() for s in slots[:3]) and not (slots[3][a[late]] == slots[3][c[late]]).all()
 
 
+def test_score_depends_on_the_order_of_words(spark):
+    """Contexts cross blanks and hold the word before, so a shuffled text is less likely."""
+    phrase = "the quick brown fox jumps over the lazy dog while seven small birds sing above old stones".split()
+    mixed = phrase[::2] + phrase[1::2][::-1]
+    texts = [" ".join(phrase * 5)] * 40 + [" ".join(mixed)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: r for r in m.score_documents(df.union(spark.createDataFrame([(99, " ".join(phrase))], df.schema))).collect()}
+    assert abs(rows[40]["base_score"] - rows[99]["base_score"]) < 1e-9
+    assert rows[99]["score"] > rows[40]["score"] + 1
+
+
+def test_contexts_cross_blanks_and_strides():
+    tree = m.Tree.of(np.ones(256, int))
+    owner, slots, _ = m.bits_of([b"one two end ", b"six two end "], tree)
+    a, b = (np.flatnonzero(owner == k) for k in (0, 1))
+    second = slice(4 * 8, 5 * 8)  # the first byte after the first blank
+    assert all((s[a[second]] != s[b[second]]).any() for s in (slots[0], slots[1], slots[2], slots[4]))
+    assert (slots[3][a[second]] == slots[3][b[second]]).all()
+    third = slice(9 * 8, 10 * 8)  # one byte into "end": five bytes back and the word before are equal again
+    assert all((s[a[third]] == s[b[third]]).all() for s in slots)
+    parts = list(m._strides([b"one two end ", b"six two end "], tree, 5))
+    assert (np.concatenate([p[0] for p in parts]) == owner).all()
+    assert all((np.concatenate([p[1][k] for p in parts]) == slots[k]).all() for k in range(len(slots)))
+
+
 def containment(docs, items):
     out = []
     for it in items:
