@@ -100,6 +100,19 @@ def item_blocks(items: DataFrame, width: int, max_shingles: int) -> Iterator[Blo
         yield block
 
 
+def smallest(windows: np.ndarray) -> np.ndarray:
+    """The ``SKETCH`` smallest distinct hashes of each window; fewer are filled up with the sentinel."""
+    least = np.partition(windows, SKETCH - 1, axis=1)[:, :SKETCH]
+    least.sort(axis=1)
+    again = (least[:, 1:] == least[:, :-1]) & (least[:, 1:] != _SENTINEL)
+    short = np.flatnonzero(again.any(axis=1))
+    if len(short):  # only windows that repeat one of their smallest hashes need all of it sorted
+        whole = np.sort(windows[short], axis=1)
+        whole[:, 1:][whole[:, 1:] == whole[:, :-1]] = _SENTINEL
+        least[short] = np.partition(whole, SKETCH - 1, axis=1)[:, :SKETCH]
+    return least
+
+
 class Searcher:
     """Finds a block's items in batches of documents."""
 
@@ -141,7 +154,7 @@ class Searcher:
                 part = grid[at : at + 4097]
                 window = np.concatenate([part[:-1], part[1:]], axis=1)
                 if window.shape[1] > SKETCH:
-                    window = np.partition(window, SKETCH - 1, axis=1)[:, :SKETCH]
+                    window = smallest(window)
                 rows, cols = np.nonzero(seen[(window >> shift).astype(np.int64)])
                 for r, h in zip(rows.tolist(), window[rows, cols].tolist()):
                     if h in held:

@@ -135,3 +135,28 @@ def test_short_item_in_a_long_document(spark):
     items = spark.createDataFrame([(7, item)], "item_id long, text string")
     got = {r["doc_id"]: r["containment"] for r in d.contained_items(docs, items).collect()}
     assert got == {1: 1.0, 3: 28 / 33}
+
+
+def test_sketch_holds_distinct_hashes():
+    """A shingle that fills a window takes one place of the sketch, not all."""
+    rng = np.random.default_rng(2)
+    rows = rng.integers(1, 2**63, (50, 256), np.uint64)
+    rows[:25, 52:] = rows[:25, :1] // np.uint64(2**20)  # small, so that repeats would fill the sketch
+    rows[25:, 52:] = np.tile(rows[25:, 52:57], (1, 41))[:, :204]
+    rows[0, 200:] = d._SENTINEL
+    got = d.smallest(rows.copy())
+    for have, row in zip(got, rows):
+        want = np.unique(row[row != d._SENTINEL])[: d.SKETCH]
+        assert sorted(set(have.tolist()) - {int(d._SENTINEL)}) == want.tolist()
+
+
+def test_item_beside_a_repeated_word_is_found(spark):
+    """A passage of 52 of 65 shingles beside a single word over and over, whichever hash that word has."""
+    items, docs = [], []
+    words = [f"q{i}" for i in range(69)]
+    items.append((0, " ".join(words)))
+    for k in range(400):
+        docs.append((k, " ".join([f"filler{k}"] * (200 + k % 65) + words[:56] + [f"filler{k}"] * 400)))
+    items = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert d.contained_items(df, items).count() == 400
