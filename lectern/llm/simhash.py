@@ -361,8 +361,12 @@ def _suspects(sketches: DataFrame, min_similarity: float, radius: int, room: int
     filed = sketches.select("row", "fp", "n", "low", "sig", F.posexplode("low").alias("j", "v")).withColumn("k", F.xxhash64("j", "v"))
     counts = filed.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     filed = filed.join(counts, "k")
-    # A crowded key is filed again under the other smallest hashes beside it.
-    finer = F.when(F.col("c") > room, F.transform("low", lambda v, i: F.xxhash64("k", i, v))).otherwise(F.array("k"))
+    # A crowded key is split exactly: its rows are dealt into blocks of half the room, and every two blocks meet under a key of their own.
+    filed = filed.withColumn("blocks", F.ceil(F.col("c") / F.lit(max(room // 2, 1))))
+    filed = filed.withColumn("block", F.pmod(F.xxhash64("row", F.lit(SEED)), "blocks"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda q: q != F.col("block"))
+    met = F.transform(others, lambda q: F.xxhash64("k", F.least("block", q), F.greatest("block", q)))
+    finer = F.when(F.col("c") > room, met).otherwise(F.array("k"))
     filed = filed.select("row", "fp", "n", "low", "sig", "j", F.explode(finer).alias("k"))
     slim = T.StructType([T.StructField(c, T.LongType()) for c in ("k", "fp", "row")])
 

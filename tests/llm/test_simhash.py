@@ -166,3 +166,19 @@ def test_repeated_passages_do_not_hide_near_duplicates(spark):
     assert len(set(label)) == 80
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x["doc_id"] for x in s.near_duplicates(df).collect()) == sorted(set(label))
+
+
+def test_crowded_keys_are_split(spark):
+    """600 differing near copies share keys: every pair meets, and no group is over the room by much."""
+    r = random.Random(8)
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base[: (at := r.randrange(300))] + [f"e{k}"] + base[at + 1 :]) for k in range(600)]
+    rows = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    sketches = s._sketched(rows, 5, 8).cache()
+    filed = s._suspects(sketches, 0.8, 24, 100).collect()
+    sizes = {}
+    for x in filed:
+        sizes[x["k"]] = sizes.get(x["k"], 0) + 1
+    assert max(sizes.values()) <= 160 and {x["row"] for x in filed} == set(range(600))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [x["doc_id"] for x in s.near_duplicates(df, room=100).collect()] == [0]
