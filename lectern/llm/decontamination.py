@@ -1,27 +1,28 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
-Items are partitioned by size; for a partition of items up to u shingles, each
-document is seen through overlapping windows of 2u shingles, so every stretch
-of u lies whole in one window and the sizes compared stay within a constant
-factor however long the document is. A window's sketch is its smallest 64
-shingle hashes (all of them, if it has no more); a window that shares a sketch
-value with an item is a candidate, verified by exact containment of the item's
-shingles in the whole document. A passage with 0.8 of an item's shingles fills
-a fifth of its window at least, so a sketch misses it with a chance below
-0.8 ** 64, under one in a million.
+Items are partitioned by their number of distinct shingles. In a partition of
+items of up to u shingles an item's sketch is its floor(0.2 u) + 1 smallest
+shingle hashes; a document is looked through whole, every shingle hash of it
+against the sketches. A document that holds 0.8 of an item's n shingles lacks
+at most 0.2 n of them, so it meets all but floor(0.2 n) of the sketch: at least
+one hash, and about half of the sketch for the smallest items of a partition.
+That bound is certain, whatever the document's length and wherever in it the
+shingles lie, so no item is missed; what meets it is verified by exact
+containment of the item's shingles in the whole document.
 
 Words are lower-cased runs without white space and ASCII punctuation. Defined
 results: an item with fewer than five words is one shingle of all its words; an
-item without words matches nothing, as does a null or empty text. Repeated
-documents and repeated items each match. Empty tables give empty results. Ids
-may be null and are passed through. The items are read in blocks of a bounded
-number of shingles; each block is broadcast and meets all documents.
+item without words matches nothing, as does a null or empty text. Shingles that
+an item or a document repeats count once. Repeated documents and repeated items
+each match. Empty tables give empty results. Ids may be null and are passed
+through; other columns are ignored, except by ``drop_contaminated``, which
+returns them as they are. The items are read in blocks of a bounded number of
+shingles; each block is broadcast and meets all documents.
 """
 
 from __future__ import annotations
 
 import math
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -35,8 +36,6 @@ from pyspark.sql import types as T
 from lectern.llm._common import python_workers_see_library, stage
 
 _DROPPED = bytes.maketrans(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", b" " * 32)
-_SENTINEL = np.uint64(2**64 - 1)
-SKETCH = 64
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -65,122 +64,107 @@ def mixed_runs(w: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Items of one broadcast, by shingle width and size partition."""
+    """Items of one broadcast: their shingles, and for each shingle width the (hash, item) pairs of all sketches."""
 
+    threshold: float
     ids: list = field(default_factory=list)
     shingles: list[list[bytes]] = field(default_factory=list)
-    groups: dict[tuple[int, int], dict[int, list[int]]] = field(default_factory=lambda: defaultdict(dict))
+    needed: list[int] = field(default_factory=list)  # sketch hashes that a document must meet
+    sketches: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     size: int = 0
 
     def add(self, item_id, words: list[bytes], width: int) -> None:
         width = min(width, len(words))
-        runs = [b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)]
-        upper = 1 << max(3, math.ceil(math.log2(len(runs))))
+        runs = {b" ".join(words[k : k + width]) for k in range(len(words) - width + 1)}
+        upper = 1 << max(3, (len(runs) - 1).bit_length())
+        lacks = lambda n: math.floor((1 - self.threshold) * n + 1e-9)
+        sketch = np.unique(shingle_hashes(words, width))[: lacks(upper) + 1].tolist()
         at = len(self.ids)
         self.ids.append(item_id)
-        self.shingles.append(sorted(set(runs)))
-        held = self.groups[width, upper]
-        for h in set(shingle_hashes(words, width).tolist()):
-            held.setdefault(h, []).append(at)
+        self.shingles.append(sorted(runs))
+        self.needed.append(max(1, len(sketch) - lacks(len(runs))))
+        self.sketches.setdefault(width, []).extend((h, at) for h in sketch)
         self.size += len(runs)
 
 
-def item_blocks(items: DataFrame, width: int, max_shingles: int) -> Iterator[Block]:
+def item_blocks(items: DataFrame, width: int, threshold: float, max_shingles: int) -> Iterator[Block]:
     """Blocks of at most ``max_shingles`` shingles (or one item), read partition by partition."""
-    block = Block()
+    block = Block(threshold)
     for r in items.select("item_id", "text").toLocalIterator():
         words = words_of(r["text"])
         if not words:
             continue
         if block.size and block.size + len(words) > max_shingles:
             yield block
-            block = Block()
+            block = Block(threshold)
         block.add(r["item_id"], words, width)
     if block.ids:
         yield block
 
 
-def smallest(windows: np.ndarray) -> np.ndarray:
-    """The ``SKETCH`` smallest distinct hashes of each window; fewer are filled up with the sentinel."""
-    least = np.partition(windows, SKETCH - 1, axis=1)[:, :SKETCH]
-    least.sort(axis=1)
-    again = (least[:, 1:] == least[:, :-1]) & (least[:, 1:] != _SENTINEL)
-    short = np.flatnonzero(again.any(axis=1))
-    if len(short):  # only windows that repeat one of their smallest hashes need all of it sorted
-        whole = np.sort(windows[short], axis=1)
-        whole[:, 1:][whole[:, 1:] == whole[:, :-1]] = _SENTINEL
-        least[short] = np.partition(whole, SKETCH - 1, axis=1)[:, :SKETCH]
-    return least
-
-
 class Searcher:
     """Finds a block's items in batches of documents."""
 
-    def __init__(self, block: Block, threshold: float):
-        self.block, self.threshold = block, threshold
+    def __init__(self, block: Block):
+        self.block, self.threshold = block, block.threshold
         self.needles = [[b" " + s + b" " for s in x] for x in block.shingles]
+        self.needed = np.array(block.needed)
         self.tables = {}
-        for key, held in block.groups.items():
-            bits = max(16, min(26, (len(held) * 64).bit_length()))
-            seen = np.zeros(1 << bits, bool)
+        for width, pairs in block.sketches.items():
+            h, item = np.array([p[0] for p in pairs], np.uint64), np.array([p[1] for p in pairs], np.int64)
+            order = np.argsort(h, kind="stable")
+            keys, first, count = np.unique(h[order], return_index=True, return_counts=True)
+            bits = max(16, min(26, (len(keys) * 64).bit_length()))
             shift = np.uint64(64 - bits)
-            seen[(np.fromiter(held, np.uint64, len(held)) >> shift).astype(np.int64)] = True
-            self.tables[key] = (seen, shift, held)
+            seen = np.zeros(1 << bits, bool)
+            seen[(keys >> shift).astype(np.int64)] = True
+            self.tables[width] = (seen, shift, keys, first, count, item[order])
 
-    def candidates(self, texts: list[list[bytes]]) -> dict[int, set[int]]:
+    def candidates(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(document, item) pairs, in order, that meet as many sketch hashes as containment needs."""
         lengths = np.array([len(w) for w in texts], np.int64)
-        total = int(lengths.sum())
-        flat = np.fromiter(map(xxhash.xxh64_intdigest, (x for w in texts for x in w)), np.uint64, total)
-        starts = np.concatenate([[0], np.cumsum(lengths)[:-1]]) if len(lengths) else lengths
-        out: dict[int, set[int]] = defaultdict(set)
-        runs: dict[int, np.ndarray] = {}
-        for (width, upper), (seen, shift, held) in self.tables.items():
-            counts = np.maximum(lengths - width + 1, 0)
-            docs = np.flatnonzero(counts)
-            if not len(docs):
+        flat = np.fromiter(map(xxhash.xxh64_intdigest, (x for w in texts for x in w)), np.uint64, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        met = [np.empty((2, 0), np.int64)]
+        for width, (seen, shift, keys, first, count, items) in self.tables.items():
+            if len(flat) < width:
                 continue
-            if width not in runs:
-                runs[width] = mixed_runs(flat, width)
-            # Each document fills whole chunks of `upper` and one empty chunk more, so that no window holds two documents.
-            n = counts[docs]
-            chunks = -(-n // upper) + 1
-            first = np.concatenate([[0], np.cumsum(chunks)[:-1]])
-            grid = np.full(int(chunks.sum()) * upper, _SENTINEL)
-            inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            grid[np.repeat(first * upper, n) + inside] = runs[width][np.repeat(starts[docs], n) + inside]
-            grid = grid.reshape(-1, upper)
-            owner = np.repeat(docs, chunks)
-            for at in range(0, len(grid) - 1, 4096):
-                part = grid[at : at + 4097]
-                window = np.concatenate([part[:-1], part[1:]], axis=1)
-                if window.shape[1] > SKETCH:
-                    window = smallest(window)
-                rows, cols = np.nonzero(seen[(window >> shift).astype(np.int64)])
-                for r, h in zip(rows.tolist(), window[rows, cols].tolist()):
-                    if h in held:
-                        out[int(owner[at + r])].update(held[h])
-        return out
+            runs = mixed_runs(flat, width)
+            at = np.flatnonzero(seen[(runs >> shift).astype(np.int64)])
+            doc = np.searchsorted(ends, at, "right")
+            key = np.minimum(np.searchsorted(keys, runs[at]), len(keys) - 1)
+            real = (at + width <= ends[doc]) & (keys[key] == runs[at])  # within one document, and in a sketch
+            pairs = np.unique(doc[real] * len(keys) + key[real])  # a document's repeats count once
+            doc, key = pairs // len(keys), pairs % len(keys)
+            n = count[key]
+            place = np.repeat(first[key], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            met.append(np.stack([np.repeat(doc, n), items[place]]))
+        doc, item = np.concatenate(met, axis=1)
+        pairs, hits = np.unique(doc * len(self.needed) + item, return_counts=True)
+        doc, item = pairs // len(self.needed), pairs % len(self.needed)
+        near = hits >= self.needed[item]
+        return doc[near], item[near]
 
     def found(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, int]]:
         """(document, item, shared shingles) of each verified pair, in order."""
-        near = self.candidates(texts)
-        for d in sorted(near):
-            whole = b" " + b" ".join(texts[d]) + b" "
-            for i in sorted(near[d]):
-                needles = self.needles[i]
-                shared = sum(x in whole for x in needles)
-                if shared >= self.threshold * len(needles) - 1e-9:
-                    yield d, i, shared
+        last, whole = -1, b""
+        for d, i in zip(*(x.tolist() for x in self.candidates(texts))):
+            if d != last:
+                last, whole = d, b" " + b" ".join(texts[d]) + b" "
+            needles = self.needles[i]
+            shared = sum(x in whole for x in needles)
+            if shared >= self.threshold * len(needles) - 1e-9:
+                yield d, i, shared
 
 
 _SEARCHERS: dict[int, Searcher] = {}
 
 
-def _searcher(held, threshold: float) -> Searcher:
+def _searcher(held) -> Searcher:
     """One searcher for a broadcast and worker; the last one only is kept."""
     if held.value is not _SEARCHERS.get("of"):
         _SEARCHERS.clear()
-        _SEARCHERS.update({"of": held.value, "is": Searcher(held.value, threshold)})
+        _SEARCHERS.update({"of": held.value, "is": Searcher(held.value)})
     return _SEARCHERS["is"]
 
 
@@ -219,7 +203,7 @@ def contained_items(
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = _searcher(held, threshold)
+            s = _searcher(held)
             for b in batches:
                 ids = b.column(0)
                 for first, part in _portions(b.column(1).to_pylist()):
@@ -242,17 +226,17 @@ def contained_items(
     from pyspark.sql.pandas.types import to_arrow_type
 
     type_of = to_arrow_type(item_type)
-    result = None
-    for block in item_blocks(items, width, max_shingles):
-        if result is None:
-            result = search(block)
-        else:
-            result = (result if _staged(result) else stage(result, "pairs")).unionByName(stage(search(block), "pairs"))
-    return spark.createDataFrame([], out) if result is None else result
-
-
-def _staged(df: DataFrame) -> bool:
-    return bool(df.inputFiles()) and "pairs" in df.inputFiles()[0]
+    done: list[DataFrame] = []
+    last = None
+    for block in item_blocks(items, width, threshold, max_shingles):
+        if last is not None:
+            done.append(stage(last, "pairs"))  # a block's broadcast needn't outlive its pass
+        last = search(block)
+    if last is None:
+        return spark.createDataFrame([], out)
+    for part in done:
+        last = last.unionByName(part)
+    return last
 
 
 def drop_contaminated(
@@ -267,7 +251,7 @@ def drop_contaminated(
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s = _searcher(held, threshold)
+            s = _searcher(held)
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 for first, part in _portions(b.column(at).to_pylist()):
@@ -276,6 +260,6 @@ def drop_contaminated(
 
         return df.mapInArrow(run, docs.schema)
 
-    for block in item_blocks(items, width, max_shingles):
+    for block in item_blocks(items, width, threshold, max_shingles):
         docs = without(docs, block)
     return docs

@@ -137,17 +137,32 @@ def test_short_item_in_a_long_document(spark):
     assert got == {1: 1.0, 3: 28 / 33}
 
 
-def test_sketch_holds_distinct_hashes():
-    """A shingle that fills a window takes one place of the sketch, not all."""
+def test_repetitive_and_scattered_items(spark):
+    """Few distinct shingles in a long item, an item whose shingles a document holds in any order, crowds of items with one shingle."""
     rng = np.random.default_rng(2)
-    rows = rng.integers(1, 2**63, (50, 256), np.uint64)
-    rows[:25, 52:] = rows[:25, :1] // np.uint64(2**20)  # small, so that repeats would fill the sketch
-    rows[25:, 52:] = np.tile(rows[25:, 52:57], (1, 41))[:, :204]
-    rows[0, 200:] = d._SENTINEL
-    got = d.smallest(rows.copy())
-    for have, row in zip(got, rows):
-        want = np.unique(row[row != d._SENTINEL])[: d.SKETCH]
-        assert sorted(set(have.tolist()) - {int(d._SENTINEL)}) == want.tolist()
+    items, docs = [], []
+    for k in range(60):
+        period = [f"p{k}x{i}" for i in range(3 + k % 9)]
+        item = (period * 80)[: 150 + k]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join([f"w{x}" for x in rng.integers(0, 10**6, 900)] + item + [f"w{x}" for x in rng.integers(0, 10**6, 900)])))
+    whole = [f"q{i}" for i in range(200)]
+    items.append((100, " ".join(whole)))
+    pieces = [whole[k : k + 40] for k in range(0, 200, 36)]
+    docs.append((100, " ".join(" ".join([*p, *[f"z{k}y{i}" for i in range(700)]]) for k, p in enumerate(pieces[::-1]))))
+    items += [(200 + k, f"which of the following is true {k} or {k + 1} then") for k in range(300)]
+    docs.append((200, "which of the following is true"))
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = containment(a.collect(), b.collect())
+    assert len(want) >= 61
+    got = d.contained_items(a, b)
+    assert sorted((str(r["doc_id"]), r["item_id"], r["shared"], r["n_shingles"]) for r in got.collect()) == want
+
+
+def test_long_text(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum dolor " * 400_000 + "sit amet one two three four five six seven"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "one two three four five six seven"), (2, "dolor lorem ipsum dolor lorem ipsum dolor")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["shared"]) for r in d.contained_items(docs, items).collect()} == {(1, 1, 3), (1, 2, 3)}
 
 
 def test_item_beside_a_repeated_word_is_found(spark):
