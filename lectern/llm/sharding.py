@@ -1,17 +1,19 @@
 """Sharding by histogram sort: shards of near equal bytes in one exchange.
 
-The sort key of a row is (hash of its text, hash of its id): equal texts are
-neighbours, and the keys are spread evenly whatever the ids are. Splitters are
-found without moving a row: each round counts exact bytes and rows between
-equally spaced probes inside the brackets that are still open, on all
-partitions at once, and keeps the bracket that holds the wanted byte total.
-A splitter is settled when a probe is within tolerance, so a cut goes through
-a group of equal texts only if the group itself is too large to balance.
+The sort key of a row is (hash of its text, hash of its id, hash of its row):
+equal texts are neighbours, the keys are spread evenly whatever the ids are,
+and even rows that are equal in all can be told apart. Splitters are found
+without moving a row: each round counts exact bytes and rows between equally
+spaced probes inside the brackets that are still open, on all partitions at
+once, and keeps the bracket that holds the wanted byte total. A splitter is
+settled when a probe is within tolerance, so a cut goes through a group of
+equal texts only if the group itself is too large to balance.
 
 Defined results: a null text has 0 bytes and the CRC of the empty text; a null
 id is an id of its own. Identical rows are interchangeable: which of them gets
 which slot is open. An empty table gives an empty result. Only the id and the
-text are read, other columns may have any name.
+text are read, other columns may have any name; ``write_shards`` writes them
+all, and a column that is called ``shard`` gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -19,52 +21,67 @@ from __future__ import annotations
 from bisect import bisect_right
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._common import stage
 
-_LOW, _STEP = -(1 << 63), 12
-#: Bits that a probe of each round leaves open, first in the text's hash and then in the id's.
+_LOW, _HIGH = -(1 << 63), (1 << 63) - 1
+#: Bits that a probe of each round leaves open, in the text's hash, the id's and the row's.
 _SHIFTS = (52, 40, 28, 16, 4, 0)
+_PARTS = ("hi", "lo", "tie")
+
+Key = tuple[int, int, int]
+
+
+def _key_columns(doc_id: str = "doc_id", text: str = "text") -> dict[str, Column]:
+    return {
+        "hi": F.xxhash64(F.coalesce(F.col(text), F.lit(""))),
+        "lo": F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))),
+        "tie": F.xxhash64(F.monotonically_increasing_id()),
+    }
 
 
 def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Id, size, CRC and the two halves of the sort key."""
+    """Id, size, CRC and the three parts of the sort key."""
     t = F.coalesce(F.col(text), F.lit(""))
     return docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(t).cast("long") + 1).alias("size"),
         F.crc32(t.cast("binary")).cast("long").alias("text_crc32"),
-        F.xxhash64(t).alias("hi"),
-        F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("lo"),
+        *[c.alias(name) for name, c in _key_columns(doc_id, text).items()],
     )
 
 
-def find_splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[tuple[int, int] | None]:
+def _next_key(fixed: tuple[int, ...], value: int) -> Key | None:
+    """The least key that begins with ``fixed`` and ``value``, which may be one too large for its part."""
+    if value <= _HIGH:
+        return (*fixed, value, *[_LOW] * (2 - len(fixed)))
+    return _next_key(fixed[:-1], fixed[-1] + 1) if fixed else None
+
+
+def find_splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[Key | None]:
     """Keys at which shards 1 to n-1 begin; None: beyond the last row.
 
-    At most 12 rounds; a round collects at most 4096 counts for each open
+    At most 18 rounds; a round collects at most 4096 counts for each open
     splitter, whatever the size of the table.
     """
     goals: dict[int, dict] = {}
-    found: dict[int, tuple[int, int] | None] = {}
+    found: dict[int, Key | None] = {}
     total = slack = None
-    for level in range(2 * len(_SHIFTS)):
-        second, shift = divmod(level, len(_SHIFTS))
-        shift = _SHIFTS[shift]
-        part = "lo" if second else "hi"
-        probe = F.shiftright(F.col(part), shift).alias("p")
+    levels = [(k, shift) for k in range(len(_PARTS)) for shift in _SHIFTS]
+    for level, (k, shift) in enumerate(levels):
+        probe = F.shiftright(_PARTS[k], shift).alias("p")
+        brackets = sorted({g["bracket"] for g in goals.values()})
         if level == 0:
             inside, by = rows, [F.lit(0).alias("b"), probe]
         else:
-            brackets = sorted({g["bracket"] for g in goals.values()})
             held: Column = F.lit(None).cast("int")
-            for k, (hi, hi_shift, lo, lo_shift) in reversed(list(enumerate(brackets))):
-                at = F.shiftright("hi", hi_shift) == F.lit(hi)
-                if lo is not None:
-                    at = at & (F.shiftright("lo", lo_shift) == F.lit(lo))
-                held = F.when(at, F.lit(k)).otherwise(held)
+            for j, (fixed, p, open_bits) in enumerate(brackets):  # one for each open splitter at most
+                at = F.shiftright(_PARTS[len(fixed)], open_bits) == F.lit(p)
+                for name, value in zip(_PARTS, fixed):
+                    at = at & (F.col(name) == F.lit(value))
+                held = F.when(at, F.lit(j)).otherwise(held)
             inside = rows.withColumn("b", held).where(F.col("b").isNotNull())
             by = [F.col("b"), probe]
         counts: dict[int, list] = {}
@@ -79,94 +96,94 @@ def find_splitters(rows: DataFrame, n_shards: int, tolerance: float) -> list[tup
         for s, g in list(goals.items()):
             cells = sorted(counts[0 if level == 0 else brackets.index(g["bracket"])])
             ends = [g["under"], *accumulate((z for _, z, _ in cells), initial=g["under"])][1:]
-            k = min(max(bisect_right(ends, g["want"]) - 1, 0), len(cells) - 1)
-            below, above = ends[k], ends[k + 1]
-            p, _, n_rows = cells[k]
+            c = min(max(bisect_right(ends, g["want"]) - 1, 0), len(cells) - 1)
+            below, above = ends[c], ends[c + 1]
+            p, _, n_rows = cells[c]
+            fixed = () if level == 0 else g["bracket"][0]
+            if len(fixed) < k:  # the part before is known in full
+                fixed = (*fixed, g["bracket"][1])
             near = min(g["want"] - below, above - g["want"])
-            if near <= slack or n_rows == 1 or level == 2 * len(_SHIFTS) - 1:
-                start = p if g["want"] - below <= above - g["want"] else p + 1
+            if near <= slack or n_rows == 1 or level == len(levels) - 1:
                 goals.pop(s)
-                if start << shift > (1 << 63) - 1:
-                    found[s] = None if not second else (g["bracket"][0] + 1, _LOW)
-                else:
-                    found[s] = (g["bracket"][0], start << shift) if second else (start << shift, _LOW)
+                found[s] = _next_key(fixed, (p if g["want"] - below <= above - g["want"] else p + 1) << shift)
             else:
-                hi = (p, shift, None, 0) if not second else (g["bracket"][0], 0, p, shift)
-                g["under"], g["bracket"] = below, hi
+                g["under"], g["bracket"] = below, (fixed, p, shift)
         if not goals:
             break
     out = [found[s] for s in range(1, n_shards)]
-    for k in range(1, len(out)):  # a huge row may make two splitters meet; they never cross
-        if out[k - 1] is None or out[k] is not None and out[k] < out[k - 1]:
-            out[k] = out[k - 1]
+    for j in range(1, len(out)):  # a huge row may make two splitters meet; they never cross
+        if out[j - 1] is None or out[j] is not None and out[j] < out[j - 1]:
+            out[j] = out[j - 1]
     return out
 
 
-def shard_column(splitters: list[tuple[int, int] | None]) -> Column:
+def shard_column(splitters: list[Key | None], names: tuple[str, ...] = _PARTS) -> Column:
     """Number of splitters at or below the row's key."""
     out = F.lit(0)
-    for s in splitters:
-        if s is not None:
-            reached = (F.col("hi") > F.lit(s[0])) | ((F.col("hi") == F.lit(s[0])) & (F.col("lo") >= F.lit(s[1])))
+    for key in splitters:
+        if key is not None:
+            reached = F.struct(*names) >= F.struct(*[F.lit(x).alias(name) for name, x in zip(names, key)])
             out = out + reached.cast("int")
     return out
 
 
-def assign_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001, rows_per_cell: int = 1024) -> DataFrame:
+def assign_shards(docs: DataFrame, n_shards: int = 8, tolerance: float = 0.001) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row.
 
-    Slots are numbered by cells, not by shards: rows are counted by shard and
-    top key bits (and, where one text fills more than its part, by bits of the
-    id's hash), at most some 130,000 counts; their running totals meet the rows
-    as offsets, so a task numbers one cell and never a whole shard.
+    Slots follow the key within a shard. One exchange deals the keys into
+    ranges; a range is any run of keys, never a whole shard or a whole group of
+    equal rows, and its first slot is a running total of the ranges' counts,
+    one for each range and shard.
     """
     rows = stage(keyed(docs), "keys")
-    splitters = find_splitters(rows, n_shards, tolerance)
-    placed = rows.withColumn("shard", shard_column(splitters))
-    n = rows.count()
-    bits = min(16, max(0, (n // rows_per_cell).bit_length()))
-    top = F.shiftright("hi", 64 - bits) if bits else F.lit(0).cast("long")
-    placed = placed.withColumn("cell", top)
-    part: Column = F.lit(0).cast("long")
-    usual = max(1, n >> bits)
-    hot = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 4 * usual).collect()
-    for r in hot:
-        finer = min(16, max(1, (r["c"] // usual).bit_length()))
-        part = F.when(F.col("cell") == F.lit(r["cell"]), F.shiftright("lo", 64 - finer)).otherwise(part)
-    placed = placed.withColumn("part", part)
-    counts = sorted(tuple(r) for r in placed.groupBy("shard", "cell", "part").count().collect())
-    offsets, at, last = [], 0, None
-    for shard, cell, sub, c in counts:
-        at = 0 if shard != last else at
-        offsets.append((shard, cell, sub, at))
-        at, last = at + c, shard
-    known = docs.sparkSession.createDataFrame(offsets, "shard int, cell long, part long, before long")
-    own = Window.partitionBy("shard", "cell", "part").orderBy("hi", "lo", "doc_id")
-    numbered = placed.withColumn("nth", F.row_number().over(own))
-    return numbered.join(F.broadcast(known), ["shard", "cell", "part"]).select(
+    order = ["shard", *_PARTS]
+    dealt = rows.withColumn("shard", shard_column(find_splitters(rows, n_shards, tolerance))).repartitionByRange(*order)
+    placed = dealt.sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    placed = stage(placed.select("doc_id", "size", "text_crc32", "shard", "at"), "placed")
+    ranges = placed.groupBy("shard", F.shiftright("at", 33).alias("range")).agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("c"))
+    offsets, before, last = [], 0, None
+    for shard, part, least, c in sorted(tuple(r) for r in ranges.collect()):
+        before = before if shard == last else 0
+        offsets.append((shard, part, before - least))
+        before, last = before + c, shard
+    known = docs.sparkSession.createDataFrame(offsets, "shard int, range long, shift long")
+    return placed.withColumn("range", F.shiftright("at", 33)).join(F.broadcast(known), ["shard", "range"]).select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("bytes").alias("law"),
         "shard",
-        (F.col("before") + F.col("nth") - 1).cast("long").alias("slot"),
+        (F.col("at") + F.col("shift")).cast("long").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int = 8, tolerance: float = 0.001, files_per_shard: int = 1) -> None:
+def write_shards(
+    docs: DataFrame, path: str, n_shards: int = 8, tolerance: float = 0.001, files_per_shard: int | None = None, file_bytes: int = 256 << 20
+) -> None:
     """Write whole rows as one folder a shard, moved by a single exchange.
 
-    ``files_per_shard`` tasks share a shard by a hash of the id, so that no
-    task has to hold more than its part.
+    ``files_per_shard`` tasks share a shard by a hash of the row, so that no
+    task has to hold more than its part; unless given, so many that a file
+    holds about ``file_bytes`` of text.
     """
-    clash = [c for c in docs.columns if c in ("shard", "hi", "lo", "salt")]
-    whole = docs.withColumnsRenamed({c: f"{c}_" for c in clash})
-    doc_id = "doc_id"
-    splitters = find_splitters(stage(keyed(docs), "keys"), n_shards, tolerance)
-    t = F.coalesce(F.col("text"), F.lit(""))
-    lo = F.xxhash64(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))
-    placed = whole.withColumns({"hi": F.xxhash64(t), "lo": lo}).withColumn("shard", shard_column(splitters))
-    placed = placed.withColumn("salt", F.pmod("lo", F.lit(files_per_shard)))
-    moved = placed.repartition(n_shards * files_per_shard, "shard", "salt").sortWithinPartitions("shard", "hi", "lo")
-    moved.drop("hi", "lo", "salt").write.partitionBy("shard").parquet(path)
+    taken = {c.lower() for c in docs.columns}
+
+    def fresh(name: str) -> str:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        return name
+
+    clash = [c for c in docs.columns if c.lower() == "shard"]
+    whole = docs.withColumnsRenamed({c: fresh(f"{c.lower()}_") for c in clash})
+    names, salt = tuple(fresh(x) for x in _PARTS), fresh("salt")
+    rows = stage(keyed(docs), "keys")
+    splitters = find_splitters(rows, n_shards, tolerance)
+    if files_per_shard is None:
+        total = rows.agg(F.sum("size")).first()[0] or 0
+        files_per_shard = max(1, -(-total // (n_shards * file_bytes)))
+    placed = whole.withColumns(dict(zip(names, _key_columns().values()))).withColumn("shard", shard_column(splitters, names))
+    placed = placed.withColumn(salt, F.pmod(names[2], F.lit(files_per_shard)))
+    moved = placed.repartition(n_shards * files_per_shard, "shard", salt).sortWithinPartitions("shard", *names)
+    moved.drop(*names, salt).write.partitionBy("shard").parquet(path)

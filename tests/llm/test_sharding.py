@@ -6,7 +6,7 @@ from lectern.llm import sharding
 
 def check(df, n_shards=8, tolerance=0.001):
     rows = df.collect()
-    got = sharding.assign_shards(df, n_shards, tolerance, rows_per_cell=16).collect()
+    got = sharding.assign_shards(df, n_shards, tolerance).collect()
     assert len(got) == len(rows)
     want = sorted((str(r["doc_id"]), len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in rows)
     assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"]) for r in got) == want
@@ -41,8 +41,22 @@ def test_third_of_rows_with_one_text(spark):
 
 
 def test_identical_rows_only(spark):
-    got = sharding.assign_shards(spark.createDataFrame([(1, "a")] * 40, "doc_id long, text string")).collect()
-    assert sorted(r["slot"] for r in got) == list(range(40))
+    for n, row in ((40, (1, "a")), (3000, (None, "same text"))):
+        check(spark.createDataFrame([row] * n, "doc_id long, text string").repartition(5))
+
+
+def test_keys_carry_over():
+    top = (1 << 63) - 1
+    assert sharding._next_key((3, 4), top + 1) == (3, 5, -(1 << 63))
+    assert sharding._next_key((3, top), top + 1) == (4, -(1 << 63), -(1 << 63)) and sharding._next_key((), top + 1) is None
+
+
+def test_written_columns_may_clash(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"t{k}", "a", "b", "c", "d") for k in range(50)], "doc_id long, text string, shard string, shard_ string, tie string, salt string")
+    sharding.write_shards(df, f"{tmp_path}/out", 4)
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert sorted(back.columns) == ["doc_id", "salt", "shard", "shard_", "shard__", "text", "tie"]
+    assert sorted((r["doc_id"], r["shard__"], r["shard_"], r["tie"], r["salt"]) for r in back.collect()) == [(k, "a", "b", "c", "d") for k in range(50)]
 
 
 def test_written_shards(spark, docs, tmp_path):
