@@ -5,20 +5,27 @@ happens; totals, quantiles and truncated totals for every context limit follow
 from sums over the histogram, without looking at a document again.
 
 Defined results: a null or empty text has length 0. Repeated rows count each
-time. An empty table gives an empty histogram. Texts are encoded whole.
+time. An empty table gives an empty histogram. Texts are encoded whole; a run
+of thousands of blanks, on which the encoder's pattern overflows its stack, is
+taken out as the one piece that the pattern makes of it.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._common import python_workers_see_library
+from lectern.llm._common import python_workers_see_library, stage
 
 _LOADED: dict[str, object] = {}
+#: Runs of white space as the encoder's patterns know it (Unicode White_Space).
+_LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{4096,}")
+#: How patterns end that make one piece of a run of white space, without its last character if a word follows.
+_BLANKS_LAST = r"|\s+(?!\S)|\s+"
 
 
 def _encoding(path: str, pattern: str):
@@ -33,6 +40,25 @@ def _encoding(path: str, pattern: str):
     return _LOADED[path]
 
 
+def encoded_length(code, text: str) -> int:
+    """Number of tokens of the whole text.
+
+    With a pattern that ends in the usual two alternatives for white space, and
+    names it nowhere else but in a negated set, a long run of blanks is one
+    piece (less its last character, if more text follows), and what stands
+    before and after it is taken apart as if it stood alone.
+    """
+    pattern = code._pat_str
+    if not pattern.endswith(_BLANKS_LAST) or pattern.replace(r"[^\s", "").count(r"\s") != 2:
+        return len(code.encode_ordinary(text))
+    n, at = 0, 0
+    for m in _LONG_BLANKS.finditer(text):
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        n += len(code.encode_ordinary(text[at : m.start()])) + len(code._encode_single_piece(text[m.start() : end]))
+        at = end
+    return n + len(code.encode_ordinary(text[at:] if at else text))
+
+
 def token_lengths(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     """doc_id and n_tokens of every whole text."""
     python_workers_see_library(docs.sparkSession)
@@ -41,7 +67,7 @@ def token_lengths(docs: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = _encoding(ranks_file, pattern)
         for b in batches:
-            n = [len(code.encode_ordinary(t)) for t in b.column(1).to_pylist()]
+            n = [encoded_length(code, t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 
     kind = slim.schema["doc_id"].dataType.simpleString()
@@ -59,6 +85,7 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
     smallest length of rank q or more.
     """
     hist = lengths.groupBy(F.col("n_tokens").alias("length")).agg(F.count(F.lit(1)).alias("n_docs"))
+    hist = stage(hist, "lengths")  # read twice below; the texts are encoded once
     hist = hist.withColumn("tokens", F.col("length") * F.col("n_docs")).withColumn("block", F.floor(F.col("length") / block))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     ahead = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -90,14 +117,21 @@ def length_histogram(lengths: DataFrame, block: int = 1024) -> DataFrame:
 
 
 def answer(histogram: DataFrame, limits: list[int]) -> DataFrame:
-    """docs_fit, tokens_kept and tokens_cut for any context limits, whether or not a document has that length."""
-    asked = histogram.sparkSession.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    below = F.col("length") <= F.col("context_limit")
-    sums = histogram.join(F.broadcast(asked)).groupBy("context_limit")
-    n = F.sum("n_docs")
-    return sums.agg(
-        F.coalesce(F.sum(F.when(below, F.col("n_docs"))), F.lit(0)).alias("docs_fit"),
-        F.sum(F.least("length", "context_limit") * F.col("n_docs")).alias("tokens_kept"),
-        F.sum((F.col("length") - F.least("length", "context_limit")) * F.col("n_docs")).alias("tokens_cut"),
-        n.alias("n_docs"),
-    )
+    """docs_fit, tokens_kept and tokens_cut for any context limits, whether or not a document has that length.
+
+    Lengths are summed by the limits that they lie between; running sums of
+    these few rows answer every limit. An empty histogram answers with zeros.
+    """
+    asked = sorted({int(x) for x in limits})
+    under = F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in asked]), lambda x: x < F.col("length")))
+    sums = histogram.groupBy(under.alias("k")).agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("length")).alias("t"))
+    held = {r["k"]: (r["d"], r["t"]) for r in sums.collect()} if asked else {}
+    all_docs, all_tokens = (sum(x[j] for x in held.values()) for j in (0, 1))
+    rows, fit, short = [], 0, 0
+    for k, limit in enumerate(asked):
+        d, t = held.get(k, (0, 0))
+        fit, short = fit + d, short + t
+        kept = short + limit * (all_docs - fit)
+        rows.append((limit, fit, kept, all_tokens - kept, all_docs))
+    schema = "context_limit long, docs_fit long, tokens_kept long, tokens_cut long, n_docs long"
+    return histogram.sparkSession.createDataFrame(rows, schema)

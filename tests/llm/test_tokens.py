@@ -86,3 +86,21 @@ def test_length_histogram(docs, odd, empty):
             assert (r["docs_fit"], r["tokens_kept"], r["n_docs"]) == (sum(v <= x for v in n), sum(min(v, x) for v in n), len(n))
         hist.unpersist()
     assert token_counts.length_histogram(token_counts.token_lengths(empty, path, P.PATTERN)).count() == 0
+
+
+def test_long_runs_of_one_character():
+    """Runs that overflow the encoder's pattern count as its single piece; elsewhere the library's own count holds."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    code = token_counts._encoding(path, P.PATTERN)
+    for run in (" " * 20_000, "\n" * 9_000, " \n\t\u3000" * 2_000, "\x1c" * 5_000, "a" * 9_000):
+        for text in (run, f"word{run}", f"{run}word", f"a,{run}b {run}\n{run}.", f"x{run}\x1cy"):
+            assert token_counts.encoded_length(code, text) == len(code.encode_ordinary(text))
+    assert token_counts.encoded_length(code, " " * 1_000_000) == 1_000_000
+    assert token_counts.encoded_length(code, "a" * 2_000_000 + " " * 2_000_000 + "b") > 2_000_000
+
+
+def test_answer_of_an_empty_histogram(empty):
+    path = P.path("byte_bpe_50k.tiktoken")
+    hist = token_counts.length_histogram(token_counts.token_lengths(empty, path, P.PATTERN))
+    assert [tuple(r) for r in token_counts.answer(hist, [5, 5]).collect()] == [(5, 0, 0, 0, 0)]
+    assert token_counts.answer(hist, []).count() == 0
