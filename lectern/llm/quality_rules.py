@@ -231,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **learner) -
 
     The picked ids (bounded, so broadcast) meet the documents before any
     statistics are computed: only their texts are looked at. Rows that the base
-    rules fail are left out: the list only decides about the others.
+    rules fail are left out: the list only decides about the others. Ids may be
+    of any type.
     """
     picked = (
         labels.select("doc_id", "quality")
@@ -246,9 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, **learner) -
         text_statistics(mine, keep=("doc_id", "quality"))
         .where(~F.col("base_failed"))
         .groupBy("doc_id", "quality")
-        .agg(F.min(F.struct(*FEATURES)).alias("f"))
+        .agg(F.min(F.struct(*FEATURES)).alias("f"), F.first(F.xxhash64("doc_id")).alias("h"))
     )
-    rows = sorted(seen.collect(), key=lambda r: ((r["doc_id"] * 0x9E3779B97F4A7C15) & (2**64 - 1), r["doc_id"]))
+    rows = sorted(seen.collect(), key=lambda r: (r["h"], str(r["doc_id"])))
     return learn_rules([(r["f"].asDict(), r["quality"] <= 0) for r in rows], **learner)
 
 
