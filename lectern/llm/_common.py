@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Word separators of every contract here: U+0020 and U+0009 to U+000D.
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -62,6 +63,20 @@ def discard(*staged: DataFrame) -> None:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
+def spread_join(rows: DataFrame, named: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``named``, which has one row a key and in column ``n`` how many of ``rows`` hold it.
+
+    A key that over a ``share``-th of all rows hold is met by a broadcast: there
+    are fewer than ``share`` of them, however large the tables. All others are
+    met by an exchange in which no key is large.
+    """
+    total = named.agg(F.sum(n)).first()[0] or 0
+    hot = F.col(n) * share > F.lit(total)
+    few, rest = named.where(hot).drop(n), named.where(~hot).drop(n)
+    apart = rows.join(F.broadcast(few.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(few), key).unionByName(apart)
+
+
 def python_workers_see_library(spark: SparkSession) -> None:
     """Put this library on the Python workers' path, if it isn't installed there."""
     env = spark.sparkContext.environment

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import stage
+from lectern.llm._common import spread_join, stage
 
 #: Fixed patterns of the base kinds, in the order in which ties are listed.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -100,7 +100,7 @@ def scan(docs: DataFrame, max_owners: int = 1, max_repos: int = 8) -> DataFrame:
             F.sha2(_told(F.col("base")).cast("binary"), 256).alias("base_sha256"),
             _told(F.array_sort(F.concat("base", "added"))).alias("spans"),
             F.coalesce("n_live", F.lit(0)).cast("long").alias("n_live"),
-            F.coalesce("n_example", F.lit(0)).cast("long").alias("n_example"),
+            (F.size("base") + F.size("wide") - F.coalesce("n_live", F.lit(0))).cast("long").alias("n_example"),
         )
     )
 
@@ -116,26 +116,26 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def _live(base: DataFrame, max_owners: int, max_repos: int) -> DataFrame:
-    """For each row with candidates: its live proposals and how many values are live or examples.
+    """For each row that holds a live value: its live proposals and how many of its values are live.
 
-    Distinct (value, document, source) rows are made before counting, so one
-    value in a third of all documents is summed on the map side.
+    Rows are counted by (value, document) and (value, source) first, so a value
+    in a third of all documents is summed on the map side; only live values meet
+    the spans again, the most frequent ones by a broadcast.
     """
     span = base.where((F.size("base") > 0) | (F.size("wide") > 0)).select(
         "row", "doc_id", "source", F.explode(F.concat("base", "wide")).alias("x")
     )
     span = span.withColumn("h", F.sha2(_value(F.col("x")).cast("binary"), 256))
-    repos = span.groupBy("h", "doc_id").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("repos"))
+    repos = span.groupBy("h", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repos = repos.groupBy("h").agg(F.count(F.lit(1)).alias("repos"), F.sum("n").alias("n"))
     owners = span.groupBy("h", "source").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count(F.lit(1)).alias("owners"))
-    held = repos.join(owners, "h").select("h", ((F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).alias("alive"))
+    alive = (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)
+    held = stage(repos.join(owners, "h").select("h", "n", alive.alias("alive")), "owned")
     return (
-        span.join(held, "h")
+        spread_join(span.select("row", "x", "h"), held, "h", "n")
+        .where("alive")
         .groupBy("row")
-        .agg(
-            F.collect_list(F.when(F.col("alive") & (F.col("x")["kind"] == "live"), F.col("x"))).alias("added"),
-            F.count_if("alive").alias("n_live"),
-            F.count_if(~F.col("alive")).alias("n_example"),
-        )
+        .agg(F.collect_list(F.when(F.col("x")["kind"] == "live", F.col("x"))).alias("added"), F.count(F.lit(1)).alias("n_live"))
     )
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm._common import discard, python_workers_see_library, stage
+from lectern.llm._common import discard, python_workers_see_library, spread_join, stage
 
 SEED = 42
 
@@ -289,13 +289,14 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, width: int = 3, radius: int = 2) -> DataFrame:
     """doc_id, fingerprint (hex) and component_id of every row."""
     marked = stage(fingerprints(docs, width), "fingerprints")
-    codes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "codes")
+    codes = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "codes")
     root = stage(components(links(codes.select("fp"), radius)), "roots")
     linked = codes.join(root, codes["fp"] == root["node"]).select("fp", "root", "least")
     least = linked.groupBy("root").agg(F.min("least").alias("component"))
     joined = linked.join(least, "root").select("fp", "component")
-    named = codes.join(joined, "fp", "left").select("fp", F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least")).alias("component_id"))
-    return marked.join(named, "fp").select(
+    own = F.when(F.col("component").isNotNull(), F.col("component")).otherwise(F.col("least"))
+    named = stage(codes.join(joined, "fp", "left").select("fp", "n", own.alias("component_id")), "named")
+    return spread_join(marked, named, "fp", "n").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 

@@ -129,3 +129,28 @@ def test_redaction(tricky, odd, empty):
     out = s.redact(odd("row"))
     assert out.columns == odd("row").columns and out.count() == odd("row").count()
     assert s.redact(empty).count() == 0 and s.scan(empty).count() == 0
+
+
+def test_ids_may_be_strings(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("doc_id", q.F.concat(q.F.lit("d"), q.F.col("doc_id").cast("string")))
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumn("doc_id", q.F.concat(q.F.lit("d"), q.F.col("doc_id").cast("string")))
+    assert q.judge(docs, q.fit(docs, labels)).count() == docs.count()
+
+
+def test_values_that_a_third_of_all_rows_hold(spark):
+    """A frequent example, and a live value that very many rows of one document repeat, meet the spans by a broadcast."""
+    live, copied = "Zx81qqLm77Qw9Kd02mNa", "Ex4mpleKeyEx4mpleKey"
+    rows = [(k, f"see {copied}", f"s{k}") for k in range(300)] + [(-1, f"{live} then {live}", "own")] * 300
+    rows += [(1000 + k, f"Zx81qq{k}m77Qw9Kd02mNaQ", f"s{k}") for k in range(300)]
+    got = s.scan(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for r in got:
+        n_live = 0 if 0 <= r["doc_id"] < 300 else 2 if r["doc_id"] == -1 else 1
+        assert r["n_live"] == n_live and r["n_example"] == (1 if 0 <= r["doc_id"] < 300 else 0)
+        assert r["spans"].count("live:") == n_live
+
+
+def test_long_text_with_many_spans(spark):
+    text = "token=abcdef%06d " * 3000 % tuple(range(3000))
+    (r,) = s.scan(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).collect()
+    want = ",".join(spans(text))
+    assert r["n_assign"] == 3000 and r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()

@@ -182,3 +182,13 @@ def test_crowded_keys_are_split(spark):
     assert max(sizes.values()) <= 160 and {x["row"] for x in filed} == set(range(600))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [x["doc_id"] for x in s.near_duplicates(df, room=100).collect()] == [0]
+
+
+def test_classes_where_a_third_of_all_rows_are_copies(spark):
+    rows = [(k, "one hot text that is copied" if k % 3 else f"text number {k} stands alone here") for k in range(600)] + [(None, None), (700, "")]
+    got = {r["doc_id"]: r["component_id"] for r in s.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    codes = {k: fingerprint(t) for k, t in rows}
+    ids = sorted((k for k in codes if k is not None))
+    label = classes([codes[k] for k in ids], 2)
+    assert {k: got[k] for k in ids} == {k: ids[x] for k, x in zip(ids, label)}
+    assert got[None] == 700
