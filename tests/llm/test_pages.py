@@ -78,6 +78,63 @@ def test_a_page_without_article():
     assert html_extract.extract(PAGE) == "Head One, two, three and four words & more Second! para graph item one item two"
 
 
+PROSE = "This paragraph tells, at some length, what there is to say about the matter, and it goes on, as such texts do. " * 3
+
+
+def test_siblings_of_the_container_stay():
+    page = f"<body><nav>Menu</nav><h1>Title</h1><p>Short lead.</p><div><p>{PROSE}</p><p>{PROSE}</p></div><h2>More</h2><p>End note.</p><div class=footer>F</div></body>"
+    prose = PROSE.strip()
+    assert html_extract.extract(page) == f"Title Short lead. {prose} {prose} More End note."
+
+
+def test_link_lists_inside_an_article_stay_and_menus_go():
+    refs = "<ul>" + "".join(f'<li><a href=r{k}>Source {k}</a>' for k in range(9)) + "</ul>"
+    want = PROSE.strip() + " " + " ".join(f"Source {k}" for k in range(9))
+    for tag in ("article", "main"):
+        assert html_extract.extract(f"<body>{refs}<{tag}><div><p>{PROSE}</p></div>{refs}</{tag}></body>") == want
+    assert html_extract.extract(f"<body>{refs}<div><p>{PROSE}</p></div></body>") == PROSE.strip()
+    long_refs = "<ol><li><a href=a>Author, A long title of a work that the text relies on, 1999</a></ol>"
+    assert html_extract.extract(f"<body><div><p>{PROSE}</p>{long_refs}</div></body>").endswith("relies on, 1999")
+
+
+def test_parts_of_an_article():
+    page = f"<main><h1>T</h1><article><header><p>By line</p></header><section><p>{PROSE}</p></section><section><p>b</p></section><div class='share'>x</div></article><div>other</div></main>"
+    assert html_extract.extract(page) == f"T By line {PROSE.strip()} b"
+
+
+def test_attributes_are_told_apart():
+    page = f'<body><div data-id="share" title="a class=menu"><p>{PROSE}</p></div><div id=footnote>Note.</div></body>'
+    assert html_extract.extract(page) == PROSE.strip() + " Note."
+    assert html_extract.extract(f'<div class="content has-sidebar"><p>{PROSE}</p></div><div class="left sidebar">x</div>') == PROSE.strip()
+
+
+def test_unicode_white_space():
+    assert html_extract.extract("<p>a\u2003b\u3000\u2028c&nbsp;&#8195;d\x85e\u200bf</p>") == "a b c d e\u200bf"
+
+
+def test_characters_that_are_no_markup():
+    assert html_extract.extract("<p>1 < 2 and 3<4, a <- b & c</p><!-- x > y --><p>d<![CDATA[x]]>e</p><p title='>'>f</p>") == "1 < 2 and 3<4, a <- b & c de f"
+    assert html_extract.extract('<p>a</p><p title="never closed>b</p><p>c</p>') == "a b c"
+    assert html_extract.extract("<p>a</p><p>b <a href=") == "a b"
+
+
+def test_hostile_markup_takes_linear_time():
+    import time
+
+    n = 100_000
+    pages = ["<a " * n, "<a '" * n, '<a ="' * n, "<span>" * n + "</b>" * n, "<span>" * n + "<div></div>" * n, "<li><ul>" + "<blockquote>" * n + "<li></li>" * n]
+    pages += ["<script>" + "</script " * n, "<div>" * n + "<header></header>" * n, "<!--" * n, "<p><span>" * n + "<li>" * n, "<table><tr><td>" * n, "</p>" * n, "<" * n]
+    for page in pages:
+        began = time.time()
+        html_extract.extract(page)
+        assert time.time() - began < 8
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<p>a</p>", "t", 5, "k")], "page_id long, url string, html string, text string, n_chars long, _h string")
+    assert html_extract.main_text(df).collect()[0].asDict() == {"page_id": 1, "url": "u", "text": "a", "n_chars": 1}
+
+
 def test_odd_pages(spark):
     df = spark.createDataFrame([(1, None, None), (1, None, None), (2, "u", ""), (3, "u", "<p>cut off"), (4, "u", "no markup"), (5, "u", "<nav>x</nav>")], "page_id long, url string, html string")
     got = sorted((r["page_id"], r["text"]) for r in html_extract.main_text(df).collect())
