@@ -1,26 +1,32 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
 The model gives the probability of a text, its words spelled byte by byte in
 their order, with a blank after each word and a line end after the last. A byte
 is a walk down a Huffman tree of the training bytes; each turn is a bit that
-several predictors judge, each from its own hashed context: the last two, three
-and five bytes of the text, across blanks; the word so far; and the word so far
-with the whole word before it. Predictors are counts of both turns in tables of
-a fixed size. Their log-odds are combined by weights that a gate picks (how
-much each context has been seen), learned online in small steps along the
-training texts, with the current occurrence left out of the counts; an adaptive
-map then refines the mixture. A score is that of the whole sequence, so it
-changes with the order of the words.
+three predictors judge, each from its own hashed context: the last three bytes
+and the last five bytes of the text, across blanks, and the word so far together
+with the whole word before it. A predictor is a table of a fixed size that holds
+how often each turn was taken in a context, over all training texts. The
+predictors' log-odds are combined by weights that a gate picks (how much the two
+longer contexts have been seen), and a map by the mixture's own size corrects
+the sum. Weights and map begin the same in every text and are learned online
+along it, in the order of its bytes: a stretch of the text is judged with what
+the stretches before it taught, then it teaches in turn. Stretches end after 64,
+128, 256 and so on up to 4,096 bytes, then after every 4,096.
+
+So a score depends on the training counts and the text alone: not on how rows
+are dealt into tasks, nor on which texts are scored beside it.
 
 What is gathered from the corpus grows with it: words are counted over all
 documents, training and held out apart, into a staged table for the base model;
 the ``head`` most frequent words go to the tasks, all others are met by a join.
-Bit counts, weights and map are learned from every training text.
+Bit counts are taken from every training text.
 
 Defined results: a null or empty text is the end token alone. A null id counts
 as an empty text for the split. Repeated rows are learned and scored each time.
-Without training documents all counts are 0 and every bit is even. Words of
-any length are spelled out whole. Only doc_id and text are read.
+Without training documents all counts are 0 and every bit is even. Words of any
+length and texts of any length are spelled out whole. Only doc_id and text are
+read; other columns may have any name.
 """
 
 from __future__ import annotations
@@ -40,16 +46,19 @@ from pyspark.sql import types as T
 
 from lectern.llm._common import discard, python_workers_see_library, stage
 
-#: Bits of each predictor's table: contexts of 2, 3 and 5 bytes, the word so far, and that after the word before.
-TABLE_BITS = (16, 19, 20, 21, 21)
-_U = np.uint64
-_MIX = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
-_BASE = _U(0x100000001B3)
-_GATES = 64  # four degrees of use of each of the last three contexts
-_STEPS = 24  # buckets of the adaptive map, over log-odds from -12 to 12
+#: Bits of each predictor's table: contexts of 3 and 5 bytes, and the word so far after the word before.
+TABLE_BITS = (19, 21, 21)
+_U = np.uint32
+_MIX = tuple(_U(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1))
+_BASE = _U(0x01000193)
+_GATES = 16  # four degrees of use of each of the last two contexts
+_STEPS = 24  # buckets of the map, over log-odds from -12 to 12
 _EVEN = 0.05  # added to the counts of both turns
+_REACH, _FINE = 10, 800  # log-odds are held up to this size, in so many steps a unit
+_START, _RATE, _CALM = 0.4, 0.1, 20  # first weight, pace of learning, bits that a map's bucket waits for
+_FIRST, _LONGEST = 64, 4096  # bytes of a text's first stretch and of its longest ones
 _HEAD_BYTES = 64  # longer words are met by the join, so that the head's size is bounded
-_BLOCK = 8192  # table slots that travel together
+_BLOCK = 2048  # table slots that travel together
 
 
 def held_out(doc_id) -> bool:
@@ -90,41 +99,27 @@ def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
 
 
-@dataclass
-class Tree:
-    """Huffman tree of the bytes: for each byte its length, nodes and turns."""
-
-    length: np.ndarray
-    node: np.ndarray
-    turn: np.ndarray
-
-    def __post_init__(self):
-        self.salted = ((self.node.reshape(-1) + 1) * 0x9E3779B1 & 0xFFFFFFFF).astype(np.uint32)
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Tree:
-        heap = [(int(c) + 1, k, k) for k, c in enumerate(counts)]
-        heapq.heapify(heap)
-        serial, kids = 256, {}
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            kids[serial] = (a[2], b[2])
-            heapq.heappush(heap, (a[0] + b[0], serial, serial))
-            serial += 1
-        paths: dict[int, list[tuple[int, int]]] = {}
-        stack = [(heap[0][2], [])]
-        while stack:
-            at, path = stack.pop()
-            if at < 256:
-                paths[at] = path
-            else:
-                stack += [(kid, [*path, (at - 256, turn)]) for turn, kid in enumerate(kids[at])]
-        deepest = max(map(len, paths.values()))
-        node, turn = np.zeros((256, deepest), np.int64), np.zeros((256, deepest), np.int8)
-        for byte, path in paths.items():
-            for k, (n, t) in enumerate(path):
-                node[byte, k], turn[byte, k] = n, t
-        return cls(np.array([len(paths[b]) for b in range(256)]), node, turn)
+def code_lengths(counts: np.ndarray) -> np.ndarray:
+    """Length of each byte's Huffman code; no code is longer than some thirty bits."""
+    counts = np.maximum(counts, max(1, int(counts.sum()) >> 24))
+    heap = [(int(c), k, (k,)) for k, c in enumerate(counts)]
+    heapq.heapify(heap)
+    out = np.zeros(len(counts), np.int32)
+    for serial in range(len(counts), 2 * len(counts) - 1):
+        (a, _, x), (b, _, y) = heapq.heappop(heap), heapq.heappop(heap)
+        out[list(x + y)] += 1
+        heapq.heappush(heap, (a + b, serial, x + y))
+    return out
+
+
+def codes_of(lengths: np.ndarray) -> np.ndarray:
+    """Canonical codes with a one before their first bit, so that each beginning names a node of the tree."""
+    order = np.lexsort((np.arange(len(lengths)), lengths))
+    deepest = int(lengths.max())
+    room = np.int64(1) << (deepest - lengths[order]).astype(np.int64)
+    out = np.zeros(len(lengths), np.int64)
+    out[order] = (np.cumsum(room) - room) >> (deepest - lengths[order])
+    return (out | np.int64(1) << lengths).astype(np.uint32)
 
 
 def spelled(words: list[bytes]) -> bytes:
@@ -132,72 +127,75 @@ def spelled(words: list[bytes]) -> bytes:
     return b"".join([w + b" " for w in words])
 
 
-def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every byte of the texts and the line end after each: the byte, its text, its hashed contexts."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = x * _MIX[0]
+    x ^= x >> _U(15)
+    x *= _MIX[1]
+    x ^= x >> _U(13)
+    return x
+
+
+def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every byte of the texts and the line end after each: the byte, its text, its place there, its hashed contexts."""
     raw = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
+    n = len(raw)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(sizes) - sizes
-    place = np.arange(len(raw)) - np.repeat(begin, sizes)
-    wide = raw.astype(np.uint64) + _U(1)
-    near, h = {}, np.zeros(len(raw), np.uint64)
-    for j in range(1, 6):
-        h = h * _U(257) + np.where(place >= j, np.roll(wide, j), _U(0))
-        near[j] = h
+    place = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
+    wide = raw.astype(np.uint32)
+
+    def back(k: int) -> np.ndarray:
+        """The byte k places before; 0 before a text begins."""
+        out = np.zeros(n, np.uint32)
+        out[k:] = wide[: max(n - k, 0)]
+        for j in range(k):
+            out[begin[sizes > j] + j] = 0
+        return out
+
+    near = back(1)
+    near |= back(2) << _U(8)
+    near |= back(3) << _U(16)
+    far = (near | back(4) << _U(24)) * _MIX[2] + back(5) * _MIX[3]
     # A word ends with its blank or line end; its hash is a sum over its bytes, by their place in it.
-    opens = np.zeros(len(raw), bool)
+    opens = np.zeros(n, bool)
     opens[begin] = True
     opens[1:] |= raw[:-1] == 32
     heads = np.flatnonzero(opens)
-    lengths = np.diff(np.append(heads, len(raw)))
-    power = np.concatenate([[_U(1)], np.cumprod(np.full(int(lengths.max()), _BASE))])
-    rolled = np.concatenate([[_U(0)], np.cumsum(wide * power[np.arange(len(raw)) - np.repeat(heads, lengths)])])  # wraps around, as a hash may
-    word = rolled[:-1] - np.repeat(rolled[heads], lengths)
-    whole = np.concatenate([[_U(0)], np.diff(rolled[np.append(heads, len(raw))])[:-1]])
+    lengths = np.diff(np.append(heads, n))
+    power = np.cumprod(np.concatenate([[_U(1)], np.full(int(lengths.max()), _BASE)]), dtype=np.uint32)
+    inside = np.arange(n, dtype=np.int32) - np.repeat(heads.astype(np.int32), lengths)
+    rolled = np.zeros(n + 1, np.uint32)
+    np.cumsum((wide + _U(1)) * power[inside], dtype=np.uint32, out=rolled[1:])  # wraps around, as a hash may
+    whole = np.concatenate([[_U(0)], np.diff(rolled[np.append(heads, n)])[:-1]])
     whole[place[heads] == 0] = 0
-    before = np.repeat((whole ^ (whole >> _U(29))) * _MIX[1], lengths)
-    contexts = []
-    for c, mix in zip((near[2], near[3], near[5], word, word + before), _MIX):
-        c = c * mix
-        c ^= c >> _U(31)
-        contexts.append(((c * mix) >> _U(32)).astype(np.uint32))
-    return raw, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), contexts
-
-
-def _walks(raw: np.ndarray, contexts: list[np.ndarray], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For every bit of the bytes: its byte's position, its slot in each table, its turn."""
-    depth = tree.length[raw]
-    at = np.repeat(np.arange(len(raw), dtype=np.int32), depth)
-    step = np.arange(len(at), dtype=np.int32) - np.repeat((np.cumsum(depth) - depth).astype(np.int32), depth)
-    cell = raw[at].astype(np.int32) * tree.node.shape[1] + step
-    node = tree.salted[cell]
+    word = rolled[:-1] + np.repeat(_mixed(whole) - rolled[heads], lengths)
+    contexts = [_mixed(x + salt) for x, salt in zip((near, far, word), _MIX)]
+    return raw, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), place, contexts
+
+
+def bits_of(raw: np.ndarray, contexts: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """How many bits each byte has; for every bit its slot in each table and its turn."""
+    size = lengths[raw]
+    ends = np.cumsum(size, dtype=np.int32)
+    left = np.repeat(ends - 1, size)  # bits of the byte that follow
+    left -= np.arange(len(left), dtype=np.int32)
+    node = np.repeat(codes_of(lengths)[raw], size)
+    node >>= left.view(np.uint32)
+    turn = (node & _U(1)).astype(np.uint8)
+    node >>= _U(1)
+    node *= _MIX[0]
     slots = []
     for c, bits in zip(contexts, TABLE_BITS):
-        h = c[at]
-        h ^= node
-        h *= np.uint32(0x9E3779B1)
-        h ^= h >> np.uint32(15)
-        h *= np.uint32(0x85EBCA77)
-        slots.append((h >> np.uint32(32 - bits)).astype(np.int32))
-    return at, slots, tree.turn.reshape(-1)[cell]
-
+        h = np.repeat(c, size)
+        h += node
+        h ^= h >> _U(15)
+        h *= _MIX[1]
+        h >>= _U(32 - bits)
+        slots.append(h)
+    return size, slots, turn
 
-def bits_of(texts: list[bytes], tree: Tree) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """For every bit of the texts' spelling: its text, its slot in each table, its turn."""
-    raw, owner, contexts = contexts_of(texts)
-    at, slots, turn = _walks(raw, contexts, tree)
-    return owner[at], slots, turn
 
-
-def _strides(texts: list[bytes], tree: Tree, most: int) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """As :func:`bits_of`, by ``most`` bytes at a time, with contexts that go on across them."""
-    raw, owner, contexts = contexts_of(texts)
-    for k in range(0, len(raw), most):
-        part = slice(k, k + most)
-        at, slots, turn = _walks(raw[part], [c[part] for c in contexts], tree)
-        yield owner[part][at], slots, turn
-
-
-def _portions(texts: Iterator[bytes], most: int = 1 << 18) -> Iterator[list[bytes]]:
+def _portions(texts: Iterator[bytes], most: int = 1 << 17) -> Iterator[list[bytes]]:
     """Runs of whole texts with about ``most`` bytes."""
     part, size = [], 0
     for t in texts:
@@ -219,7 +217,7 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
                 if not held_out(doc_id):
                     yield spelled(words_of(text))
 
-    return _portions(texts())
+    return _portions(texts(), 1 << 20)
 
 
 def byte_counts(words: DataFrame) -> np.ndarray:
@@ -239,166 +237,163 @@ def byte_counts(words: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_counts(docs: DataFrame, tree: Tree) -> list[np.ndarray]:
-    """Counts of both turns for every slot of every table along all training texts, summed over all tasks.
+def bit_counts(docs: DataFrame, lengths: np.ndarray) -> DataFrame:
+    """(t, block, counts): how often each turn was taken in each slot of each table, along all training texts.
 
-    The tables have a fixed size; they travel in blocks, summed by 64 tasks'
-    parts at a time first, so that no group grows with the number of tasks.
+    The tables have a fixed size; they travel in blocks, 64 tasks' parts summed
+    first, one part in memory at a time.
     """
-    spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(tree)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = [np.zeros((2, 1 << bits), np.int64) for bits in TABLE_BITS]
+        tables = [np.zeros(2 << bits, np.int64) for bits in TABLE_BITS]
         for part in _learned(batches):
-            for _, slots, turn in _strides(part, held.value, 16_384):
+            raw, _, _, contexts = contexts_of(part)
+            for at in range(0, len(raw), 1 << 18):
+                few = slice(at, at + (1 << 18))
+                _, slots, turn = bits_of(raw[few], [c[few] for c in contexts], lengths)
                 for t, s in zip(tables, slots):
-                    np.add.at(t.reshape(-1), s + turn.astype(np.int64) * t.shape[1], 1)
+                    s <<= _U(1)
+                    s |= turn
+                    s.sort()
+                    edge = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
+                    t[s[edge[:-1]]] += np.diff(edge)
         part = TaskContext.get().partitionId() // 64
         for k, t in enumerate(tables):
-            blocks = t.reshape(2, -1, min(_BLOCK, t.shape[1]))
-            for j in range(blocks.shape[1]):
-                if blocks[:, j].any():
-                    packed = [blocks[:, j].astype(np.float64).tobytes()]
-                    arrays = [pa.array([k]), pa.array([j]), pa.array([part]), pa.array(packed, pa.binary())]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
-
-    schema = "t long, block long, part long, counts binary"
-    parts = stage(_summed(_summed(docs.mapInArrow(run, schema)).withColumn("part", F.lit(0).cast("long"))), "tables")
-    out = [np.zeros((2, 1 << bits), np.float32) for bits in TABLE_BITS]
-    for r in parts.toLocalIterator():
-        t = out[r["t"]]
-        size = min(_BLOCK, t.shape[1])
-        t[:, r["block"] * size : (r["block"] + 1) * size] += np.frombuffer(r["counts"]).reshape(2, size)
-    discard(parts)
-    return out
+            blocks = t.reshape(-1, 2 * _BLOCK)
+            for j in np.flatnonzero(blocks.any(axis=1)).tolist():
+                yield _block(k, j, part, blocks[j])
+
+    parts = docs.mapInArrow(run, _BLOCKS)
+    return _summed(_summed(parts).withColumn("part", F.lit(0).cast("long")))
+
+
+_BLOCKS = "t long, block long, part long, counts binary"
+
+
+def _block(t: int, block: int, part: int, counts: np.ndarray) -> pa.RecordBatch:
+    """Counts in the fewest bytes that hold them; the length tells how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if int(counts.max()) <= np.iinfo(k).max)
+    arrays = [pa.array([t]), pa.array([block]), pa.array([part]), pa.array([counts.astype(kind).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[len(packed) // (2 * _BLOCK)]
+    return np.frombuffer(packed, kind)
 
 
 def _summed(parts: DataFrame) -> DataFrame:
-    """(t, block, part, counts): packed doubles added up within a group."""
+    """Blocks of a group added up as they stream by."""
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer()) for x in group.column("counts"))
-        first = group.slice(0, 1)
-        packed = pa.array([total.tobytes()], pa.binary())
-        return pa.table([first.column("t"), first.column("block"), first.column("part"), packed], names=group.schema.names)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, None
+        for b in batches:
+            for *mine, packed in zip(*(b.column(k).to_pylist() for k in range(3)), b.column(3)):
+                if mine != key:
+                    if key is not None:
+                        yield _block(*key, total)
+                    key, total = mine, np.zeros(2 * _BLOCK, np.int64)
+                total += _unpacked(packed.as_py()).astype(np.int64)
+        if key is not None:
+            yield _block(*key, total)
 
-    return parts.groupBy("t", "block", "part").applyInArrow(add, "t long, block long, part long, counts binary")
+    by = ["t", "block", "part"]
+    return parts.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, _BLOCKS)
+
+
+def held_odds(counts: np.ndarray) -> np.ndarray:
+    """Log-odds and degree of use of each slot, from pairs of counts, in 16 bits."""
+    zero, one = counts.reshape(-1, 2).T.astype(np.float64)
+    odds = np.clip(np.log((one + _EVEN) / (zero + _EVEN)), -_REACH, _REACH)
+    n = zero + one
+    degree = (n > 0).astype(np.int64) + (n > 2) + (n > 20)
+    return (np.rint((odds + _REACH) * _FINE).astype(np.int64) * 4 + degree).astype(np.uint16)
 
 
 @dataclass
 class Model:
-    tree: Tree
+    lengths: np.ndarray
     tables: list[np.ndarray]
-    weights: np.ndarray
-    refined: np.ndarray
-
-    def judged(self, slots: list[np.ndarray], turn: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Log-odds of each predictor (and a constant), and the gate; ``turn``: leave this occurrence out."""
-        odds = np.empty((len(slots) + 1, len(slots[0])), np.float32)
-        gate = np.zeros(len(slots[0]), np.int64)
-        for k, (t, s) in enumerate(zip(self.tables, slots)):
-            zero, one = t[0][s], t[1][s]
-            if turn is not None:
-                one = np.maximum(one - turn, 0)
-                zero = np.maximum(zero - (1 - turn), 0)
-            odds[k] = np.log((one + np.float32(_EVEN)) / (zero + np.float32(_EVEN)))
-            if k > 1:
-                n = one + zero
-                gate = gate * 4 + (n > 0) + (n > 2) + (n > 20)
-        odds[-1] = 0.3
-        return odds, gate
-
-    def mixed(self, odds: np.ndarray, gate: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-        w = (self.weights if weights is None else weights).astype(np.float32)
-        x = w[:, 0][gate] * odds[0]
-        for k in range(1, len(odds)):
-            x += w[:, k][gate] * odds[k]
-        return np.clip(x, np.float32(-11.99), np.float32(11.99))
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        """log10 probability of each spelled text."""
-        if not hasattr(self, "final"):  # log-odds and degree of use of each slot, made once a worker
-            self.final = [np.log((t[1] + np.float32(_EVEN)) / (t[0] + np.float32(_EVEN))) for t in self.tables]
-            uses = [t[0] + t[1] for t in self.tables[2:]]
-            self.degree = [(n > 0).astype(np.uint8) + (n > 2) + (n > 20) for n in uses]
-        out = np.zeros(len(texts))
-        for owner, slots, turn in _strides(texts, self.tree, 16_384):
-            odds = [*(t[s] for t, s in zip(self.final, slots)), np.float32(0.3)]
-            gate = np.zeros(len(turn), np.int64)
-            for t, s in zip(self.degree, slots[2:]):
-                gate = gate * 4 + t[s]
-            x = self.mixed(odds, gate)
-            p = (1 / (1 + np.exp(-x)) + refine(self.refined, x, gate)) / 2
-            p = np.clip(np.where(turn == 1, p, 1 - p), 1e-6, 1 - 1e-6)
-            first = owner[0]
-            sums = np.bincount(owner - first, np.log10(p))
-            out[first : first + len(sums)] += sums
+        """log10 probability of each spelled text.
+
+        The texts go side by side, stretch by stretch; each has its own weights
+        and map, so none sees another.
+        """
+        raw, owner, place, contexts = contexts_of(texts)
+        stretch = stretch_of(place)
+        order = np.argsort(stretch, kind="stable")
+        raw, owner, contexts = raw[order], owner[order], [c[order] for c in contexts]
+        n, k_all = len(texts), len(self.tables)
+        weights = np.full((k_all, n * _GATES), _START, np.float32)
+        pace = np.full((k_all, n * _GATES), 1e-4)
+        bend = np.zeros(n * _STEPS, np.float32)
+        out = np.zeros(n)
+        ends = np.cumsum(np.bincount(stretch)).tolist()
+        for a, b in zip([0, *ends], ends):
+            if a == b:
+                continue
+            size, slots, turn = bits_of(raw[a:b], [c[a:b] for c in contexts], self.lengths)
+            whose = np.repeat(owner[a:b], size)
+            gate, odds = whose.copy(), []
+            for k, (table, s) in enumerate(zip(self.tables, slots)):
+                held = table[s]
+                if k:
+                    gate <<= 2
+                    gate |= held & 3
+                held >>= 2
+                held = held.astype(np.float32)
+                held *= np.float32(1 / _FINE)
+                held -= np.float32(_REACH)
+                odds.append(held)
+            x = weights[0][gate] * odds[0]
+            for k in range(1, k_all):
+                x += weights[k][gate] * odds[k]
+            np.clip(x, np.float32(-11.99), np.float32(11.99), out=x)
+            step = whose * _STEPS
+            step += (x + np.float32(12)).astype(np.int32)
+            miss = (turn - 1 / (1 + np.exp(-x))).astype(np.float64)
+            p = 1 / (1 + np.exp(-(x + bend[step])))
+            late = turn - p
+            out += np.bincount(whose, np.log10(np.clip(np.float32(1) - np.abs(late), np.float32(1e-6), None)), n)
+            mass = np.bincount(gate, minlength=n * _GATES)
+            met = np.flatnonzero(mass)
+            for k in range(k_all):
+                slope = np.bincount(gate, miss * odds[k], n * _GATES)[met] / mass[met]
+                pace[k, met] += slope * slope
+                weights[k, met] += (_RATE * slope / np.sqrt(pace[k, met])).astype(np.float32)
+            mass = np.bincount(step, minlength=n * _STEPS)
+            met = np.flatnonzero(mass)
+            bend[met] += (np.bincount(step, late, n * _STEPS)[met] / (mass[met] + _CALM)).astype(np.float32)
         return out
 
 
-def refine(table: np.ndarray, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
-    """The map's probability, between the two nearest buckets."""
-    at = x + _STEPS // 2
-    low = at.astype(np.int64)
-    share = at - low
-    return table[gate, low] * (1 - share) + table[gate, low + 1] * share
+def stretch_of(place: np.ndarray) -> np.ndarray:
+    """Number of the stretch that each place of a text belongs to."""
+    doubling = int(np.log2(_LONGEST // _FIRST)) + 1
+    edges = _FIRST << np.arange(doubling)
+    return np.where(place < _LONGEST, np.searchsorted(edges, place, "right"), doubling - 1 + place // _LONGEST).astype(np.int32)
 
 
-def fit_mixer(docs: DataFrame, tree: Tree, tables: list[np.ndarray], rate: float = 0.02) -> Model:
-    """Weights learned online in every task along its part of all training texts, then averaged by the bits seen."""
-    spark = docs.sparkSession
-    start = np.full((_GATES, len(TABLE_BITS) + 1), 0.35)
-    even = 1 / (1 + np.exp(-(np.arange(_STEPS + 2) - _STEPS / 2)))
-    model = Model(tree, tables, start, np.tile(even, (_GATES, 1)))
-    held = spark.sparkContext.broadcast(model)
+def fit(docs: DataFrame, words: DataFrame) -> Model:
+    """Code lengths of the training bytes and the three tables; what reaches the driver has a fixed size."""
+    lengths = code_lengths(byte_counts(words))
+    counts = bit_counts(docs, lengths)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        m = held.value
-        weights, pace = m.weights.copy(), np.full(m.weights.shape, 1e-3)
-        seen = np.zeros(_GATES)
-        cells = np.zeros((2, _GATES * (_STEPS + 2)))
-        for part in _learned(batches):
-            for _, slots, turn in _strides(part, m.tree, 8_192):
-                odds, gate = m.judged(slots, turn)
-                x = m.mixed(odds, gate, weights)
-                miss = turn - 1 / (1 + np.exp(-x))
-                mass = np.bincount(gate, minlength=_GATES)
-                for k in range(len(odds)):
-                    slope = np.bincount(gate, miss * odds[k], _GATES) / np.maximum(mass, 1)
-                    pace[:, k] += slope * slope
-                    weights[:, k] += rate * slope / np.sqrt(pace[:, k])
-                seen += mass
-                at = x + np.float32(_STEPS // 2)
-                low = at.astype(np.int32)
-                up = at - low
-                where, n = gate * (_STEPS + 2) + low, cells.shape[1]
-                for row, c in ((0, None), (1, turn)):
-                    near, far = (1 - up, up) if c is None else ((1 - up) * c, up * c)
-                    cells[row] += np.bincount(where, near, n)
-                    cells[row] += np.bincount(where + 1, far, n)
-        packed = np.concatenate([(weights * seen[:, None]).ravel(), seen, cells.ravel()]).tobytes()
-        part = TaskContext.get().partitionId() // 64
-        arrays = [pa.array([0]), pa.array([0]), pa.array([part]), pa.array([packed], pa.binary())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["t", "block", "part", "counts"])
-
-    parts = docs.mapInArrow(run, "t long, block long, part long, counts binary")
-    rows = _summed(_summed(parts).withColumn("part", F.lit(0).cast("long"))).collect()
-    if rows:
-        total, seen, cells = np.split(np.frombuffer(rows[0]["counts"]), [start.size, start.size + _GATES])
-        cells = cells.reshape(2, _GATES, _STEPS + 2)
-        model.weights = np.where(seen[:, None] > 0, total.reshape(start.shape) / np.maximum(seen, 1)[:, None], start)
-        model.refined = (cells[1] + 20 * even) / (cells[0] + 20)
-    return model
-
-
-def fit(docs: DataFrame, words: DataFrame) -> Model:
-    tree = Tree.of(byte_counts(words))
-    return fit_mixer(docs, tree, bit_counts(docs, tree))
+        for b in batches:
+            held = [held_odds(_unpacked(x.as_py())).tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.binary())], names=["t", "block", "held"])
+
+    held = stage(counts.mapInArrow(run, "t long, block long, held binary"), "tables")
+    tables = [np.full(1 << bits, held_odds(np.zeros(2, np.int64))[0], np.uint16) for bits in TABLE_BITS]
+    for r in held.toLocalIterator():
+        tables[r["t"]][r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["held"], np.uint16)
+    discard(held)
+    return Model(lengths, tables)
 
 
 def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:

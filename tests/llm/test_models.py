@@ -44,29 +44,109 @@ def test_model_beats_chance_on_held_out_texts(docs):
     assert got and np.median([r["bits_per_byte"] for r in got]) < 3.2
 
 
-def test_spelling_is_a_distribution():
-    """The walks to all bytes, with the odds of a fixed context, have probabilities that sum to 1."""
-    tree = m.Tree.of(np.arange(256))
-    rng = np.random.default_rng(1)
-    p = rng.random(255)
-    total = 0.0
-    for b in range(256):
-        x = 1.0
-        for k in range(tree.length[b]):
-            q = p[tree.node[b, k]]
-            x *= q if tree.turn[b, k] else 1 - q
-        total += x
-    assert abs(total - 1) < 1e-9
-
-
-def test_slots_depend_on_context_alone():
-    tree = m.Tree.of(np.ones(256, int))
-    word, slots, turn = m.bits_of([b"abcdefgh", b"abcdexgh", b"", b"zbcdefgh"], tree)
-    a, b, c = (np.flatnonzero(word == k) for k in (0, 1, 3))
-    assert len(a) == 9 * 8 and (word == 2).sum() == 8
-    assert all((s[a[:40]] == s[b[:40]]).all() for s in slots)
-    late = slice(48, 72)  # the seventh byte and later: five bytes back are equal, the whole word is not
-    assert all((s[a[late]] == s[c[late]]).all() for s in slots[:3]) and not (slots[3][a[late]] == slots[3][c[late]]).all()
+def test_codes_are_a_tree():
+    for counts in (np.ones(256, int), np.arange(256), 2 ** np.minimum(np.arange(256), 60)):
+        lengths = m.code_lengths(counts)
+        assert sum(2.0 ** -int(n) for n in lengths) == 1 and lengths.max() <= 40
+        codes = [format(int(c), "b")[1:] for c in m.codes_of(lengths)]
+        assert [len(c) for c in codes] == lengths.tolist()
+        assert not any(b.startswith(a) for a, b in zip(sorted(codes), sorted(codes)[1:]))
+
+
+class Slow:
+    """The model, byte after byte and text after text, on whole numbers and single floats."""
+
+    def __init__(self, texts):
+        self.counts = np.ones(256, np.int64) * 0
+        for t in texts:
+            for b in t + b"\n":
+                self.counts[b] += 1
+        self.lengths = m.code_lengths(self.counts)
+        self.codes = [format(int(c), "b") for c in m.codes_of(self.lengths)]
+        self.tables = [Counter() for _ in m.TABLE_BITS]
+        for t in texts:
+            for _, slots, turn in self.bits(t):
+                for table, s in zip(self.tables, slots):
+                    table[s, turn] += 1
+
+    @staticmethod
+    def mixed(x):
+        x = x * 0x9E3779B1 & 0xFFFFFFFF
+        x ^= x >> 15
+        x = x * 0x85EBCA77 & 0xFFFFFFFF
+        return x ^ x >> 13
+
+    def bits(self, text):
+        text, word, power, before = text + b"\n", 0, 1, 0
+        for at, byte in enumerate(text):
+            last = [text[at - k] if at >= k else 0 for k in range(1, 6)]
+            near = last[0] | last[1] << 8 | last[2] << 16
+            far = (near | last[3] << 24) * 0xC2B2AE3D + last[4] * 0x27D4EB2F
+            salts = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
+            contexts = [self.mixed(x + s & 0xFFFFFFFF) for x, s in zip((near, far, word + self.mixed(before)), salts)]
+            code = self.codes[byte]
+            for k in range(1, len(code)):
+                slots = []
+                for c, bits in zip(contexts, m.TABLE_BITS):
+                    h = c + int(code[:k], 2) * 0x9E3779B1 & 0xFFFFFFFF
+                    h ^= h >> 15
+                    slots.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> 32 - bits)
+                yield at, slots, int(code[k])
+            word, power = (word + (byte + 1) * power) & 0xFFFFFFFF, power * 0x01000193 & 0xFFFFFFFF
+            if byte == 32:
+                before, word, power = word, 0, 1
+
+    def judged(self, table, slot):
+        zero, one = table[slot, 0], table[slot, 1]
+        odds = min(10.0, max(-10.0, math.log((one + 0.05) / (zero + 0.05))))
+        n = zero + one
+        return round((odds + 10) * 800) / 800 - 10, (n > 0) + (n > 2) + (n > 20)
+
+    def score(self, text):
+        weights, pace, bend = {}, {}, {}
+        total, ends, now = 0.0, 64, []
+        for at, slots, turn in [*self.bits(text), (None, None, None)]:
+            if at is None or at >= ends:
+                for cell in {x[0] for x in now}:
+                    mine = [x for x in now if x[0] == cell]
+                    for k in range(3):
+                        slope = sum((x[2] - x[3]) * x[1][k] for x in mine) / len(mine)
+                        pace[cell, k] = pace.get((cell, k), 1e-4) + slope**2
+                        weights[cell, k] = weights.get((cell, k), 0.4) + 0.1 * slope / math.sqrt(pace[cell, k])
+                for step in {x[4] for x in now}:
+                    mine = [x for x in now if x[4] == step]
+                    bend[step] = bend.get(step, 0.0) + sum(x[2] - x[5] for x in mine) / (len(mine) + 20)
+                now = []
+                ends = ends * 2 if ends < 4096 else ends + 4096
+            if at is None:
+                return total
+            odds = [self.judged(t, s) for t, s in zip(self.tables, slots)]
+            cell = odds[1][1] * 4 + odds[2][1]
+            x = max(-11.99, min(11.99, sum(weights.get((cell, k), 0.4) * odds[k][0] for k in range(3))))
+            step = int(x + 12)
+            early, late = (1 / (1 + math.exp(-y)) for y in (x, x + bend.get(step, 0.0)))
+            total += math.log10(max(1e-6, late if turn else 1 - late))
+            now.append((cell, [o for o, _ in odds], turn, early, step, late))
+
+
+def test_scores_against_brute_force(spark, docs, odd):
+    """Also: a score is the same however the rows are dealt, and long texts are learned and scored whole."""
+    some = docs.where("doc_id % 3 = 0").select("doc_id", "text")
+    more = spark.createDataFrame([(9001, "long tail of words " * 700), (9002, "x" * 30_000), (9003, ""), (None, None)], some.schema)
+    for df in (some.unionByName(more), odd("score")):
+        rows = df.collect()
+        slow = Slow([m.spelled(m.words_of(r["text"])) for r in rows if not split(r)])
+        for dealt in (df.repartition(3), df.coalesce(1)):
+            for r in m.score_documents(dealt).collect():
+                texts = [x["text"] for x in rows if x["doc_id"] == r["doc_id"]]
+                want = slow.score(m.spelled(m.words_of(texts[0])))
+                assert abs(r["score"] - want) <= 1e-4 * abs(want) + 1e-3
+
+
+def test_no_training_documents(spark):
+    ids = [k for k in range(200) if m.held_out(k)][:3]
+    got = m.score_documents(spark.createDataFrame([(k, "some words") for k in ids], "doc_id long, text string")).collect()
+    assert len(got) == 3 and all(r["train_tokens"] == 0 and abs(r["bits_per_byte"] - 8) < 1e-6 for r in got)
 
 
 def test_score_depends_on_the_order_of_words(spark):
@@ -80,18 +160,13 @@ def test_score_depends_on_the_order_of_words(spark):
     assert rows[99]["score"] > rows[40]["score"] + 1
 
 
-def test_contexts_cross_blanks_and_strides():
-    tree = m.Tree.of(np.ones(256, int))
-    owner, slots, _ = m.bits_of([b"one two end ", b"six two end "], tree)
-    a, b = (np.flatnonzero(owner == k) for k in (0, 1))
-    second = slice(4 * 8, 5 * 8)  # the first byte after the first blank
-    assert all((s[a[second]] != s[b[second]]).any() for s in (slots[0], slots[1], slots[2], slots[4]))
-    assert (slots[3][a[second]] == slots[3][b[second]]).all()
-    third = slice(9 * 8, 10 * 8)  # one byte into "end": five bytes back and the word before are equal again
-    assert all((s[a[third]] == s[b[third]]).all() for s in slots)
-    parts = list(m._strides([b"one two end ", b"six two end "], tree, 5))
-    assert (np.concatenate([p[0] for p in parts]) == owner).all()
-    assert all((np.concatenate([p[1][k] for p in parts]) == slots[k]).all() for k in range(len(slots)))
+def test_texts_are_scored_apart():
+    rng = np.random.default_rng(3)
+    texts = [m.spelled([b"w%d" % k for k in rng.integers(0, 300, n)]) for n in (0, 1, 5, 80, 2_000, 9_000)]
+    lengths = m.code_lengths(np.bincount(np.frombuffer(b"".join(texts) + b"\n", np.uint8), minlength=256))
+    model = m.Model(lengths, [rng.integers(0, 64_000, 1 << b).astype(np.uint16) for b in m.TABLE_BITS])
+    together = model.score(texts)
+    assert np.allclose(together, [model.score([t])[0] for t in texts], rtol=1e-12)
 
 
 def containment(docs, items):
