@@ -173,24 +173,38 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return raw, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), place, contexts
 
 
-def bits_of(raw: np.ndarray, contexts: list[np.ndarray], lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """How many bits each byte has; for every bit its slot in each table and its turn."""
+def bits_of(raw: np.ndarray, contexts: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """How many bits each byte has; for every bit its slot in each table and its turn.
+
+    Four bits of a byte share a run of 16 slots, which the context and the bits
+    before them pick: one place in memory to go to instead of four.
+    """
     size = lengths[raw]
-    ends = np.cumsum(size, dtype=np.int32)
-    left = np.repeat(ends - 1, size)  # bits of the byte that follow
-    left -= np.arange(len(left), dtype=np.int32)
-    node = np.repeat(codes_of(lengths)[raw], size)
-    node >>= left.view(np.uint32)
-    turn = (node & _U(1)).astype(np.uint8)
-    node >>= _U(1)
-    node *= _MIX[0]
+    runs = (size + 3) >> 2
+    nth = np.arange(int(runs.sum()), dtype=np.int32) - np.repeat(np.cumsum(runs, dtype=np.int32) - runs, runs)
+    left = np.repeat(size, runs) - (nth << 2)  # bits of the byte from this run on
+    code = np.repeat(codes[raw], runs)
+    before = (code >> left.view(np.uint32)) * _MIX[0]
+    n = np.minimum(left, 4)
+    code >>= (left - n).view(np.uint32)
+    own = ((code & ((_U(1) << n.view(np.uint32)) - _U(1))) | (_U(1) << n.view(np.uint32))).astype(np.uint8)
+    ends = np.cumsum(n, dtype=np.int32)
+    after = np.repeat(ends - 1, n)
+    after -= np.arange(len(after), dtype=np.int32)
+    place = np.repeat(own, n)
+    place >>= after.astype(np.uint8)
+    turn = place & np.uint8(1)
+    place >>= np.uint8(1)
     slots = []
     for c, bits in zip(contexts, TABLE_BITS):
-        h = np.repeat(c, size)
-        h += node
+        h = np.repeat(c, runs)
+        h += before
         h ^= h >> _U(15)
         h *= _MIX[1]
-        h >>= _U(32 - bits)
+        h >>= _U(36 - bits)
+        h <<= _U(4)
+        h = np.repeat(h, n)
+        h |= place
         slots.append(h)
     return size, slots, turn
 
@@ -247,12 +261,13 @@ def bit_counts(docs: DataFrame, lengths: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        codes = codes_of(lengths)
         tables = [np.zeros(2 << bits, np.int64) for bits in TABLE_BITS]
         for part in _learned(batches):
             raw, _, _, contexts = contexts_of(part)
             for at in range(0, len(raw), 1 << 18):
                 few = slice(at, at + (1 << 18))
-                _, slots, turn = bits_of(raw[few], [c[few] for c in contexts], lengths)
+                _, slots, turn = bits_of(raw[few], [c[few] for c in contexts], lengths, codes)
                 for t, s in zip(tables, slots):
                     s <<= _U(1)
                     s |= turn
@@ -323,6 +338,7 @@ class Model:
         The texts go side by side, stretch by stretch; each has its own weights
         and map, so none sees another.
         """
+        codes = codes_of(self.lengths)
         raw, owner, place, contexts = contexts_of(texts)
         stretch = stretch_of(place)
         order = np.argsort(stretch, kind="stable")
@@ -336,11 +352,11 @@ class Model:
         for a, b in zip([0, *ends], ends):
             if a == b:
                 continue
-            size, slots, turn = bits_of(raw[a:b], [c[a:b] for c in contexts], self.lengths)
+            size, slots, turn = bits_of(raw[a:b], [c[a:b] for c in contexts], self.lengths, codes)
             whose = np.repeat(owner[a:b], size)
             gate, odds = whose.copy(), []
             for k, (table, s) in enumerate(zip(self.tables, slots)):
-                held = table[s]
+                held = table.take(s)
                 if k:
                     gate <<= 2
                     gate |= held & 3
@@ -349,16 +365,18 @@ class Model:
                 held *= np.float32(1 / _FINE)
                 held -= np.float32(_REACH)
                 odds.append(held)
-            x = weights[0][gate] * odds[0]
+            x = weights[0].take(gate) * odds[0]
             for k in range(1, k_all):
-                x += weights[k][gate] * odds[k]
+                x += weights[k].take(gate) * odds[k]
             np.clip(x, np.float32(-11.99), np.float32(11.99), out=x)
             step = whose * _STEPS
             step += (x + np.float32(12)).astype(np.int32)
-            miss = (turn - 1 / (1 + np.exp(-x))).astype(np.float64)
-            p = 1 / (1 + np.exp(-(x + bend[step])))
-            late = turn - p
-            out += np.bincount(whose, np.log10(np.clip(np.float32(1) - np.abs(late), np.float32(1e-6), None)), n)
+            x += bend.take(step)
+            miss = turn - 1 / (1 + np.exp(-x))
+            p = np.maximum(np.float32(1) - np.abs(miss), np.float32(1e-6))  # of the turn taken
+            miss = miss.astype(np.float64)
+            first = np.concatenate([[0], np.flatnonzero(whose[1:] != whose[:-1]) + 1])
+            out[whose[first]] += np.add.reduceat(np.log10(p).astype(np.float64), first)
             mass = np.bincount(gate, minlength=n * _GATES)
             met = np.flatnonzero(mass)
             for k in range(k_all):
@@ -367,7 +385,7 @@ class Model:
                 weights[k, met] += (_RATE * slope / np.sqrt(pace[k, met])).astype(np.float32)
             mass = np.bincount(step, minlength=n * _STEPS)
             met = np.flatnonzero(mass)
-            bend[met] += (np.bincount(step, late, n * _STEPS)[met] / (mass[met] + _CALM)).astype(np.float32)
+            bend[met] += (np.bincount(step, miss, n * _STEPS)[met] / (mass[met] + _CALM)).astype(np.float32)
         return out
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,17 +27,20 @@ STRATEGIES = ("semantic", "lexical", "hybrid", "ensemble", "ensemble_parallel")
 
 @dataclass(frozen=True)
 class Index:
-    """``chunks``: chunk_id, pos (order of ties, from 0), text, start_idx; the rest is derived."""
+    """``chunks``: chunk_id, pos (order of ties, from 0), text, start_idx; the rest is derived.
+
+    ``postings`` holds a row for each chunk (pos, dl, terms, tfs): a search goes
+    through chunks in place, and a frequent term is never one partition.
+    """
 
     chunks: DataFrame
     postings: DataFrame
     terms: DataFrame
-    lengths: DataFrame
     corpus: DataFrame
     vectors: DataFrame | None = None
     embedder: Embedder | None = None
 
-    TABLES = ("chunks", "postings", "terms", "lengths", "corpus", "vectors")
+    TABLES = ("chunks", "postings", "terms", "corpus", "vectors")
 
     def save(self, path: str) -> None:
         for name in self.TABLES:
@@ -51,23 +55,21 @@ class Index:
 
 
 def postings_of(chunks: DataFrame) -> DataFrame:
-    """(term, pos, tf, dl): runs of equal words in each chunk's sorted words, so that counting needs no shuffle."""
+    """(pos, dl, terms, tfs): runs of equal words in each chunk's sorted words, so that counting needs no shuffle."""
 
     def runs(w: Column) -> Column:
         first = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: (i == 0) | (F.get(w, i) != F.get(w, i - 1)))
-        one = lambda starts: F.transform(
-            starts,
-            lambda i, k: F.struct(
-                F.get(w, i).alias("term"),
-                F.size(w).alias("dl"),
-                (F.coalesce(F.get(starts, k + 1), F.size(w)) - i).cast("long").alias("tf"),
-            ),
+        told = lambda starts: F.struct(
+            F.transform(starts, lambda i: F.get(w, i)).alias("terms"),
+            F.transform(starts, lambda i, k: (F.coalesce(F.get(starts, k + 1), F.size(w)) - i).cast("long")).alias("tfs"),
+            F.size(w).cast("long").alias("dl"),
         )
-        return F.when(F.size(w) > 0, let(first, one))
+        none = F.struct(F.array().cast("array<string>").alias("terms"), F.array().cast("array<bigint>").alias("tfs"), F.lit(0).cast("long").alias("dl"))
+        return F.when(F.size(w) > 0, let(first, told)).otherwise(none)
 
     sorted_words = F.sort_array(lexical_tokens(F.coalesce(F.col("text"), F.lit(""))))
-    listed = chunks.select("pos", F.inline_outer(let(sorted_words, runs)))
-    return listed.where(F.col("term").isNotNull()).select("term", "pos", "tf", "dl")
+    listed = chunks.select(F.col("pos").cast("long").alias("pos"), F.inline(F.array(let(sorted_words, runs))))
+    return listed.select("pos", "dl", "terms", "tfs")
 
 
 def term_weights(counts: DataFrame, corpus: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
@@ -86,14 +88,13 @@ def build_index(chunks: DataFrame, embedder: Embedder | None = None, o: SearchOp
         chunks = chunks.withColumn("start_idx", F.lit(0))
     chunks = staged(chunks.select("chunk_id", "pos", "text", F.coalesce("start_idx", F.lit(0)).alias("start_idx")), "chunks")
     postings = staged(postings_of(chunks), "postings")
-    lengths = chunks.select("pos", F.size(lexical_tokens(F.coalesce(F.col("text"), F.lit("")))).alias("dl"))
-    corpus = staged(lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
-    counts = staged(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
-    terms = term_weights(counts, corpus, o)
+    corpus = staged(postings.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")), "corpus")
+    counts = staged(postings.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")), "counts")
+    terms = staged(term_weights(counts, corpus, o), "terms")
     vectors = None
     if embedder is not None:
         vectors = staged(embedded(chunks.select("chunk_id", "pos", "text"), embedder).drop("text"), "vectors")
-    return Index(chunks, postings, terms, lengths, corpus, vectors, embedder)
+    return Index(chunks, postings, terms, corpus, vectors, embedder)
 
 
 def _top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFrame:
@@ -102,88 +103,152 @@ def _top(df: DataFrame, k: int, *order: Column, by: str = "query_id") -> DataFra
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+class _Best:
+    """The k best (score, pos) of each query among the rows offered so far; ties by position."""
+
+    def __init__(self, queries: int, k: int, latest_first: bool = False):
+        self.k, self.sign = k, -1 if latest_first else 1
+        self.score, self.pos = np.full((queries, 0), -np.inf), np.zeros((queries, 0), np.int64)
+
+    def offer(self, score: np.ndarray, pos: np.ndarray) -> None:
+        """``score``: a row a query, a column a position."""
+        for at in range(0, len(pos), 512):
+            s = np.hstack([self.score, score[:, at : at + 512]])
+            p = np.hstack([self.pos, np.broadcast_to(pos[at : at + 512], (len(s), len(pos[at : at + 512])))])
+            order = np.lexsort((self.sign * p, -np.round(s, 9)), axis=1)[:, : self.k]
+            self.score, self.pos = np.take_along_axis(s, order, 1), np.take_along_axis(p, order, 1)
+
+    def rows(self, ids: list) -> Iterator[pa.RecordBatch]:
+        n = self.score.shape[1]
+        if n:
+            names = pa.array([i for i in ids for _ in range(n)])
+            yield pa.RecordBatch.from_arrays([names, pa.array(self.pos.ravel()), pa.array(self.score.ravel())], names=["query_id", "pos", "score"])
+
+
+def _best_hits(parts: list[DataFrame], spark, kind: str, k: int, latest_first: bool = False) -> DataFrame:
+    """The final k of each query out of each task's k, for all blocks of queries."""
+    if not parts:
+        return spark.createDataFrame([], f"query_id {kind}, pos long, score double, rank int")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return _top(out, k, F.round("score", 9).desc(), F.desc("pos") if latest_first else F.asc("pos"))
+
+
 def vector_topk(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """(query_id, pos, score, rank): the k largest inner products of each query, all vectors compared.
 
     Queries (query_id, embedding) go to the tasks in blocks of ``block``; a task
-    multiplies matrices and keeps k rows of each query, so little is shuffled.
+    multiplies matrices and keeps k rows of each query, so little is shuffled. A
+    query meets the vectors of its own size; those with a null in them meet none.
     """
     spark = vectors.sparkSession
     kind = queries.schema["query_id"].dataType.simpleString()
-    out = None
-    part: list = []
+    whole = lambda df: df.where(F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull()))
+    slim = whole(vectors.select(F.col("pos").cast("long").alias("pos"), "embedding"))
 
-    def search(rows: list) -> DataFrame:
+    def search(rows: list, size: int) -> DataFrame:
         held = spark.sparkContext.broadcast(([r[0] for r in rows], np.array([r[1] for r in rows], np.float64)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, q = held.value
-            best_s = np.full((len(ids), 0), -np.inf)
-            best_p = np.zeros((len(ids), 0), np.int64)
+            best = _Best(len(ids), k)
             for b in batches:
-                if not b.num_rows:
-                    continue
-                m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                best_s = np.hstack([best_s, q @ m.T])
-                best_p = np.hstack([best_p, np.broadcast_to(b.column(0).to_numpy(), (len(ids), b.num_rows))])
-                order = np.lexsort((best_p, -best_s), axis=1)[:, :k]
-                best_s, best_p = np.take_along_axis(best_s, order, 1), np.take_along_axis(best_p, order, 1)
-            n = best_s.shape[1]
-            if n:
-                names = pa.array([i for i in ids for _ in range(n)])
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(best_p.ravel()), pa.array(best_s.ravel())], names=["query_id", "pos", "score"]
-                )
-
-        slim = vectors.select(F.col("pos").cast("long").alias("pos"), "embedding").where(F.col("embedding").isNotNull())
-        return slim.mapInArrow(run, f"query_id {kind}, pos long, score double")
-
-    for r in queries.select("query_id", "embedding").toLocalIterator():
-        if r[1] is not None:
-            part.append((r[0], r[1]))
+                if b.num_rows:
+                    m = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    best.offer(q @ m.T, b.column(0).to_numpy())
+            yield from best.rows(ids)
+
+        return slim.where(F.size("embedding") == size).mapInArrow(run, f"query_id {kind}, pos long, score double")
+
+    done: list[DataFrame] = []
+    waiting: dict[int, list] = {}
+    for r in whole(queries.select("query_id", "embedding")).toLocalIterator():
+        part = waiting.setdefault(len(r[1]), [])
+        part.append((r[0], r[1]))
         if len(part) == block:
-            found = staged(search(part), "hits")
-            out, part = found if out is None else out.unionByName(found), []
-    if part:
-        found = search(part)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], f"query_id {kind}, pos long, score double, rank int")
-    return _top(out, k, F.desc("score"), F.asc("pos"))
+            done.append(staged(search(waiting.pop(len(r[1])), len(r[1])), "hits"))
+    done += [search(part, size) for size, part in waiting.items()]
+    return _best_hits(done, spark, kind, k)
 
 
 def semantic(index: Index, queries: DataFrame, o: SearchOptions = SearchOptions(), top_k: int | None = None) -> DataFrame:
-    """(query_id, pos, score, rank): up to 3 * top_k rows over the threshold."""
+    """(query_id, pos, score, rank): up to 3 * top_k rows over the threshold.
+
+    Queries may bring an ``embedding`` of their own.
+    """
     k = o.top_k if top_k is None else top_k
-    asked = embedded(queries, index.embedder, "query")
+    asked = queries if "embedding" in queries.columns else embedded(queries, index.embedder, "query")
     hits = vector_topk(index.vectors, asked, 3 * k).where(F.col("score") >= o.semantic_threshold)
     return hits.where(F.col("rank") <= k) if o.strict_top_k else hits
 
 
-def lexical_scores(index: Index, queries: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
-    """(query_id, pos, score) of every chunk that shares a term with the query."""
+def _weighted(index: Index, queries: DataFrame) -> DataFrame:
+    """(query_id, weights): the known terms of each query with how often it names them times their weight."""
     asked = queries.select("query_id", F.explode(lexical_tokens(F.col("query"))).alias("term"))
-    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    met = asked.join(index.terms.select("term", "idf"), "term").join(index.postings, "term").crossJoin(F.broadcast(index.corpus))
-    damped = F.col("tf") + o.k1 * (1 - o.b + o.b * F.col("dl") / F.col("avgdl"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (o.k1 + 1) / damped
-    return met.groupBy("query_id", "pos").agg(F.sum(part).alias("score"))
+    asked = asked.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times")).join(index.terms, "term")
+    weights = asked.groupBy("query_id").agg(F.collect_list(F.struct("term", (F.col("times") * F.col("idf")).alias("w"))).alias("weights"))
+    return queries.select("query_id").distinct().join(weights, "query_id", "left")
 
 
-def lexical(index: Index, queries: DataFrame, o: SearchOptions = SearchOptions(), top_k: int | None = None) -> DataFrame:
+def lexical(
+    index: Index, queries: DataFrame, o: SearchOptions = SearchOptions(), top_k: int | None = None, latest_first: bool = False, block: int = 256, room: int = 8192
+) -> DataFrame:
     """(query_id, pos, score, rank): the best top_k chunks by BM25, ties by position.
 
-    Chunks without a shared term score 0 and fill up what is missing, first
-    positions first: a query with m scored chunks needs none beyond position
-    top_k + m, and only queries with fewer than top_k positive scores need any.
+    Queries go to the tasks in blocks of at most ``block``, with at most ``room``
+    different terms (or one query). A task takes its chunks in place, as rows of
+    a matrix of damped term counts, multiplies it by the block's weights and
+    keeps top_k rows of each query, so only those are shuffled. Chunks without a
+    shared term score 0.
     """
+    spark = index.chunks.sparkSession
+    kind = queries.schema["query_id"].dataType.simpleString()
     k = o.top_k if top_k is None else top_k
-    scored = lexical_scores(index, queries, o)
-    good = scored.groupBy("query_id").agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("score") > 0).alias("plus"))
-    short = queries.select("query_id").join(good, "query_id", "left").where(F.coalesce("plus", F.lit(0)) < k)
-    first = short.select("query_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)) + k - 1)).alias("pos"))
-    fill = first.join(index.chunks.select("pos"), "pos").join(scored, ["query_id", "pos"], "left_anti")
-    return _top(scored.unionByName(fill.select("query_id", "pos", F.lit(0.0).alias("score"))), k, F.desc("score"), F.asc("pos"))
+    mean = index.corpus.first()["avgdl"] or 1.0
+
+    def search(rows: list) -> DataFrame:
+        terms = sorted({w["term"] for _, weights in rows for w in weights})
+        place = {t: j for j, t in enumerate(terms)}
+        table = np.zeros((len(terms), len(rows)))
+        for q, (_, weights) in enumerate(rows):
+            for w in weights:
+                table[place[w["term"]], q] = w["w"]
+        held = spark.sparkContext.broadcast(([r[0] for r in rows], terms, table))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, names, weights = held.value
+            known = pa.array(names, pa.string())
+            best = _Best(len(ids), k, latest_first)
+            rows_at_once = max(16, min(4096, (1 << 22) // max(1, len(names))))
+            for whole in batches:
+                for at in range(0, whole.num_rows, rows_at_once):
+                    b = whole.slice(at, rows_at_once)
+                    met = pc.index_in(b.column(2).flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                    row = np.repeat(np.arange(b.num_rows), pc.list_value_length(b.column(2)).to_numpy())
+                    here = ~np.isnan(met) if met.dtype.kind == "f" else np.ones(len(met), bool)
+                    row, col = row[here], met[here].astype(np.int64)
+                    tf, dl = b.column(3).flatten().to_numpy()[here].astype(np.float64), b.column(1).to_numpy()[row]
+                    counts = np.zeros((b.num_rows, len(names)))
+                    counts[row, col] = tf * (o.k1 + 1) / (tf + o.k1 * (1 - o.b + o.b * dl / mean))
+                    best.offer((counts @ weights).T, b.column(0).to_numpy())
+            yield from best.rows(ids)
+
+        return index.postings.select("pos", "dl", "terms", "tfs").mapInArrow(run, f"query_id {kind}, pos long, score double")
+
+    done: list[DataFrame] = []
+    part: list = []
+    seen: set[str] = set()
+    for query_id, weights in _weighted(index, queries).toLocalIterator():
+        mine = {w["term"] for w in weights or []}
+        if part and (len(part) == block or len(seen | mine) > room):
+            done.append(staged(search(part), "hits"))
+            part, seen = [], set()
+        part.append((query_id, weights or []))
+        seen |= mine
+    if part:
+        done.append(search(part))
+    return _best_hits(done, spark, kind, k, latest_first)
 
 
 def fused_ranks(semantic_hits: DataFrame, lexical_hits: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:
@@ -242,7 +307,7 @@ def _result(df: DataFrame, strategy: str) -> DataFrame:
 
 def hybrid(index: Index, queries: DataFrame, o: SearchOptions = SearchOptions(), candidates: int = 20) -> DataFrame:
     scored = combined(semantic(index, queries, o, candidates), lexical(index, queries, o, candidates), o)
-    return _top(reranked(scored, index, queries), o.top_k, F.desc("score"), F.asc("ord"))
+    return _top(reranked(scored, index, queries.select("query_id", "query")), o.top_k, F.round("score", 9).desc(), F.asc("ord"))
 
 
 def ensemble(index: Index, queries: DataFrame, o: SearchOptions = SearchOptions()) -> DataFrame:

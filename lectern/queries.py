@@ -520,13 +520,9 @@ l AS ({_lexical_sql(20)})
 
 def _lists(spark, sf_dir):
     """A list in place of the semantic one (scores / 100, later positions first) and the lexical one."""
-    from pyspark.sql import Window
-
     index, items = _index(spark, sf_dir), _items(spark, sf_dir)
-    scored = search.lexical_scores(index, items).where(F.col("score") > 0)
-    w = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), F.desc("pos"))
-    first = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= 20).withColumn("score", F.col("score") / 100)
-    return index, items, first, search.lexical(index, items, SearchOptions(), 20)
+    first = search.lexical(index, items, SearchOptions(), 20, latest_first=True).where(F.col("score") > 0)
+    return index, items, first.withColumn("score", F.col("score") / 100), search.lexical(index, items, SearchOptions(), 20)
 
 
 @query(

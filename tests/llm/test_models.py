@@ -88,9 +88,10 @@ class Slow:
             for k in range(1, len(code)):
                 slots = []
                 for c, bits in zip(contexts, m.TABLE_BITS):
-                    h = c + int(code[:k], 2) * 0x9E3779B1 & 0xFFFFFFFF
+                    run = 1 + (k - 1) // 4 * 4
+                    h = c + int(code[:run], 2) * 0x9E3779B1 & 0xFFFFFFFF
                     h ^= h >> 15
-                    slots.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> 32 - bits)
+                    slots.append((h * 0x85EBCA77 & 0xFFFFFFFF) >> 36 - bits << 4 | int("1" + code[run:k], 2))
                 yield at, slots, int(code[k])
             word, power = (word + (byte + 1) * power) & 0xFFFFFFFF, power * 0x01000193 & 0xFFFFFFFF
             if byte == 32:
@@ -115,7 +116,7 @@ class Slow:
                         weights[cell, k] = weights.get((cell, k), 0.4) + 0.1 * slope / math.sqrt(pace[cell, k])
                 for step in {x[4] for x in now}:
                     mine = [x for x in now if x[4] == step]
-                    bend[step] = bend.get(step, 0.0) + sum(x[2] - x[5] for x in mine) / (len(mine) + 20)
+                    bend[step] = bend.get(step, 0.0) + sum(x[2] - x[3] for x in mine) / (len(mine) + 20)
                 now = []
                 ends = ends * 2 if ends < 4096 else ends + 4096
             if at is None:
@@ -124,9 +125,9 @@ class Slow:
             cell = odds[1][1] * 4 + odds[2][1]
             x = max(-11.99, min(11.99, sum(weights.get((cell, k), 0.4) * odds[k][0] for k in range(3))))
             step = int(x + 12)
-            early, late = (1 / (1 + math.exp(-y)) for y in (x, x + bend.get(step, 0.0)))
-            total += math.log10(max(1e-6, late if turn else 1 - late))
-            now.append((cell, [o for o, _ in odds], turn, early, step, late))
+            p = 1 / (1 + math.exp(-x - bend.get(step, 0.0)))
+            total += math.log10(max(1e-6, p if turn else 1 - p))
+            now.append((cell, [o for o, _ in odds], turn, p, step))
 
 
 def test_scores_against_brute_force(spark, docs, odd):
