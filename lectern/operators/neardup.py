@@ -8,9 +8,14 @@ Arrow tasks; a group is one document or one query's results.
 from __future__ import annotations
 
 import hashlib
+import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.similarity import (
@@ -23,6 +28,7 @@ from lectern.functions.similarity import (
 )
 from lectern.functions.text import similarity_tokens, strip
 from lectern.options import ChunkOptions
+from lectern.plans.staging import staged
 
 
 def exact_classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,25 +45,55 @@ def token_sets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     return sets.withColumn("key", F.sha2(F.to_json(F.struct("tokens")).cast("binary"), 256))
 
 
-def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def _band(size: Column, ratio: float) -> Column:
+    """Bands of sizes: of two sizes with at least this ratio, the larger is in the same band or the next."""
+    return F.floor(F.log(size) / F.lit(-math.log(ratio)) + 1e-9)
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_id", text: str = "text", known: int = 65_536) -> DataFrame:
     """(id_a, id_b, jaccard) between the smallest ids of different token sets.
 
     Prefix filtering: of sets sorted by rarity, similar ones share a token among
-    the first |s| - ceil(t |s|) + 1, so frequent tokens are never joined on.
+    the first |s| - ceil(t |s|) + 1, so frequent tokens are seldom joined on. The
+    ``known`` most frequent tokens are counted, all others taken as rare. Sets
+    meet under a token and a band of sizes, and only if the tokens left behind
+    the one they share may still make them similar. Tokens are 64-bit hashes.
     """
-    sets = token_sets(docs, id_col, text)
-    reps = sets.groupBy("key").agg(F.min(id_col).alias("id"), F.first("tokens").alias("tokens")).where(F.size("tokens") > 0)
-    rare = reps.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    df = rare.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ranked = rare.join(df, "token").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("s"))
-    prefix = F.slice("s", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    keys = ranked.select("id", "n", F.explode(F.transform(prefix, lambda x: x["token"])).alias("token"))
-    a, b = keys.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), "token"), keys.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), "token")
-    near = (F.col("id_a") < F.col("id_b")) & (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9)
-    pairs = a.join(b, "token").where(near).select("id_a", "id_b").distinct()
-    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("tokens").alias(f"t_{x}"))
-    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("shared", F.size(F.array_intersect("t_a", "t_b")))
-    j = F.col("shared") / (F.size("t_a") + F.size("t_b") - F.col("shared"))
+    sets = token_sets(docs, id_col, text).where(F.size("tokens") > 0)
+    hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
+    reps = staged(sets.select(F.col(id_col).alias("id"), "key", hashed.alias("h")).groupBy("key").agg(F.min("id").alias("id"), F.first("h").alias("h")), "sets")
+    counts = reps.select(F.explode("h").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
+    frequent = sorted((r["x"], r["c"]) for r in counts.orderBy(F.desc("c"), "x").limit(known).collect())
+    names, often = np.array([x for x, _ in frequent], np.int64), np.array([c for _, c in frequent], np.int64)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h = b.column(1).flatten().to_numpy()
+            n = pc.list_value_length(b.column(1)).to_numpy().astype(np.int64)
+            df = np.ones(len(h), np.int64)
+            if len(names):
+                at = np.minimum(np.searchsorted(names, h), len(names) - 1)
+                df = np.where(names[at] == h, often[at], 1)
+            owner = np.repeat(np.arange(len(n)), n)
+            order = np.lexsort((h, df, owner))
+            place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+            front = place < np.repeat(n - np.ceil(n * threshold - 1e-9).astype(np.int64) + 1, n)
+            row, token = owner[front], h[order][front]
+            arrays = [b.column(0).take(pa.array(row)), pa.array(token), pa.array(n[row]), pa.array(place[front])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "x", "n", "i"])
+
+    kind = reps.schema["id"].dataType.simpleString()
+    keys = reps.select("id", "h").mapInArrow(prefixes, f"id {kind}, x long, n long, i long").withColumn("band", _band(F.col("n"), threshold))
+    short = keys.select(F.col("id").alias("id_a"), F.col("n").alias("n_a"), F.col("i").alias("i_a"), "x", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    long_ = keys.select(F.col("id").alias("id_b"), F.col("n").alias("n_b"), F.col("i").alias("i_b"), "x", "band")
+    sizes = (F.col("n_a") >= threshold * F.col("n_b") - 1e-9) & ((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("id_a") < F.col("id_b"))))
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
+    reach = F.least(F.col("n_a") - F.col("i_a"), F.col("n_b") - F.col("i_b")) >= least
+    met = short.join(long_, ["x", "band"]).where(sizes & reach)
+    pairs = met.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    side = lambda x: reps.select(F.col("id").alias(f"id_{x}"), F.col("h").alias(f"h_{x}"))
+    both = pairs.join(side("a"), "id_a").join(side("b"), "id_b").withColumn("shared", F.size(F.array_intersect("h_a", "h_b")))
+    j = F.col("shared") / (F.size("h_a") + F.size("h_b") - F.col("shared"))
     return both.select("id_a", "id_b", j.alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
@@ -65,23 +101,26 @@ def containment_pairs(docs: DataFrame, ratio: float = 0.85, id_col: str = "doc_i
     """(short_id, long_id) between the smallest ids of different texts: one lies in the other and is nearly as long.
 
     A text's inner words (without the first and last, which may be cut) all occur
-    in a text that contains it, so its rarest inner word finds every candidate.
-    Texts without inner words are met by the three middle characters of the
-    longer text, which no substring of such length can miss.
+    in a text that contains it, so its rarest inner word, in a band of lengths,
+    finds every candidate. Texts without inner words are met by the three middle
+    characters of the longer text, which no substring of such length can miss.
     """
     reps = docs.where(F.length(text) > 0).groupBy(F.col(text).alias("text")).agg(F.min(id_col).alias("id"))
-    split = reps.select("id", F.split("text", " ").alias("w"))
-    all_words = split.select("id", F.explode(F.array_distinct("w")).alias("word"))
+    reps = staged(reps.withColumn("band", _band(F.length("text"), ratio)), "texts")
+    split = reps.select("id", "band", F.split("text", " ").alias("w"))
+    all_words = split.select("id", "band", F.explode(F.array_distinct("w")).alias("word"))
     df = all_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    inner = split.where(F.size("w") > 2).select("id", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
-    rarest = inner.join(df, "word").groupBy("id").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
-    by_word = rarest.withColumnRenamed("id", "short_id").join(all_words.withColumnRenamed("id", "long_id"), "word")
+    inner = split.where(F.size("w") > 2).select("id", "band", F.explode(F.array_distinct(F.slice("w", F.lit(2), F.size("w") - 2))).alias("word"))
+    rarest = inner.join(df, "word").groupBy("id", "band").agg(F.min(F.struct("df", "word"))["word"].alias("word"))
+    asked = rarest.select(F.col("id").alias("short_id"), "word", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
+    by_word = asked.join(all_words.withColumnRenamed("id", "long_id"), ["word", "band"])
     bare = reps.join(split.where(F.size("w") <= 2).select("id"), "id", "left_semi").where(F.length("text") > 4)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") - 2), lambda i: F.substring("text", i, F.lit(3))))
-    short = bare.select(F.col("id").alias("short_id"), F.explode(grams).alias("gram"))
+    short = bare.select(F.col("id").alias("short_id"), F.explode(grams).alias("gram"), "band")
+    short = short.select("short_id", "gram", F.explode(F.array("band", F.col("band") + 1)).alias("band"))
     middle = F.substring(F.col("text"), (F.length("text") / 2).cast("int"), F.lit(3))
-    long_ = reps.where(F.length("text") > 4).select(F.col("id").alias("long_id"), middle.alias("gram"))
-    pairs = by_word.select("short_id", "long_id").unionByName(short.join(long_, "gram").select("short_id", "long_id"))
+    long_ = reps.where(F.length("text") > 4).select(F.col("id").alias("long_id"), middle.alias("gram"), "band")
+    pairs = by_word.select("short_id", "long_id").unionByName(short.join(long_, ["gram", "band"]).select("short_id", "long_id"))
     pairs = pairs.where(F.col("short_id") != F.col("long_id")).distinct()
     side = lambda x: reps.select(F.col("id").alias(f"{x}_id"), F.col("text").alias(f"{x}_text"))
     full = pairs.join(side("short"), "short_id").join(side("long"), "long_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +14,7 @@ from lectern.operators import answer, chunking, neardup, search
 from lectern.operators.embedding import HashingEmbedder, concatenated, normalised
 from lectern.options import CleaningOptions, SearchOptions
 from lectern.plans import engine
-from lectern.plans.staging import numbered, shared_folder
+from lectern.plans.staging import numbered, shared_folder, staged
 from lectern.sources import dispatch, extract, routing
 from lectern.streaming import ingest
 
@@ -348,9 +349,23 @@ def chunk_ids(spark, sf_dir):
     return placed.select("doc_id", F.col("chunk_pos").cast("long").alias("chunk_pos"), F.concat(F.lit("chunk_"), F.col("pos").cast("string")).alias("chunk_id"))
 
 
-@query()
+_BLANK_PARAS = rf"""list_filter(list_transform(string_split(text, chr(10) || chr(10)), lambda s: {_strip("s")}), lambda s: s <> '')"""
+
+
+@query(
+    f"""WITH sem AS (SELECT * FROM ({_fold_sql(_SENT, "512", "' '", "greatest(f.lo, q.i - 2)", "10 * (q.i - greatest(f.lo, q.i - 2))", "num_sentences")})),
+hier AS (SELECT * FROM ({_fold_sql(_BLANK_PARAS, "768", "chr(10) || chr(10)", "q.i", "q.n", "num_paragraphs")})),
+ns AS (SELECT doc_id, count(*) AS c FROM sem GROUP BY doc_id),
+nb AS (SELECT doc_id, count(*) AS c FROM (SELECT doc_id FROM sem UNION ALL SELECT doc_id FROM hier) GROUP BY doc_id),
+fixed AS ({ORACLE["chunk_fixed"]})
+SELECT doc_id, chunk_pos, text, start_idx, end_idx, 'semantic' AS chunk_type, num_sentences, NULL::BIGINT AS num_paragraphs, false AS resized FROM sem
+UNION ALL SELECT doc_id, chunk_pos + coalesce(c, 0), text, start_idx, end_idx, 'hierarchical', NULL, num_paragraphs, false FROM hier LEFT JOIN ns USING (doc_id)
+UNION ALL SELECT doc_id, chunk_pos + coalesce(c, 0), text, start_idx, end_idx, 'fixed_size', NULL, NULL, false FROM fixed LEFT JOIN nb USING (doc_id) WHERE coalesce(c, 0) < 3"""
+)
 def chunk_union(spark, sf_dir):
-    return chunking.exploded(_docs(spark, sf_dir), chunking.raw_chunks(F.col("text")), "doc_id")
+    c = chunking.exploded(_docs(spark, sf_dir), chunking.raw_chunks(F.col("text")), "doc_id")
+    counts = ("chunk_pos", "start_idx", "end_idx", "num_sentences", "num_paragraphs")
+    return c.withColumns({x: F.col(x).cast("long") for x in counts})
 
 
 @query()
@@ -395,11 +410,15 @@ def token_set_classes(spark, sf_dir):
 
 
 @query(
-    """WITH s AS (SELECT min(doc_id) AS id, text FROM documents WHERE text <> '' GROUP BY text)
+    """WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id + 1000000000, substring(text, 1, length(text) * 9 // 10) FROM documents),
+s AS (SELECT min(doc_id) AS id, text FROM t WHERE text <> '' GROUP BY text)
 SELECT a.id AS short_id, b.id AS long_id FROM s a JOIN s b ON length(a.text) < length(b.text) AND length(a.text) >= 0.85 * length(b.text) AND contains(b.text, a.text)"""
 )
 def containment_pairs(spark, sf_dir):
-    return neardup.containment_pairs(_docs(spark, sf_dir))
+    """Each document beside its own first nine tenths."""
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    cut = F.substring(F.col("text"), F.lit(1), F.floor(F.length("text") * 9 / 10).cast("int"))
+    return neardup.containment_pairs(docs.unionByName(docs.select((F.col("doc_id") + 1_000_000_000).alias("doc_id"), cut.alias("text"))))
 
 
 @query(
@@ -417,7 +436,18 @@ def suffix_prefix_overlap(spark, sf_dir):
 # Indexes and search: documents as chunks, benchmark items as queries
 
 
+_INDEXES: dict[tuple, search.Index] = {}
+
+
 def _index(spark, sf_dir, embedder=None) -> search.Index:
+    """The documents' index: built once for an application and read by all its searches (``index_build`` times the building)."""
+    key = (spark.sparkContext.applicationId, sf_dir, embedder is not None)
+    if key not in _INDEXES:
+        _INDEXES[key] = _built(spark, sf_dir, embedder)
+    return _INDEXES[key]
+
+
+def _built(spark, sf_dir, embedder=None) -> search.Index:
     docs = numbered(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
     return search.build_index(docs.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("pos").cast("string"))), embedder)
 
@@ -426,28 +456,47 @@ def _items(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_BM25 = f"""
-d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pos, {_words("lower(text)")} AS w, text FROM documents),
+def _bm25(docs: str, asked: str) -> str:
+    """CTEs over documents (doc_id, text) and queries (query_id, query); ``al`` has every query with every chunk."""
+    return f"""
+d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos, {_words("lower(text)")} AS w, text FROM ({docs})),
 tok AS (SELECT pos, len(w) AS dl, unnest(w) AS term FROM d),
 post AS (SELECT pos, dl, term, count(*) AS tf FROM tok GROUP BY pos, dl, term),
 corpus AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
 raw AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post, corpus GROUP BY term),
 idf AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
-qt AS (SELECT item_id AS query_id, unnest({_words("lower(text)")}) AS term FROM benchmark),
+asked AS ({asked}),
+qt AS (SELECT query_id, unnest({_words("lower(query)")}) AS term FROM asked),
 sc AS (SELECT query_id, pos, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM qt JOIN idf USING (term) JOIN post USING (term), corpus GROUP BY query_id, pos),
-al AS (SELECT item_id AS query_id, d.pos, coalesce(score, 0) AS score FROM benchmark CROSS JOIN d LEFT JOIN sc ON sc.query_id = item_id AND sc.pos = d.pos)
+al AS (SELECT asked.query_id, d.pos, coalesce(score, 0) AS score FROM asked CROSS JOIN d LEFT JOIN sc ON sc.query_id = asked.query_id AND sc.pos = d.pos)
 """
 
 
+_BM25 = _bm25("SELECT doc_id, text FROM documents", "SELECT item_id AS query_id, text AS query FROM benchmark")
+
+
 def _lexical_sql(k: int) -> str:
     return f"SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM al QUALIFY rank <= {k}"
 
 
-@query(f"WITH {_BM25} SELECT term, df, round(idf, 6) AS idf FROM idf")
+@query(
+    f"""WITH t AS (SELECT unnest(list_distinct({_words("lower(text)")})) AS term FROM documents),
+r AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+w AS (SELECT term, df, ln((SELECT count(*) FROM documents) - df + 0.5) - ln(df + 0.5) AS x FROM r)
+SELECT term, df, round(CASE WHEN x < 0 THEN 0.25 * avg(x) OVER () ELSE x END, 6) AS idf FROM w"""
+)
 def bm25_idf(spark, sf_dir):
     return _index(spark, sf_dir).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+@query(f"SELECT count(*) AS n, sum(len({_words('text')})) AS tokens FROM documents")
+def index_build(spark, sf_dir):
+    """The index built anew, and what it holds."""
+    postings = _built(spark, sf_dir).postings
+    held = F.aggregate("tfs", F.lit(0).cast("long"), lambda a, x: a + x)
+    return postings.agg(F.count(F.lit(1)).alias("n"), F.sum(held).alias("tokens"))
+
+
 @query(f"WITH {_BM25} SELECT query_id, pos, round(score, 6) AS score, rank FROM ({_lexical_sql(10)})")
 def lexical_topk(spark, sf_dir):
     hits = search.lexical(_index(spark, sf_dir), _items(spark, sf_dir))
@@ -575,19 +624,81 @@ def rerank_factors(spark, sf_dir):
     return docs.join(items, "item_id").select("item_id", "doc_id", F.round(f, 6).alias("factor"))
 
 
-@query()
+def _vector_index(spark, sf_dir) -> tuple[search.Index, DataFrame]:
+    """Documents that have a vector, with it; as queries the first words of every hundredth, with its vector."""
+    key = (spark.sparkContext.applicationId, sf_dir, "vectors")
+    v = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = _docs(spark, sf_dir).select("doc_id", "text").join(v, "doc_id")
+    if key not in _INDEXES:
+        placed = numbered(docs, "doc_id").withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("pos").cast("string")))
+        _INDEXES[key] = dataclasses.replace(search.build_index(placed), vectors=staged(placed.select("chunk_id", "pos", "embedding"), "vectors"))
+    first = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    return _INDEXES[key], docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), first.alias("query"), "embedding")
+
+
+_HELD = "SELECT doc_id, text, embedding FROM documents JOIN embeddings ON doc_id = vec_id"
+_VECTOR_SEARCH = (
+    _bm25(
+        f"SELECT doc_id, text FROM ({_HELD})",
+        f"SELECT doc_id AS query_id, array_to_string(string_split(text, ' ')[1:12], ' ') AS query FROM ({_HELD}) WHERE doc_id % 100 = 0",
+    )
+    + f""", near AS (SELECT q.vec_id AS query_id, d.pos, list_dot_product(q.e, v.e) AS score
+  FROM (SELECT vec_id, {_VEC} AS e FROM embeddings WHERE vec_id % 100 = 0) q JOIN asked ON asked.query_id = q.vec_id
+  CROSS JOIN (SELECT vec_id, {_VEC} AS e FROM embeddings) v JOIN d ON d.doc_id = v.vec_id)"""
+)
+
+
+def _near_sql(k: int) -> str:
+    ranked = f"SELECT query_id, pos, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, pos) AS rank FROM near QUALIFY rank <= {k}"
+    return f"SELECT * FROM ({ranked}) WHERE score >= 0.25"
+
+
+_U = """u AS (SELECT coalesce(s.query_id, l.query_id) AS query_id, coalesce(s.pos, l.pos) AS pos, coalesce(s.score, 0) AS a, coalesce(l.score, 0) AS b, s.rank AS sr, l.rank AS lr
+  FROM s FULL JOIN l ON s.query_id = l.query_id AND s.pos = l.pos),
+m AS (SELECT *, max(a) OVER w AS ha, min(a) OVER w AS la, max(b) OVER w AS hb, min(b) OVER w AS lb FROM u WINDOW w AS (PARTITION BY query_id)),
+g AS (SELECT query_id, pos, CASE WHEN ha > 0 THEN ha ELSE 1 END AS ha, la, CASE WHEN hb > 0 THEN hb ELSE 1 END AS hb, lb, a, b, sr, lr FROM m),
+comb AS (SELECT query_id, pos, sr, lr, 0.6 * (a - la) / CASE WHEN ha > la THEN ha - la ELSE 1 END + 0.4 * (b - lb) / CASE WHEN hb > lb THEN hb - lb ELSE 1 END AS score FROM g)"""
+
+
+@query(
+    f"""WITH {_VECTOR_SEARCH}, s AS ({_near_sql(60)}), l AS ({_lexical_sql(20)}), {_U},
+q AS (SELECT query_id, list_distinct({_words("lower(query)")}) AS qw FROM asked),
+r AS (SELECT query_id, pos, sr, lr, score * (1 + 0.2 * CASE WHEN len(qw) > 0 THEN len(list_intersect(qw, w)) / len(qw) ELSE 0 END)
+  * CASE WHEN len(w) < 10 THEN 0.7 WHEN len(w) > 200 THEN 0.8 ELSE 1.0 END * 1.1 AS score FROM comb JOIN d USING (pos) JOIN q USING (query_id))
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sr NULLS LAST, lr) AS rank, 'chunk_' || pos AS chunk_id, 1.0::DOUBLE AS score, 'hybrid' AS strategy
+FROM r QUALIFY rank <= 10"""
+)
 def hybrid_search(spark, sf_dir):
-    return search.search(_index(spark, sf_dir, HashingEmbedder()), _items(spark, sf_dir), "hybrid")
+    r = search.search(*_vector_index(spark, sf_dir), "hybrid")
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "score", "strategy")
+
+
+@query(
+    f"""WITH {_VECTOR_SEARCH}, s AS ({_near_sql(90)}), l AS ({_lexical_sql(30)})
+SELECT query_id, pos, round(sum(x), 9) AS score FROM (SELECT query_id, pos, 1.0::DOUBLE / (rank + 19) AS x FROM s UNION ALL SELECT query_id, pos, 1.0::DOUBLE / (rank + 39) FROM l) GROUP BY query_id, pos"""
+)
+def ensemble_fused(spark, sf_dir):
+    """The ensemble before its results are merged."""
+    index, asked = _vector_index(spark, sf_dir)
+    fused = search.fused_ranks(search.semantic(index, asked, SearchOptions(), 30), search.lexical(index, asked, SearchOptions(), 30))
+    return fused.select("query_id", "pos", F.round("score", 9).alias("score"))
 
 
 @query()
 def ensemble_topk(spark, sf_dir):
-    return search.search(_index(spark, sf_dir, HashingEmbedder()), _items(spark, sf_dir), "ensemble")
+    return search.search(*_vector_index(spark, sf_dir), "ensemble")
 
 
-@query()
+@query(f"WITH {_VECTOR_SEARCH} SELECT query_id, rank, 'chunk_' || pos AS chunk_id, round(x.score, 6) AS score, 'semantic' AS strategy FROM ({_near_sql(30)}) x")
 def semantic_search(spark, sf_dir):
-    return search.search(_index(spark, sf_dir, HashingEmbedder()), _items(spark, sf_dir), "semantic")
+    r = search.search(*_vector_index(spark, sf_dir), "semantic")
+    return r.select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", F.round("score", 6).alias("score"), "strategy")
+
+
+@query()
+def ensemble_hashed(spark, sf_dir):
+    """The whole way with vectors made by feature hashing."""
+    return search.search(_index(spark, sf_dir, HashingEmbedder()), _items(spark, sf_dir), "ensemble")
 
 
 @query(f"WITH {_BM25} SELECT query_id, rank, 'chunk_' || pos AS chunk_id, round(x.score, 6) AS score, 'lexical' AS strategy FROM ({_lexical_sql(10)}) x")
