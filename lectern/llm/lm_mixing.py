@@ -2,8 +2,8 @@
 
 The model gives the probability of a text, its words spelled byte by byte in
 their order, with a blank after each word and a line end after the last. A byte
-is a walk down a Huffman tree of the training bytes; each turn is a bit that
-three predictors judge, each from its own hashed context: the last three bytes
+is a walk down a Huffman tree, the tree of the bytes that follow the byte before it
+in the training texts (a blank before the first); each turn is a bit that three predictors judge, each from its own hashed context: the last three bytes
 and the last five bytes of the text, across blanks, and the word so far together
 with the whole word before it. A predictor is a table of a fixed size that holds
 how often each turn was taken in a context, over all training texts. The
@@ -100,7 +100,7 @@ def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
 
 
 def code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Length of each byte's Huffman code; no code is longer than some thirty bits."""
+    """Length of each symbol's Huffman code; no code is longer than some thirty bits."""
     counts = np.maximum(counts, max(1, int(counts.sum()) >> 24))
     heap = [(int(c), k, (k,)) for k, c in enumerate(counts)]
     heapq.heapify(heap)
@@ -122,6 +122,20 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return (out | np.int64(1) << lengths).astype(np.uint32)
 
 
+@dataclass
+class Trees:
+    """A tree for each byte that may stand before: lengths and codes at 256 times that byte plus the byte itself."""
+
+    lengths: np.ndarray
+    codes: np.ndarray
+
+    @classmethod
+    def of(cls, pairs: np.ndarray) -> Trees:
+        """From counts of (byte before, byte)."""
+        lengths = [code_lengths(row) for row in pairs.reshape(256, 256)]
+        return cls(np.concatenate(lengths), np.concatenate([codes_of(x) for x in lengths]))
+
+
 def spelled(words: list[bytes]) -> bytes:
     """The words in order, each with a blank after it; :func:`bits_of` adds the line end."""
     return b"".join([w + b" " for w in words])
@@ -136,7 +150,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 
 def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every byte of the texts and the line end after each: the byte, its text, its place there, its hashed contexts."""
+    """For every byte of the texts and the line end after each: the byte and 256 times the one before, its text, its place there, its hashed contexts."""
     raw = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
     n = len(raw)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -153,6 +167,8 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         return out
 
     near = back(1)
+    pair = (near << _U(8)) | wide
+    pair[begin] = raw[begin] | _U(32 << 8)
     near |= back(2) << _U(8)
     near |= back(3) << _U(16)
     far = (near | back(4) << _U(24)) * _MIX[2] + back(5) * _MIX[3]
@@ -170,20 +186,20 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     whole[place[heads] == 0] = 0
     word = rolled[:-1] + np.repeat(_mixed(whole) - rolled[heads], lengths)
     contexts = [_mixed(x + salt) for x, salt in zip((near, far, word), _MIX)]
-    return raw, np.repeat(np.arange(len(texts), dtype=np.int32), sizes), place, contexts
+    return pair.astype(np.uint16), np.repeat(np.arange(len(texts), dtype=np.int32), sizes), place, contexts
 
 
-def bits_of(raw: np.ndarray, contexts: list[np.ndarray], lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+def bits_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """How many bits each byte has; for every bit its slot in each table and its turn.
 
     Four bits of a byte share a run of 16 slots, which the context and the bits
     before them pick: one place in memory to go to instead of four.
     """
-    size = lengths[raw]
+    size = trees.lengths[pair]
     runs = (size + 3) >> 2
     nth = np.arange(int(runs.sum()), dtype=np.int32) - np.repeat(np.cumsum(runs, dtype=np.int32) - runs, runs)
     left = np.repeat(size, runs) - (nth << 2)  # bits of the byte from this run on
-    code = np.repeat(codes[raw], runs)
+    code = np.repeat(trees.codes[pair], runs)
     before = (code >> left.view(np.uint32)) * _MIX[0]
     n = np.minimum(left, 4)
     code >>= (left - n).view(np.uint32)
@@ -234,24 +250,28 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     return _portions(texts(), 1 << 20)
 
 
-def byte_counts(words: DataFrame) -> np.ndarray:
+def byte_pairs(words: DataFrame) -> np.ndarray:
+    """How often each byte follows each other one (256 times that) in the training texts, spelled out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256)
+        total = np.zeros(1 << 16)
         for b in batches:
-            ended = [w + b" " if w else b"\n" for w in b.column(0).to_pylist()]
-            raw = np.frombuffer(b"".join(ended), np.uint8)
-            each = np.repeat(b.column(1).to_numpy().astype(float), [len(x) for x in ended])
-            total += np.bincount(raw, each, 256)
+            ended = [b" " + w + b" " if w else b" \n" for w in b.column(0).to_pylist()]
+            sizes = np.fromiter(map(len, ended), np.int64, len(ended))
+            raw = np.frombuffer(b"".join(ended), np.uint8).astype(np.int64)
+            each = np.repeat(b.column(1).to_numpy().astype(float), sizes)
+            each[np.cumsum(sizes) - 1] = 0  # a word's last byte is followed by the next word's blank, which is its own
+            total += np.bincount(raw * 256 + np.append(raw[1:], 0), each, 1 << 16)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["byte", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["pair", "c"])
 
-    out = np.zeros(256, np.int64)
-    for r in words.mapInArrow(run, "byte long, c long").groupBy("byte").agg(F.sum("c").alias("c")).collect():
-        out[r["byte"]] = r["c"]
+    out = np.zeros(1 << 16, np.int64)
+    for r in words.mapInArrow(run, "pair long, c long").groupBy("pair").agg(F.sum("c").alias("c")).collect():
+        out[r["pair"]] = r["c"]
     return out
 
 
-def bit_counts(docs: DataFrame, lengths: np.ndarray) -> DataFrame:
+def bit_counts(docs: DataFrame, trees: Trees) -> DataFrame:
     """(t, block, counts): how often each turn was taken in each slot of each table, along all training texts.
 
     The tables have a fixed size; they travel in blocks, 64 tasks' parts summed
@@ -261,13 +281,12 @@ def bit_counts(docs: DataFrame, lengths: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes = codes_of(lengths)
         tables = [np.zeros(2 << bits, np.int64) for bits in TABLE_BITS]
         for part in _learned(batches):
-            raw, _, _, contexts = contexts_of(part)
-            for at in range(0, len(raw), 1 << 18):
+            pair, _, _, contexts = contexts_of(part)
+            for at in range(0, len(pair), 1 << 18):
                 few = slice(at, at + (1 << 18))
-                _, slots, turn = bits_of(raw[few], [c[few] for c in contexts], lengths, codes)
+                _, slots, turn = bits_of(pair[few], [c[few] for c in contexts], trees)
                 for t, s in zip(tables, slots):
                     s <<= _U(1)
                     s |= turn
@@ -329,7 +348,7 @@ def held_odds(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    lengths: np.ndarray
+    trees: Trees
     tables: list[np.ndarray]
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -338,11 +357,10 @@ class Model:
         The texts go side by side, stretch by stretch; each has its own weights
         and map, so none sees another.
         """
-        codes = codes_of(self.lengths)
-        raw, owner, place, contexts = contexts_of(texts)
+        pair, owner, place, contexts = contexts_of(texts)
         stretch = stretch_of(place)
         order = np.argsort(stretch, kind="stable")
-        raw, owner, contexts = raw[order], owner[order], [c[order] for c in contexts]
+        pair, owner, contexts = pair[order], owner[order], [c[order] for c in contexts]
         n, k_all = len(texts), len(self.tables)
         weights = np.full((k_all, n * _GATES), _START, np.float32)
         pace = np.full((k_all, n * _GATES), 1e-4)
@@ -352,7 +370,7 @@ class Model:
         for a, b in zip([0, *ends], ends):
             if a == b:
                 continue
-            size, slots, turn = bits_of(raw[a:b], [c[a:b] for c in contexts], self.lengths, codes)
+            size, slots, turn = bits_of(pair[a:b], [c[a:b] for c in contexts], self.trees)
             whose = np.repeat(owner[a:b], size)
             gate, odds = whose.copy(), []
             for k, (table, s) in enumerate(zip(self.tables, slots)):
@@ -397,9 +415,9 @@ def stretch_of(place: np.ndarray) -> np.ndarray:
 
 
 def fit(docs: DataFrame, words: DataFrame) -> Model:
-    """Code lengths of the training bytes and the three tables; what reaches the driver has a fixed size."""
-    lengths = code_lengths(byte_counts(words))
-    counts = bit_counts(docs, lengths)
+    """Trees of the training bytes and the three tables; what reaches the driver has a fixed size."""
+    trees = Trees.of(byte_pairs(words))
+    counts = bit_counts(docs, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -411,10 +429,25 @@ def fit(docs: DataFrame, words: DataFrame) -> Model:
     for r in held.toLocalIterator():
         tables[r["t"]][r["block"] * _BLOCK : (r["block"] + 1) * _BLOCK] = np.frombuffer(r["held"], np.uint16)
     discard(held)
-    return Model(lengths, tables)
+    return Model(trees, tables)
+
+
+def _least_count(words: DataFrame, head: int) -> int:
+    """The least count at which no more than ``head`` short words are met; counts are looked at in 1,024ths of their size."""
+    size = F.greatest(F.floor(F.log2(F.greatest("c", F.lit(1)))) - 10, F.lit(0)).cast("int")
+    low = F.expr("shiftleft(shiftright(c, size), size)").alias("low")
+    short = words.where(F.length("word") <= _HEAD_BYTES).withColumn("size", size)
+    counts = {r["low"]: r["n"] for r in short.groupBy(low).agg(F.count(F.lit(1)).alias("n")).collect()}
+    held, least = 0, max(counts, default=0) + 1
+    for c in sorted(counts, reverse=True):
+        held += counts[c]
+        if held > head:
+            break
+        least = c
+    return least
 
 
-def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 200_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
     python_workers_see_library(spark)
@@ -424,10 +457,9 @@ def score_documents(docs: DataFrame, head: int = 100_000) -> DataFrame:
     sums = learned.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     n_train, n_distinct = int(sums[0]), int(sums[1])
     model = spark.sparkContext.broadcast(fit(slim, learned))
-    short = F.length("word") <= _HEAD_BYTES
-    top = {bytes(r["word"]): r["c"] for r in words.where(short).orderBy(F.desc("c"), "word").limit(head).collect()}
-    beyond = F.col("c") <= min(top.values()) if len(top) >= head else F.lit(False)
-    rest = words.where(~short | beyond).select("word", "c")
+    often = (F.length("word") <= _HEAD_BYTES) & (F.col("c") >= _least_count(words, head))
+    top = {bytes(r["word"]): r["c"] for r in words.where(often).select("word", "c").collect()}
+    rest = words.where(~often).select("word", "c")
     known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), c > 0) for w, c in top.items()})
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))

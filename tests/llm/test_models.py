@@ -57,12 +57,11 @@ class Slow:
     """The model, byte after byte and text after text, on whole numbers and single floats."""
 
     def __init__(self, texts):
-        self.counts = np.ones(256, np.int64) * 0
+        pairs = np.zeros((256, 256), np.int64)
         for t in texts:
-            for b in t + b"\n":
-                self.counts[b] += 1
-        self.lengths = m.code_lengths(self.counts)
-        self.codes = [format(int(c), "b") for c in m.codes_of(self.lengths)]
+            for a, b in zip(b" " + t, t + b"\n"):
+                pairs[a, b] += 1
+        self.codes = [[format(int(c), "b") for c in m.codes_of(m.code_lengths(row))] for row in pairs]
         self.tables = [Counter() for _ in m.TABLE_BITS]
         for t in texts:
             for _, slots, turn in self.bits(t):
@@ -84,7 +83,7 @@ class Slow:
             far = (near | last[3] << 24) * 0xC2B2AE3D + last[4] * 0x27D4EB2F
             salts = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
             contexts = [self.mixed(x + s & 0xFFFFFFFF) for x, s in zip((near, far, word + self.mixed(before)), salts)]
-            code = self.codes[byte]
+            code = self.codes[text[at - 1] if at else 32][byte]
             for k in range(1, len(code)):
                 slots = []
                 for c, bits in zip(contexts, m.TABLE_BITS):
@@ -164,8 +163,8 @@ def test_score_depends_on_the_order_of_words(spark):
 def test_texts_are_scored_apart():
     rng = np.random.default_rng(3)
     texts = [m.spelled([b"w%d" % k for k in rng.integers(0, 300, n)]) for n in (0, 1, 5, 80, 2_000, 9_000)]
-    lengths = m.code_lengths(np.bincount(np.frombuffer(b"".join(texts) + b"\n", np.uint8), minlength=256))
-    model = m.Model(lengths, [rng.integers(0, 64_000, 1 << b).astype(np.uint16) for b in m.TABLE_BITS])
+    raw = np.frombuffer(b" " + b"".join(texts) + b"\n", np.uint8).astype(int)
+    model = m.Model(m.Trees.of(np.bincount(raw[:-1] * 256 + raw[1:], minlength=1 << 16)), [rng.integers(0, 64_000, 1 << b).astype(np.uint16) for b in m.TABLE_BITS])
     together = model.score(texts)
     assert np.allclose(together, [model.score([t])[0] for t in texts], rtol=1e-12)
 
