@@ -47,11 +47,56 @@ def test_empty_table(spark):
     assert warc.read_archives(spark, path).count() == 0
 
 
-def test_members_and_magic():
-    data = (FAKE + FAKE.replace("abc", "WARC/1.0\r\n").replace("Length: 3", "Length: 10")).encode()
-    assert warc.unpacked(gzip.compress(data[:40]) + gzip.compress(data[40:])) == data
-    found = list(warc.candidate_records(data))
-    assert found[0][0] == 0 and found[0][1] == found[1][0] and found[1][1] == len(data) and len(found) == 2
+def test_headers():
+    assert warc.header_of(FAKE[7:].encode()) == ({"warc-type": "response", "warc-record-id": "<urn:page:99>", "content-length": "3"}, len(FAKE) - 14)
+    assert warc.header_of(b"0\r\nContent-Length: 5") == ({"content-length": "5"}, 24)
+    for bad in (b"", b"2\r\nContent-Length: 5", b"0\r\nContent-Length: x\r\n\r\n", b"0\r\nno colon\r\nContent-Length: 5\r\n\r\n", b"0\r\n\r\n"):
+        assert warc.header_of(bad) is None
+
+
+def record(page, body, kind="response", length=None, more=""):
+    size = len(body.encode()) if length is None else length
+    return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\n{more}Content-Length: {size}\r\n\r\n{body}\r\n\r\n"
+
+
+NASTY = [
+    "plain", "", "\r\n", "\r\n\r\n", "x\r\n\r\nWARC/1.", "WARC/1.0\r\n", "\r\n\r\nWARC/1.0\r\nContent-Length: 2\r\n\r\nab\r\n\r\n",
+    FAKE * 3, "y" * 5000 + "\r\n\r\n" + FAKE * 40 + "z" * 3000, FAKE, "tail\r\n\r\n" + FAKE, "é" * 800, "\r\n\r\n" + record(98, "w" * 9000, length=20_000),
+]
+
+
+def test_archives_are_read_in_parts(spark, tmp_path):
+    """Plain archives of many parts, with payloads that hold records and cuts, also across parts."""
+    bodies = NASTY * 2
+    (tmp_path / "a.warc").write_bytes("".join(record(k, b, more="WARC-Target-URI: http://x/WARC/1.0\r\n") for k, b in enumerate(bodies)).encode())
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as f:
+        f.write("".join(record(1000 + k, b) for k, b in enumerate(bodies)).encode())
+    want = {str(n + k): (len(b.encode()), sha(b)) for n in (0, 1000) for k, b in enumerate(bodies)}
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("128m", "3000"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = warc.read_archives(spark, str(tmp_path)).collect()
+            assert len(got) == len(want) and all(r["error"] is None for r in got)
+            assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in got} == want
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_damaged_archives(spark, tmp_path):
+    good = [record(k, f"body {k} " * 30) for k in range(12)]
+    broken = [*good[:3], record(3, "body " * 30, length=77), *good[4:8], record(8, "b" * 50, length=999_999), *good[9:]]
+    (tmp_path / "a.warc").write_text("".join(broken), newline="")
+    (tmp_path / "b.warc").write_text("junk before" + "".join(good[:2]).replace("page:", "page:b"), newline="")
+    (tmp_path / "c.warc").write_text(record("c0", "whole") + record("c1", "cut off")[:-9], newline="")
+    (tmp_path / "d.warc").write_text(record("d0", "typeless").replace("WARC-Type: response\r\n", "") + record("d1", "", "revisit", more="WARC-Refers-To: <urn:page:gone>\r\n"), newline="")
+    got = {r["page_id"]: r for r in warc.read_archives(spark, str(tmp_path)).collect()}
+    assert set(got) == {*map(str, range(12)), "b1", "c0", "c1", "d0", "d1"}
+    assert {k for k, r in got.items() if r["error"]} == {"3", "8", "c1", "d1"}
+    assert got["d0"]["record_type"] is None and got["d0"]["payload_digest"] == sha("typeless")
+    assert all(got[str(k)]["payload_digest"] == sha(f"body {k} " * 30) for k in range(12) if k not in (3, 8))
 
 
 def test_every_page_of_the_table(spark, sf):
