@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.text import clean_text
 from lectern.options import CleaningOptions
+from lectern.sources import pdf, xls
 from lectern.sources.routing import content_key, extension, is_bin
 
 Extractor = Callable[[bytes, CleaningOptions], tuple[str, dict]]
@@ -183,27 +184,54 @@ def pptx(data: bytes, options: CleaningOptions) -> tuple[str, dict]:
     return "\n\n".join(slides), {"slides": len(names), "extraction_method": "pptx"}
 
 
-@register(".xlsx", ".xls")
+def framed(rows: list[list[object]]) -> str:
+    """Rows under the names in the first one, as a frame is printed: blanks as NaN, columns without a name by number."""
+    if not rows:
+        return pd.DataFrame().to_string(index=False)
+    width = max(map(len, rows))
+    blank = float("nan")
+    rows = [[blank if c == "" else c for c in r] + [blank] * (width - len(r)) for r in rows]
+    names = [f"Unnamed: {k}" if c is blank else str(c) for k, c in enumerate(rows[0])]
+    return pd.DataFrame(rows[1:], columns=names).to_string(index=False)
+
+
+def _number(text: str) -> object:
+    """A cell's number: whole ones as such."""
+    try:
+        return int(text)
+    except ValueError:
+        try:
+            return float(text)
+        except ValueError:
+            return text
+
+
+@register(".xls", ".xlsx")
 def spreadsheet(data: bytes, options: CleaningOptions) -> tuple[str, dict]:
+    """By content, whatever the suffix: zipped sheets as frames, binary ones as lines of cells with commas."""
+    if not zipfile.is_zipfile(io.BytesIO(data)):
+        parts = [f"Sheet: {name}\n" + "\n".join(", ".join(map(str, r)) for r in rows) for name, rows in xls.sheets(data)]
+        return "\n\n".join(parts), {"sheets": len(parts), "extraction_method": "xls"}
     total, sheets = 0, []
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = [_said(s) for s in _xml(z, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in z.namelist() else []
         links = {r.get("Id"): r.get("Target") for r in _xml(z, "xl/_rels/workbook.xml.rels")}
         for sheet in (s for s in _xml(z, "xl/workbook.xml").iter() if _local(s) == "sheet"):
             target = next(v for k, v in sheet.attrib.items() if k.endswith("}id"))
-            rows = []
+            rows: list[list[object]] = []
             for row in (r for r in _xml(z, "xl/" + links[target].removeprefix("/xl/")).iter() if _local(r) == "row"):
-                cells: list[str] = []
+                cells: list[object] = []
                 for c in (c for c in row if _local(c) == "c"):
                     at = 0
                     for ch in re.match("[A-Z]*", c.get("r") or "")[0]:
                         at = at * 26 + ord(ch) - 64
                     cells += [""] * (at - 1 - len(cells))
                     value = next((x.text or "" for x in c if _local(x) == "v"), _said(c))
-                    cells.append(shared[int(value)] if c.get("t") == "s" else value)
+                    kind = c.get("t") or "n"
+                    cells.append(shared[int(value)] if kind == "s" else value == "1" if kind == "b" else _number(value) if kind == "n" else value)
                 rows.append(cells)
             total += max(0, len(rows) - 1)
-            sheets.append(f"Sheet: {sheet.get('name')}\n{rendered(rows)}")
+            sheets.append(f"Sheet: {sheet.get('name')}\n{framed(rows)}")
     return "\n\n".join(sheets), {"sheets": len(sheets), "total_rows": total, "extraction_method": "excel"}
 
 
@@ -235,15 +263,31 @@ class PageTexts:
     """Pluggable provider of (digital text, recognised text) for the pages of a PDF or image."""
 
     def pages(self, data: bytes, options: CleaningOptions) -> Iterator[tuple[str, str]]:
-        raise NotImplementedError("no page-text provider is installed; register one with register('.pdf')")
+        raise NotImplementedError("no page-text provider is installed; register one for its suffix")
+
 
+class DigitalPages(PageTexts):
+    """The text that the pages of a PDF hold themselves; nothing is recognised."""
 
-@register(".pdf", ".png", ".jpg", ".jpeg", ".tiff", ".bmp")
-def paged(data: bytes, options: CleaningOptions, provider: PageTexts = PageTexts()) -> tuple[str, dict]:
+    def pages(self, data: bytes, options: CleaningOptions) -> Iterator[tuple[str, str]]:
+        return ((text, "") for text in pdf.page_texts(data))
+
+
+def paged(data: bytes, options: CleaningOptions, provider: PageTexts) -> tuple[str, dict]:
     texts = [max(pair, key=len) for pair in provider.pages(data, options)]
     return "\n\n".join(t for t in texts if t.strip()), {"pages": len(texts), "extraction_method": "pages"}
 
 
+@register(".pdf")
+def pdf_file(data: bytes, options: CleaningOptions) -> tuple[str, dict]:
+    return paged(data, options, DigitalPages())
+
+
+@register(".png", ".jpg", ".jpeg", ".tiff", ".bmp")
+def image(data: bytes, options: CleaningOptions) -> tuple[str, dict]:
+    return paged(data, options, PageTexts())
+
+
 def extracted_row(data: bytes | None, suffix: str, options: CleaningOptions) -> dict:
     began = time.time()
     try:

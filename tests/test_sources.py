@@ -51,7 +51,7 @@ FILES = {
     "m.eml": (MAIL, True, "Subject: Hello\nFrom: a@b\nTo: c@d\nDate: Mon, 1 Jan 2024 00:00:00 +0000\nBody text"),
     "d.docx": (DOCX, True, "Hi there\nTables:\na | b"),
     "p.pptx": (PPTX, True, "Slide 1:\nSlide text 1\nSlide 2:\nSlide text 2\nSlide 3:\nSlide text 10"),
-    "x.xlsx": (XLSX, True, "Sheet: Data\nname n\n7"),
+    "x.xlsx": (XLSX, True, "Sheet: Data\nname n\nNaN 7"),
     "z.zip": (ZIP, True, '=== a.txt ===\nalpha\n=== sub/e.json ===\n{\n"k": 1\n}'),
     "bad.zip": (b"PK", False, ""),
     "b.bin": (b"readable", True, "readable"),
