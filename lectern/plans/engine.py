@@ -20,14 +20,16 @@ from lectern.plans.staging import numbered, spread, staged
 from lectern.sources.routing import file_type
 
 
-def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", o: ChunkOptions = ChunkOptions(), keep_metadata: bool = False) -> DataFrame:
+def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text", o: ChunkOptions = ChunkOptions(), keep_metadata: bool = False, parts: int = 0) -> DataFrame:
     """Final chunks of each document: all strategies, repeats dropped, by start, cut to size, merged.
 
     A document's chunks stay in one row's array from end to end, so nothing is
-    shuffled; only the two greedy steps run in Python.
+    shuffled; only the two greedy steps run in Python. Their work grows with the
+    square of a document's chunks. ``parts``: tasks to deal documents to, where
+    the table comes in too few.
     """
     fields = ["start_idx", "end_idx", "chunk_type", "num_sentences", "num_paragraphs", "resized"]
-    body = spread(docs.select(key, text)).where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("_key"), raw_chunks(F.col(text), o).alias("_raw"))
+    body = spread(docs.select(key, text), parts).where(F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("_key"), raw_chunks(F.col(text), o).alias("_raw"))
 
     def dropped(texts: pd.Series) -> pd.Series:
         return pd.Series([greedy_unique(list(t), o) for t in texts], dtype=object)

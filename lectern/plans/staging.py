@@ -44,7 +44,6 @@ def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:
     return dealt.withColumn("_nth", nth).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_nth")).drop("_range", "_before", "_nth")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` on all cores: dealt out anew only if it comes in fewer partitions than there are cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, parts: int) -> DataFrame:
+    """``df`` dealt out to ``parts`` tasks; 0: left as it is."""
+    return df.repartition(parts) if parts else df

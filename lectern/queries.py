@@ -376,7 +376,7 @@ def chunk_dedup(spark, sf_dir):
 
 @query()
 def chunk_pipeline(spark, sf_dir):
-    return engine.chunked(_docs(spark, sf_dir)).select("doc_id", "chunk_pos", "text")
+    return engine.chunked(_docs(spark, sf_dir), parts=spark.sparkContext.defaultParallelism).select("doc_id", "chunk_pos", "text")
 
 
 # Near-duplicates
@@ -903,6 +903,8 @@ def source_parse(spark, sf_dir):
 def streaming_chunks(spark, sf_dir):
     """Documents as a stream of files: cleaned, cut into windows, appended batch by batch, read back."""
     out = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
     schema = _docs(spark, sf_dir).schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
     chunks = ingest.chunk_stream(stream, "doc_id", cleaning=_WHOLE)
