@@ -122,18 +122,27 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
     return (out | np.int64(1) << lengths).astype(np.uint32)
 
 
-@dataclass
 class Trees:
-    """A tree for each byte that may stand before: lengths and codes at 256 times that byte plus the byte itself."""
+    """A tree for each byte that may stand before, looked up at 256 times that byte plus the byte itself.
 
-    lengths: np.ndarray
-    codes: np.ndarray
+    A byte's bits come in runs of four at most. A run has a number of bits, its
+    bits behind a leading one, and a hash of the bits of its byte before it.
+    """
 
-    @classmethod
-    def of(cls, pairs: np.ndarray) -> Trees:
+    def __init__(self, pairs: np.ndarray):
         """From counts of (byte before, byte)."""
         lengths = [code_lengths(row) for row in pairs.reshape(256, 256)]
-        return cls(np.concatenate(lengths), np.concatenate([codes_of(x) for x in lengths]))
+        codes = np.concatenate([codes_of(x) for x in lengths])
+        self.lengths = np.concatenate(lengths)
+        self.runs = (self.lengths + 3) >> 2
+        self.first = np.cumsum(self.runs, dtype=np.int32) - self.runs
+        nth = np.arange(int(self.runs.sum()), dtype=np.int32) - np.repeat(self.first, self.runs)
+        left = np.repeat(self.lengths, self.runs) - 4 * nth  # bits of the byte from a run on
+        code = np.repeat(codes, self.runs)
+        self.before = (code >> left.astype(np.uint32)) * _MIX[0]
+        self.size = np.minimum(left, 4)
+        one = _U(1) << self.size.astype(np.uint32)
+        self.own = (((code >> (left - self.size).astype(np.uint32)) & (one - _U(1))) | one).astype(np.uint8)
 
 
 def spelled(words: list[bytes]) -> bytes:
@@ -195,22 +204,17 @@ def bits_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple
     Four bits of a byte share a run of 16 slots, which the context and the bits
     before them pick: one place in memory to go to instead of four.
     """
-    size = trees.lengths[pair]
-    runs = (size + 3) >> 2
-    nth = np.arange(int(runs.sum()), dtype=np.int32) - np.repeat(np.cumsum(runs, dtype=np.int32) - runs, runs)
-    left = np.repeat(size, runs) - (nth << 2)  # bits of the byte from this run on
-    code = np.repeat(trees.codes[pair], runs)
-    before = (code >> left.view(np.uint32)) * _MIX[0]
-    n = np.minimum(left, 4)
-    code >>= (left - n).view(np.uint32)
-    own = ((code & ((_U(1) << n.view(np.uint32)) - _U(1))) | (_U(1) << n.view(np.uint32))).astype(np.uint8)
-    ends = np.cumsum(n, dtype=np.int32)
-    after = np.repeat(ends - 1, n)
+    runs = trees.runs[pair]
+    ends = np.cumsum(runs, dtype=np.int32)
+    run = np.repeat(trees.first[pair] - ends + runs, runs)
+    run += np.arange(len(run), dtype=np.int32)
+    before, n = trees.before[run], trees.size[run]
+    after = np.repeat(np.cumsum(n, dtype=np.int32) - 1, n)
     after -= np.arange(len(after), dtype=np.int32)
-    place = np.repeat(own, n)
+    place = np.repeat(trees.own[run], n)
     place >>= after.astype(np.uint8)
     turn = place & np.uint8(1)
-    place >>= np.uint8(1)
+    place = (place >> np.uint8(1)).astype(np.uint32)
     slots = []
     for c, bits in zip(contexts, TABLE_BITS):
         h = np.repeat(c, runs)
@@ -222,7 +226,7 @@ def bits_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple
         h = np.repeat(h, n)
         h |= place
         slots.append(h)
-    return size, slots, turn
+    return trees.lengths[pair], slots, turn
 
 
 def _portions(texts: Iterator[bytes], most: int = 1 << 17) -> Iterator[list[bytes]]:
@@ -416,7 +420,7 @@ def stretch_of(place: np.ndarray) -> np.ndarray:
 
 def fit(docs: DataFrame, words: DataFrame) -> Model:
     """Trees of the training bytes and the three tables; what reaches the driver has a fixed size."""
-    trees = Trees.of(byte_pairs(words))
+    trees = Trees(byte_pairs(words))
     counts = bit_counts(docs, trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -447,7 +451,7 @@ def _least_count(words: DataFrame, head: int) -> int:
     return least
 
 
-def score_documents(docs: DataFrame, head: int = 200_000) -> DataFrame:
+def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte of every row."""
     spark = docs.sparkSession
     python_workers_see_library(spark)

@@ -164,7 +164,7 @@ def test_texts_are_scored_apart():
     rng = np.random.default_rng(3)
     texts = [m.spelled([b"w%d" % k for k in rng.integers(0, 300, n)]) for n in (0, 1, 5, 80, 2_000, 9_000)]
     raw = np.frombuffer(b" " + b"".join(texts) + b"\n", np.uint8).astype(int)
-    model = m.Model(m.Trees.of(np.bincount(raw[:-1] * 256 + raw[1:], minlength=1 << 16)), [rng.integers(0, 64_000, 1 << b).astype(np.uint16) for b in m.TABLE_BITS])
+    model = m.Model(m.Trees(np.bincount(raw[:-1] * 256 + raw[1:], minlength=1 << 16)), [rng.integers(0, 64_000, 1 << b).astype(np.uint16) for b in m.TABLE_BITS])
     together = model.score(texts)
     assert np.allclose(together, [model.score([t])[0] for t in texts], rtol=1e-12)
 
