@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lectern.llm import bpe, decontamination, quality_rules, secret_scan, simhash
-from lectern.llm._common import stage, table
+from lectern.llm._common import discard, stage, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; each is written once, and deleted when the next one is."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for k, (_, stage_of) in enumerate(STAGES):
         docs = stage_of(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stage(docs, "stage")
+            docs = docs if hasattr(docs, "staged_at") else stage(docs, "stage")
+            if held is not None:
+                discard(held)
+            held = docs
     return docs
