@@ -847,12 +847,23 @@ def html_title(spark, sf_dir):
     return extract.web_text(load(spark, sf_dir, "pages"), _PLAIN).select("page_id", "title")
 
 
-@query()
+def _page_sql(*dropped: str) -> str:
+    """Texts between tags, outside ``dropped`` elements, a line each; then cleaned."""
+    gone = "|".join(rf"<{x}\b.*?</{x}>" for x in dropped)
+    bare = f"regexp_replace(regexp_replace(html, '(?is){gone}', chr(10), 'g'), '(?s)<!--.*?-->|<[^>]*>', chr(10), 'g')"
+    for mark, said in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "'\"'"), ("&#x27;", "chr(39)"), ("&nbsp;", "chr(160)"), ("&copy;", "chr(169)"), ("&middot;", "chr(183)"), ("&amp;", "'&'")):
+        bare = f"replace({bare}, '{mark}', {said})"
+    return _strip(f"regexp_replace({_lines(bare)}, ' +', ' ', 'g')")
+
+
+@query(f"SELECT page_id, {_page_sql('script', 'style', 'nav', 'footer', 'header')} AS text FROM pages")
 def html_web_text(spark, sf_dir):
     return extract.web_text(load(spark, sf_dir, "pages"), _WHOLE).select("page_id", "text")
 
 
-@query()
+@query(
+    f"SELECT url AS source, {_page_sql('script', 'style')} AS text, true AS success, page_id || '.html_' || substring(sha256(html), 1, 16) AS file_hash FROM pages"
+)
 def html_file_text(spark, sf_dir):
     p = load(spark, sf_dir, "pages")
     files = p.select(F.col("url").alias("source"), F.concat(F.col("page_id").cast("string"), F.lit(".html")).alias("filename"), F.encode("html", "UTF-8").alias("content"))
