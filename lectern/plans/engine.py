@@ -82,3 +82,13 @@ def index_stats(chunks: DataFrame) -> DataFrame:
 
 def chunk_types(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy(F.coalesce("chunk_type", F.lit("unknown")).alias("chunk_type")).agg(F.count(F.lit(1)).alias("n_chunks"))
+
+
+def search_stats(index: Index) -> DataFrame:
+    """total_chunks, whether the lexical and vector indexes are there, and the size of the vectors."""
+    chunks = index.chunks.agg(F.count(F.lit(1)).alias("total_chunks"))
+    lexical = F.lit(index.postings is not None).alias("lexical_built")
+    if index.vectors is None:
+        return chunks.select("total_chunks", lexical, F.lit(False).alias("vectors_built"), F.lit(None).cast("long").alias("dimension"))
+    size = index.vectors.agg(F.max(F.size("embedding")).cast("long").alias("dimension"))
+    return chunks.crossJoin(F.broadcast(size)).select("total_chunks", lexical, F.lit(True).alias("vectors_built"), "dimension")

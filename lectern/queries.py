@@ -555,7 +555,8 @@ def hashing_embeddings(spark, sf_dir):
     from lectern.operators.embedding import embedded
 
     e = embedded(_items(spark, sf_dir), HashingEmbedder(), "query")
-    return e.select("query_id", F.size("embedding").alias("size"), F.size(normalised(F.col("embedding"))).alias("normalised"))
+    parts = F.transform(normalised(F.col("embedding")), lambda x: F.round(x, 5))
+    return e.select("query_id", F.size("embedding").alias("size"), parts.alias("normalised"))
 
 
 # Fusion: two lexical readings of the corpus (whole texts, and document ids in reverse) stand for the two lists
@@ -839,6 +840,33 @@ def chunk_type_stats(spark, sf_dir):
     return engine.chunk_types(chunking.exploded(_docs(spark, sf_dir), chunking.fixed_chunks(F.col("text")), "doc_id"))
 
 
+@query(
+    """SELECT count(*) AS total_chunks, true AS lexical_built, true AS vectors_built, max(len(embedding))::BIGINT AS dimension
+FROM documents JOIN embeddings ON doc_id = vec_id"""
+)
+def search_stats(spark, sf_dir):
+    return engine.search_stats(_vector_index(spark, sf_dir)[0])
+
+
+def _told_page(source: str) -> tuple[int, str, bytes]:
+    import hashlib
+
+    return 200, "text/html", f"<html><body><p>page {hashlib.md5(source.encode()).hexdigest()}</p></body></html>".encode()
+
+
+@query(
+    """SELECT DISTINCT url AS source, CASE WHEN md5(url) IN (SELECT md5(url) FROM pages WHERE page_id % 3 = 0) THEN 'kept before' ELSE 'page ' || md5(url) END AS text,
+  'web' AS url_type, 'success' AS status FROM pages"""
+)
+def cached_dispatch(spark, sf_dir):
+    """Every page's address through the cache, which holds a third of them, and a fetcher that tells the address's hash."""
+    sources = load(spark, sf_dir, "pages").select(F.col("url").alias("source"), "page_id")
+    held = sources.where(F.col("page_id") % 3 == 0).select("source").distinct()
+    cache = held.select(routing.cache_key(F.col("source")).alias("cache_key"), F.lit("kept before").alias("text"), F.lit("web").alias("url_type"))
+    done, _ = dispatch.cached_parse(sources.select("source"), _told_page, cache, _PLAIN)
+    return done.select("source", "text", "url_type", "status")
+
+
 # Extraction
 
 
