@@ -59,9 +59,10 @@ def jaccard_pairs(docs: DataFrame, threshold: float = 0.85, id_col: str = "doc_i
     meet under a token and a band of sizes, and only if the tokens left behind
     the one they share may still make them similar. Tokens are 64-bit hashes.
     """
-    sets = token_sets(docs, id_col, text).where(F.size("tokens") > 0)
+    sets = token_sets(docs, id_col, text)
     hashed = F.array_sort(F.transform("tokens", lambda x: F.xxhash64(x)))
     reps = staged(sets.select(F.col(id_col).alias("id"), "key", hashed.alias("h")).groupBy("key").agg(F.min("id").alias("id"), F.first("h").alias("h")), "sets")
+    reps = reps.where(F.size("h") > 0)  # only here, or the texts would be taken apart twice
     counts = reps.select(F.explode("h").alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > 1)
     frequent = sorted((r["x"], r["c"]) for r in counts.orderBy(F.desc("c"), "x").limit(known).collect())
     names, often = np.array([x for x, _ in frequent], np.int64), np.array([c for _, c in frequent], np.int64)
