@@ -9,6 +9,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session; a folder of our own only where none is set."""
@@ -25,8 +27,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/lectern-{uuid.uuid4().hex}/{name}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop.getParent())
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    # Without this, the shuffle files of a finished write stay until the driver happens to collect its garbage.
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(df.staged_at)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path.getParent(), True)
 
 
 def numbered(df: DataFrame, *order: str, name: str = "pos") -> DataFrame:

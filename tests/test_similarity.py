@@ -70,3 +70,29 @@ def test_joins_on_a_small_table(spark):
     assert {tuple(r) for r in N.containment_pairs(df).collect()} == {(1, 3), (7, 6)}
     got = {r["doc_id"]: (r["class_id"], r["class_size"]) for r in N.exact_classes(df).collect()}
     assert got[2] == (1, 2) and got[9] == (8, 2)
+
+
+def test_sets_do_not_travel_with_pairs(spark):
+    """Near copies meet in pairs that grow with their square; what is shuffled grows with the copies."""
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _near_copies(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+def _near_copies(spark):
+    words = [f"w{k:05d}" for k in range(4000)]
+    texts = {k: words[: 4000 - 4 * k] + [f"own{k}x{j}" for j in range(k % 7)] for k in range(120)} | {500: words[:2000], 501: ["w00001"], 502: []}
+    df = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "doc_id long, text string")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    moved = lambda: sum(store.executorList(True).apply(k).totalShuffleWrite() for k in range(store.executorList(True).size()))
+    before = moved()
+    got = {(r["id_a"], r["id_b"]): r["jaccard"] for r in N.jaccard_pairs(df).collect()}
+    assert moved() - before < 60e6, moved() - before
+    sets = {k: frozenset(t) for k, t in texts.items() if t}
+    want = {(a, b): S.set_jaccard(x, y) for a, x in sets.items() for b, y in sets.items() if a < b and S.set_jaccard(x, y) >= 0.85}
+    assert got == want and len(want) > 7000
+    cut = {(r["id_a"], r["id_b"]): r["jaccard"] for r in N.jaccard_pairs(df, room=500).collect()}
+    assert cut == want
