@@ -69,6 +69,13 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that few texts are Python's at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
 def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
     """(word, c, held): counts in training and held-out documents; the end token is the empty word.
 
@@ -86,7 +93,7 @@ def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *pair], names=["word", "c", "held"])
                 counts.clear()
 
-        for b in batches:
+        for b in _pieces(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 counts = seen[held_out(doc_id)]
                 counts.update(words_of(text))
@@ -246,12 +253,12 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
     """Portions of the training texts in (doc_id, text)."""
 
     def texts() -> Iterator[bytes]:
-        for b in batches:
+        for b in _pieces(batches):
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if not held_out(doc_id):
                     yield spelled(words_of(text))
 
-    return _portions(texts(), 1 << 20)
+    return _portions(texts(), 1 << 18)
 
 
 def byte_pairs(words: DataFrame) -> np.ndarray:
@@ -275,33 +282,43 @@ def byte_pairs(words: DataFrame) -> np.ndarray:
     return out
 
 
-def bit_counts(docs: DataFrame, trees: Trees) -> DataFrame:
+def bit_counts(docs: DataFrame, trees: Trees, most: int = 1 << 32) -> DataFrame:
     """(t, block, counts): how often each turn was taken in each slot of each table, along all training texts.
 
     The tables have a fixed size; they travel in blocks, 64 tasks' parts summed
-    first, one part in memory at a time.
+    first, one part in memory at a time. A task sends its tables before it has
+    counted ``most`` bits, which is what they hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        tables = [np.zeros(2 << bits, np.int64) for bits in TABLE_BITS]
-        for part in _learned(batches):
-            pair, _, _, contexts = contexts_of(part)
+        part, seen = TaskContext.get().partitionId() // 64, 0
+        tables = [np.zeros(2 << bits, np.uint32) for bits in TABLE_BITS]
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for k, t in enumerate(tables):
+                blocks = t.reshape(-1, 2 * _BLOCK)
+                for j in np.flatnonzero(blocks.any(axis=1)).tolist():
+                    yield _block(k, j, part, blocks[j])
+                t[:] = 0
+
+        for texts in _learned(batches):
+            pair, _, _, contexts = contexts_of(texts)
             for at in range(0, len(pair), 1 << 18):
                 few = slice(at, at + (1 << 18))
                 _, slots, turn = bits_of(pair[few], [c[few] for c in contexts], trees)
+                if seen + len(turn) >= most:
+                    yield from out()
+                    seen = 0
+                seen += len(turn)
                 for t, s in zip(tables, slots):
                     s <<= _U(1)
                     s |= turn
                     s.sort()
                     edge = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-                    t[s[edge[:-1]]] += np.diff(edge)
-        part = TaskContext.get().partitionId() // 64
-        for k, t in enumerate(tables):
-            blocks = t.reshape(-1, 2 * _BLOCK)
-            for j in np.flatnonzero(blocks.any(axis=1)).tolist():
-                yield _block(k, j, part, blocks[j])
+                    t[s[edge[:-1]]] += np.diff(edge).astype(np.uint32)
+        yield from out()
 
     parts = docs.mapInArrow(run, _BLOCKS)
     return _summed(_summed(parts).withColumn("part", F.lit(0).cast("long")))
@@ -500,10 +517,8 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             return pa.RecordBatch.from_arrays([ids, *arrays, lists], names=schema.names)
 
-        for b in batches:
-            for k in range(0, b.num_rows, 512):
-                part = b.slice(k, 512)
-                yield done(part.column(0), part.column(1).to_pylist())
+        for part in _pieces(batches):
+            yield done(part.column(0), part.column(1).to_pylist())
 
     scored = slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stage(scored, "scored")

@@ -250,3 +250,46 @@ def test_item_beside_a_repeated_word_is_found(spark):
     items = spark.createDataFrame(items, "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert d.contained_items(df, items).count() == 400
+
+
+class _Asked:
+    """Takes the place of a table and keeps the first function that it is given."""
+
+    run = None
+
+    def mapInArrow(self, run, schema):
+        self.run = self.run or run
+        return self
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+
+def test_counting_bits_takes_little_memory(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+    import pyspark
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda c: type("T", (), {"partitionId": lambda s: 0})()))
+    trees = m.Trees(np.ones(1 << 16, np.int64))
+    texts = [" ".join(f"w{(k * 7919 + j * j) % 50021}é" for j in range(400)) for k in range(2500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+
+    def counted(**more):
+        docs = _Asked()
+        m.bit_counts(docs, trees, **more)
+        total = {}
+        for b in docs.run(iter([batch])):
+            key = (b.column(0)[0].as_py(), b.column(1)[0].as_py())
+            total[key] = total.get(key, 0) + int(m._unpacked(b.column(3)[0].as_py()).astype(np.int64).sum())
+        return total
+
+    tracemalloc.start()
+    try:
+        whole = counted()
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 130e6, peak
+    assert counted(most=1 << 21) == whole  # sent before the tables are full
