@@ -34,12 +34,14 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +60,7 @@ _REACH, _FINE = 10, 800  # log-odds are held up to this size, in so many steps a
 _START, _RATE, _CALM = 0.4, 0.1, 20  # first weight, pace of learning, bits that a map's bucket waits for
 _FIRST, _LONGEST = 64, 4096  # bytes of a text's first stretch and of its longest ones
 _HEAD_BYTES = 64  # longer words are met by the join, so that the head's size is bounded
+_LANES = 4  # sums are taken in so many lanes, so that neighbours of one cell needn't wait for one another
 _BLOCK = 2048  # table slots that travel together
 
 
@@ -66,9 +69,25 @@ def held_out(doc_id) -> bool:
 
 
 def words_of(text: str | None) -> list[bytes]:
+    """The words of a text; :func:`_words` has them for many texts at once."""
     return (text or "").encode().lower().split()
 
 
+def _words(texts: pa.Array) -> pa.ListArray:
+    """Each text's words; a text without any has an empty one."""
+    return pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts.fill_null(""))))
+
+
+def _tokens(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, then an end token (the empty word) for each text; for every one of them its text."""
+    flat, owner = words.flatten().cast(pa.binary()), pc.list_parent_indices(words).to_numpy()
+    some = pc.not_equal(flat, b"")
+    if not pc.all(some).as_py():
+        flat, owner = flat.filter(some), owner[some.to_numpy(zero_copy_only=False)]
+    ended = pa.concat_arrays([flat, pa.repeat(pa.scalar(b"", pa.binary()), len(words))])
+    return ended, np.concatenate([owner, np.arange(len(words))])
+
+
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that few texts are Python's at once."""
     for b in batches:
@@ -76,30 +95,33 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield b.slice(k, rows)
 
 
-def word_counts(docs: DataFrame, room: int = 400_000) -> DataFrame:
+def word_counts(docs: DataFrame, room: int = 1 << 24) -> DataFrame:
     """(word, c, held): counts in training and held-out documents; the end token is the empty word.
 
-    Tasks count before anything is sent.
+    Tasks count ``room`` bytes of text before anything is sent.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+        seen: tuple[list, list] = ([], [])
+        size = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for k, counts in enumerate(seen):
-                values = pa.array(list(counts.values()), pa.int64())
-                zero = pa.array(np.zeros(len(counts), np.int64))
+            for k, parts in enumerate(seen):
+                words, values = pa.chunked_array(parts, pa.binary()).value_counts().flatten()
+                zero = pa.array(np.zeros(len(values), np.int64))
                 pair = [zero, values] if k else [values, zero]
-                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), *pair], names=["word", "c", "held"])
-                counts.clear()
+                yield pa.RecordBatch.from_arrays([words, *pair], names=["word", "c", "held"])
+                parts.clear()
 
         for b in _pieces(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                counts = seen[held_out(doc_id)]
-                counts.update(words_of(text))
-                counts[b""] += 1
-                if len(counts) >= room:
-                    yield from out()
+            apart = np.fromiter(map(held_out, b.column(0).to_pylist()), bool, b.num_rows)
+            for parts, mine in zip(seen, (~apart, apart)):
+                words, _ = _tokens(_words(b.column(1).filter(pa.array(mine))))
+                parts.append(words)
+                size += words.nbytes
+            if size >= room:
+                yield from out()
+                size = 0
         yield from out()
 
     counted = docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, held long")
@@ -132,8 +154,8 @@ def codes_of(lengths: np.ndarray) -> np.ndarray:
 class Trees:
     """A tree for each byte that may stand before, looked up at 256 times that byte plus the byte itself.
 
-    A byte's bits come in runs of four at most. A run has a number of bits, its
-    bits behind a leading one, and a hash of the bits of its byte before it.
+    A byte's bits come in runs of four at most. A run has its bits behind a
+    leading one, and a hash of the bits of its byte before it.
     """
 
     def __init__(self, pairs: np.ndarray):
@@ -147,16 +169,33 @@ class Trees:
         left = np.repeat(self.lengths, self.runs) - 4 * nth  # bits of the byte from a run on
         code = np.repeat(codes, self.runs)
         self.before = (code >> left.astype(np.uint32)) * _MIX[0]
-        self.size = np.minimum(left, 4)
-        one = _U(1) << self.size.astype(np.uint32)
-        self.own = (((code >> (left - self.size).astype(np.uint32)) & (one - _U(1))) | one).astype(np.uint8)
+        size = np.minimum(left, 4)
+        one = _U(1) << size.astype(np.uint32)
+        self.own = (((code >> (left - size).astype(np.uint32)) & (one - _U(1))) | one).astype(np.uint8)
+
+
+def _walks() -> np.ndarray:
+    """For a run's bits behind a leading one: each bit behind those before it and a one; 0 where a run has no more bits."""
+    out = np.zeros((32, 4), np.uint8)
+    for own in range(2, 32):
+        for k in range(own.bit_length() - 1):
+            out[own, k] = own >> (own.bit_length() - 2 - k)
+    return out.view(np.uint32).ravel()
+
+
+_WALKS = _walks()
 
 
 def spelled(words: list[bytes]) -> bytes:
-    """The words in order, each with a blank after it; :func:`bits_of` adds the line end."""
+    """The words in order, each with a blank after it; :func:`contexts_of` adds the line end."""
     return b"".join([w + b" " for w in words])
 
 
+def _spelled(words: pa.ListArray) -> list[bytes]:
+    """The same for each of many texts."""
+    return [w + b" " if w else w for w in pc.binary_join(words, " ").cast(pa.binary()).to_pylist()]
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = x * _MIX[0]
     x ^= x >> _U(15)
@@ -165,13 +204,12 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every byte of the texts and the line end after each: the byte and 256 times the one before, its text, its place there, its hashed contexts."""
+def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For every byte of the texts and the line end after each: the byte and 256 times the one before, its hashed contexts."""
     raw = np.frombuffer(b"".join([t + b"\n" for t in texts]), np.uint8)
     n = len(raw)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
     begin = np.cumsum(sizes) - sizes
-    place = np.arange(n, dtype=np.int32) - np.repeat(begin.astype(np.int32), sizes)
     wide = raw.astype(np.uint32)
 
     def back(k: int) -> np.ndarray:
@@ -199,41 +237,34 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     rolled = np.zeros(n + 1, np.uint32)
     np.cumsum((wide + _U(1)) * power[inside], dtype=np.uint32, out=rolled[1:])  # wraps around, as a hash may
     whole = np.concatenate([[_U(0)], np.diff(rolled[np.append(heads, n)])[:-1]])
-    whole[place[heads] == 0] = 0
+    whole[np.searchsorted(heads, begin)] = 0
     word = rolled[:-1] + np.repeat(_mixed(whole) - rolled[heads], lengths)
     contexts = [_mixed(x + salt) for x, salt in zip((near, far, word), _MIX)]
-    return pair.astype(np.uint16), np.repeat(np.arange(len(texts), dtype=np.int32), sizes), place, contexts
+    return pair.astype(np.uint16), contexts
 
 
-def bits_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
-    """How many bits each byte has; for every bit its slot in each table and its turn.
+def runs_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For every run of the bytes: its bits behind a leading one, and its place in each table.
 
-    Four bits of a byte share a run of 16 slots, which the context and the bits
-    before them pick: one place in memory to go to instead of four.
+    A place has 16 slots, one for each way that the bits of a run can begin: one
+    place in memory to go to instead of four.
     """
-    runs = trees.runs[pair]
+    pair = pair.astype(np.intp)
+    runs = trees.runs.take(pair)
     ends = np.cumsum(runs, dtype=np.int32)
-    run = np.repeat(trees.first[pair] - ends + runs, runs)
+    byte = np.repeat(np.arange(len(pair)), runs)
+    run = (trees.first.take(pair) - ends + runs).take(byte)
     run += np.arange(len(run), dtype=np.int32)
-    before, n = trees.before[run], trees.size[run]
-    after = np.repeat(np.cumsum(n, dtype=np.int32) - 1, n)
-    after -= np.arange(len(after), dtype=np.int32)
-    place = np.repeat(trees.own[run], n)
-    place >>= after.astype(np.uint8)
-    turn = place & np.uint8(1)
-    place = (place >> np.uint8(1)).astype(np.uint32)
-    slots = []
+    before = trees.before.take(run)
+    places = []
     for c, bits in zip(contexts, TABLE_BITS):
-        h = np.repeat(c, runs)
+        h = c.take(byte)
         h += before
         h ^= h >> _U(15)
         h *= _MIX[1]
         h >>= _U(36 - bits)
-        h <<= _U(4)
-        h = np.repeat(h, n)
-        h |= place
-        slots.append(h)
-    return trees.lengths[pair], slots, turn
+        places.append(h)
+    return trees.own.take(run), places
 
 
 def _portions(texts: Iterator[bytes], most: int = 1 << 17) -> Iterator[list[bytes]]:
@@ -254,9 +285,8 @@ def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[list[bytes]]:
 
     def texts() -> Iterator[bytes]:
         for b in _pieces(batches):
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not held_out(doc_id):
-                    yield spelled(words_of(text))
+            learned = [not held_out(x) for x in b.column(0).to_pylist()]
+            yield from _spelled(_words(b.column(1).filter(pa.array(learned, pa.bool_()))))
 
     return _portions(texts(), 1 << 18)
 
@@ -298,32 +328,42 @@ def bit_counts(docs: DataFrame, trees: Trees, most: int = 1 << 32) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             for k, t in enumerate(tables):
+                _add_beginnings(t)
                 blocks = t.reshape(-1, 2 * _BLOCK)
                 for j in np.flatnonzero(blocks.any(axis=1)).tolist():
                     yield _block(k, j, part, blocks[j])
                 t[:] = 0
 
         for texts in _learned(batches):
-            pair, _, _, contexts = contexts_of(texts)
-            for at in range(0, len(pair), 1 << 18):
-                few = slice(at, at + (1 << 18))
-                _, slots, turn = bits_of(pair[few], [c[few] for c in contexts], trees)
-                if seen + len(turn) >= most:
+            pair, contexts = contexts_of(texts)
+            for at in range(0, len(pair), 1 << 16):
+                few = slice(at, at + (1 << 16))
+                own, places = runs_of(pair[few], [c[few] for c in contexts], trees)
+                if seen + len(own) >= most:
                     yield from out()
                     seen = 0
-                seen += len(turn)
-                for t, s in zip(tables, slots):
-                    s <<= _U(1)
-                    s |= turn
-                    s.sort()
-                    edge = np.concatenate([[0], np.flatnonzero(s[1:] != s[:-1]) + 1, [len(s)]])
-                    t[s[edge[:-1]]] += np.diff(edge).astype(np.uint32)
+                seen += len(own)
+                for t, s in zip(tables, places):
+                    s <<= _U(5)
+                    s |= own
+                    np.add.at(t, s.astype(np.intp), _U(1))
         yield from out()
 
     parts = docs.mapInArrow(run, _BLOCKS)
     return _summed(_summed(parts).withColumn("part", F.lit(0).cast("long")))
 
 
+def _add_beginnings(runs: np.ndarray) -> None:
+    """From counts of whole runs at their place to counts of every turn in them, where they are.
+
+    A run's bits behind a leading one are the place among 32 of its last turn;
+    each turn before it has the place that is left without the bits behind.
+    """
+    by = runs.reshape(-1, 32)
+    for v in range(15, 1, -1):
+        by[:, v] += by[:, 2 * v] + by[:, 2 * v + 1]
+
+
 _BLOCKS = "t long, block long, part long, counts binary"
 
 
@@ -372,67 +412,116 @@ class Model:
     trees: Trees
     tables: list[np.ndarray]
 
+    @cached_property
+    def places(self) -> list[np.ndarray]:
+        """The tables by their places of 16 slots, each of which lies in one line of the cache."""
+        out = []
+        for t in self.tables:
+            room = np.empty(t.nbytes + 64, np.uint8)
+            at = -room.ctypes.data % 64
+            room[at : at + t.nbytes] = t.view(np.uint8)
+            out.append(room[at : at + t.nbytes].view("V32"))
+        return out
+
     def score(self, texts: list[bytes]) -> np.ndarray:
         """log10 probability of each spelled text.
 
         The texts go side by side, stretch by stretch; each has its own weights
         and map, so none sees another.
         """
-        pair, owner, place, contexts = contexts_of(texts)
-        stretch = stretch_of(place)
-        order = np.argsort(stretch, kind="stable")
-        pair, owner, contexts = pair[order], owner[order], [c[order] for c in contexts]
+        pair, contexts = contexts_of(texts)
+        owner, order, sizes, ends = _stretches(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        pair, contexts = pair.take(order), [c.take(order) for c in contexts]
+        edges = np.cumsum(sizes) - sizes
+        n_bits = np.add.reduceat(self.trees.lengths.take(pair), edges, dtype=np.int64)
+        edges = [*edges.tolist(), len(pair)]
         n, k_all = len(texts), len(self.tables)
         weights = np.full((k_all, n * _GATES), _START, np.float32)
         pace = np.full((k_all, n * _GATES), 1e-4)
         bend = np.zeros(n * _STEPS, np.float32)
         out = np.zeros(n)
-        ends = np.cumsum(np.bincount(stretch)).tolist()
-        for a, b in zip([0, *ends], ends):
-            if a == b:
-                continue
-            size, slots, turn = bits_of(pair[a:b], [c[a:b] for c in contexts], self.trees)
-            whose = np.repeat(owner[a:b], size)
-            gate, odds = whose.copy(), []
-            for k, (table, s) in enumerate(zip(self.tables, slots)):
-                held = table.take(s)
-                if k:
-                    gate <<= 2
-                    gate |= held & 3
-                held >>= 2
+        lanes = np.arange(int(np.add.reduceat(n_bits, [0, *ends[:-1]]).max())) % _LANES * (n * _STEPS)
+        for i, j in zip([0, *ends], ends):
+            few = slice(edges[i], edges[j])
+            own, places = runs_of(pair[few], [c[few] for c in contexts], self.trees)
+            there, sizes = owner[i:j], n_bits[i:j]
+            first = np.cumsum(sizes) - sizes
+            walks = _WALKS.take(own).view(np.uint8)
+            slot = np.flatnonzero(walks != 0)
+            walk = walks.take(slot)
+            turn = walk & np.uint8(1)
+            walk >>= np.uint8(1)
+            slot &= ~3
+            slot <<= 2
+            slot |= walk
+            gate, odds = None, []
+            for table, s in zip(self.places, places):
+                held = table.take(s).view(np.uint16).take(slot)
+                if odds:
+                    degree = held & np.uint16(3)
+                    gate = degree if gate is None else (gate << np.uint16(2)) | degree
+                held >>= np.uint16(2)
                 held = held.astype(np.float32)
                 held *= np.float32(1 / _FINE)
                 held -= np.float32(_REACH)
                 odds.append(held)
-            x = weights[0].take(gate) * odds[0]
+            cell = np.repeat(there * _GATES, sizes)
+            cell += gate
+            x = weights[0].take(cell)
+            x *= odds[0]
             for k in range(1, k_all):
-                x += weights[k].take(gate) * odds[k]
+                part = weights[k].take(cell)
+                part *= odds[k]
+                x += part
             np.clip(x, np.float32(-11.99), np.float32(11.99), out=x)
-            step = whose * _STEPS
-            step += (x + np.float32(12)).astype(np.int32)
+            step = np.repeat(there * _STEPS, sizes)
+            step += (x + np.float32(12)).astype(np.int8)
             x += bend.take(step)
-            miss = turn - 1 / (1 + np.exp(-x))
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += np.float32(1)
+            np.reciprocal(x, out=x)
+            miss = np.subtract(turn, x, out=x)
             p = np.maximum(np.float32(1) - np.abs(miss), np.float32(1e-6))  # of the turn taken
-            miss = miss.astype(np.float64)
-            first = np.concatenate([[0], np.flatnonzero(whose[1:] != whose[:-1]) + 1])
-            out[whose[first]] += np.add.reduceat(np.log10(p).astype(np.float64), first)
-            mass = np.bincount(gate, minlength=n * _GATES)
+            out[there] += np.add.reduceat(np.log10(p, out=p), first, dtype=float)
+            cell += lanes[: len(cell)]
+            mass = _sums(cell, None, n)[: n * _GATES]
             met = np.flatnonzero(mass)
             for k in range(k_all):
-                slope = np.bincount(gate, miss * odds[k], n * _GATES)[met] / mass[met]
+                odds[k] *= miss
+                slope = _sums(cell, odds[k], n)[met] / mass[met]
                 pace[k, met] += slope * slope
                 weights[k, met] += (_RATE * slope / np.sqrt(pace[k, met])).astype(np.float32)
-            mass = np.bincount(step, minlength=n * _STEPS)
+            step += lanes[: len(step)]
+            mass = _sums(step, None, n)
             met = np.flatnonzero(mass)
-            bend[met] += (np.bincount(step, miss, n * _STEPS)[met] / (mass[met] + _CALM)).astype(np.float32)
+            bend[met] += (_sums(step, miss, n)[met] / (mass[met] + _CALM)).astype(np.float32)
         return out
 
 
-def stretch_of(place: np.ndarray) -> np.ndarray:
-    """Number of the stretch that each place of a text belongs to."""
-    doubling = int(np.log2(_LONGEST // _FIRST)) + 1
-    edges = _FIRST << np.arange(doubling)
-    return np.where(place < _LONGEST, np.searchsorted(edges, place, "right"), doubling - 1 + place // _LONGEST).astype(np.int32)
+def _sums(at: np.ndarray, what: np.ndarray | None, n: int) -> np.ndarray:
+    """How many, or the sum of ``what``, for each cell of ``n`` texts, from places in ``_LANES`` copies of these cells."""
+    return np.bincount(at, what, n * _STEPS * _LANES).reshape(_LANES, -1).sum(axis=0)
+
+
+def _stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+    """Texts of these many bytes cut into their stretches, all first ones first, then all second ones and so on.
+
+    The text of each piece, the place of each byte of the pieces in the joined texts, the pieces' sizes, and where each stretch's pieces end.
+    """
+    doubling = (_LONGEST // _FIRST).bit_length() - 1
+    opens = np.concatenate([[0], _FIRST << np.arange(doubling), np.arange(_LONGEST, max(int(sizes.max()), _LONGEST) + 1, _LONGEST)])
+    count = np.searchsorted(opens, sizes, "left")  # stretches that open before the text ends
+    owner = np.repeat(np.arange(len(sizes)), count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    by = np.argsort(nth, kind="stable")
+    owner, nth = owner[by], nth[by]
+    begin = opens[nth]
+    size = np.minimum(np.append(opens, sizes.max())[nth + 1], sizes[owner]) - begin
+    begin += (np.cumsum(sizes) - sizes)[owner]
+    order = np.repeat(begin - (np.cumsum(size) - size), size)
+    order += np.arange(len(order))
+    return owner, order, size, np.cumsum(np.bincount(nth)).tolist()
 
 
 def fit(docs: DataFrame, words: DataFrame) -> Model:
@@ -481,7 +570,7 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
     often = (F.length("word") <= _HEAD_BYTES) & (F.col("c") >= _least_count(words, head))
     top = {bytes(r["word"]): r["c"] for r in words.where(often).select("word", "c").collect()}
     rest = words.where(~often).select("word", "c")
-    known = spark.sparkContext.broadcast({w: (math.log10(c + 0.1), c > 0) for w, c in top.items()})
+    known = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in top.items()})
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_sum", T.DoubleType())]
@@ -491,34 +580,34 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = known.value
 
-        def done(ids: pa.Array, texts: list) -> pa.RecordBatch:
-            rows, left_words, left_counts, ends, whole = [], [], [], [0], []
-            for doc_id, text in zip(ids.to_pylist(), texts):
-                mine = words_of(text)
-                counts = Counter(mine)
-                counts[b""] = 1
-                n, total = 0, 0.0
-                whole.append(spelled(mine))
-                for w, k in counts.items():
-                    found = table.get(w)
-                    if found is None:
-                        left_words.append(w)
-                        left_counts.append(k)
-                    else:
-                        n += k * found[1]
-                        total += k * found[0]
-                ends.append(len(left_words))
-                rows.append((held_out(doc_id), len(mine) + 1, n, total, len(whole[-1]) + 1))
-            scores = np.concatenate([model.value.score(part) for part in _portions(whole)])
-            kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-            arrays = [pa.array(c, t) for c, t in zip(zip(*rows), kinds)]
-            arrays.insert(4, pa.array(scores, pa.float64()))
-            pairs = pa.StructArray.from_arrays([pa.array(left_words, pa.binary()), pa.array(left_counts, pa.int64())], names=["w", "k"])
+        def done(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+            words, n = _words(texts), len(ids)
+            whole = _spelled(words)
+            tokens, owner = _tokens(words)
+            tokens = tokens.dictionary_encode()
+            code, kinds = tokens.indices.to_numpy(), tokens.dictionary
+            found = np.fromiter(map(table.get, kinds.to_pylist(), repeat(math.nan)), float, len(kinds))
+            value = found.take(code)
+            left = np.isnan(value)
+            # The words of a text that are met by the join, each once, with how often it has it.
+            pair, times = np.unique(owner[left].astype(np.int64) * len(kinds) + code[left], return_counts=True)
+            ends = np.searchsorted(pair, np.arange(n + 1) * len(kinds))
+            left_words = kinds.take(pa.array(pair % max(len(kinds), 1)))
+            value[left] = 0
+            arrays = [
+                pa.array([held_out(x) for x in ids.to_pylist()], pa.bool_()),
+                pa.array(np.bincount(owner, minlength=n)),
+                pa.array(np.bincount(owner[value > 0], minlength=n)),  # a count of 0 has a logarithm below 0
+                pa.array(np.bincount(owner, value, n)),
+                pa.array(np.concatenate([model.value.score(part) for part in _portions(whole)])),
+                pa.array([len(w) + 1 for w in whole], pa.int64()),
+            ]
+            pairs = pa.StructArray.from_arrays([left_words, pa.array(times, pa.int64())], names=["w", "k"])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
             return pa.RecordBatch.from_arrays([ids, *arrays, lists], names=schema.names)
 
         for part in _pieces(batches):
-            yield done(part.column(0), part.column(1).to_pylist())
+            yield done(part.column(0), part.column(1))
 
     scored = slim.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
     scored = stage(scored, "scored")
