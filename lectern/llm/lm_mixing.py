@@ -193,7 +193,7 @@ def spelled(words: list[bytes]) -> bytes:
 
 def _spelled(words: pa.ListArray) -> list[bytes]:
     """The same for each of many texts."""
-    return [w + b" " if w else w for w in pc.binary_join(words, " ").cast(pa.binary()).to_pylist()]
+    return [w + b" " if w else w for w in pc.binary_join(words, pa.scalar(" ", words.type.value_type)).cast(pa.binary()).to_pylist()]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
