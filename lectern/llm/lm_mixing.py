@@ -172,6 +172,7 @@ class Trees:
         size = np.minimum(left, 4)
         one = _U(1) << size.astype(np.uint32)
         self.own = (((code >> (left - size).astype(np.uint32)) & (one - _U(1))) | one).astype(np.uint8)
+        self.own_first = self.own[self.first]
 
 
 def _walks() -> np.ndarray:
@@ -246,25 +247,29 @@ def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
 def runs_of(pair: np.ndarray, contexts: list[np.ndarray], trees: Trees) -> tuple[np.ndarray, list[np.ndarray]]:
     """For every run of the bytes: its bits behind a leading one, and its place in each table.
 
-    A place has 16 slots, one for each way that the bits of a run can begin: one
-    place in memory to go to instead of four.
+    All bytes' first runs, then the few others in their order. A place has 16
+    slots, one for each way that the bits of a run can begin: one place in
+    memory to go to instead of four.
     """
     pair = pair.astype(np.intp)
-    runs = trees.runs.take(pair)
-    ends = np.cumsum(runs, dtype=np.int32)
-    byte = np.repeat(np.arange(len(pair)), runs)
-    run = (trees.first.take(pair) - ends + runs).take(byte)
+    own = trees.own_first.take(pair)
+    more = np.flatnonzero(trees.runs.take(pair) > 1)
+    pair = pair.take(more)
+    runs = trees.runs.take(pair) - 1
+    byte = np.repeat(more, runs)
+    run = np.repeat(trees.first.take(pair) + 1 - np.cumsum(runs, dtype=np.int32) + runs, runs)
     run += np.arange(len(run), dtype=np.int32)
     before = trees.before.take(run)
     places = []
     for c, bits in zip(contexts, TABLE_BITS):
-        h = c.take(byte)
-        h += before
+        h = np.concatenate([c, c.take(byte)])
+        h[: len(c)] += _MIX[0]  # no bits before, behind a one
+        h[len(c) :] += before
         h ^= h >> _U(15)
         h *= _MIX[1]
         h >>= _U(36 - bits)
         places.append(h)
-    return trees.own.take(run), places
+    return np.concatenate([own, trees.own.take(run)]), places
 
 
 def _portions(texts: Iterator[bytes], most: int = 1 << 17) -> Iterator[list[bytes]]:
@@ -433,18 +438,24 @@ class Model:
         owner, order, sizes, ends = _stretches(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         pair, contexts = pair.take(order), [c.take(order) for c in contexts]
         edges = np.cumsum(sizes) - sizes
-        n_bits = np.add.reduceat(self.trees.lengths.take(pair), edges, dtype=np.int64)
+        lengths = self.trees.lengths.take(pair)
+        n_bits = np.add.reduceat(lengths, edges, dtype=np.int64)
+        n_first = np.add.reduceat(np.minimum(lengths, 4), edges, dtype=np.int64)
         edges = [*edges.tolist(), len(pair)]
         n, k_all = len(texts), len(self.tables)
-        weights = np.full((k_all, n * _GATES), _START, np.float32)
-        pace = np.full((k_all, n * _GATES), 1e-4)
-        bend = np.zeros(n * _STEPS, np.float32)
+        cells = n * _STEPS  # of a text's, the first _GATES have weights
+        weights = np.full((k_all, cells), _START, np.float32)
+        pace = np.full((k_all, cells), 1e-4)
+        bend = np.zeros(cells, np.float32)
         out = np.zeros(n)
-        lanes = np.arange(int(np.add.reduceat(n_bits, [0, *ends[:-1]]).max())) % _LANES * (n * _STEPS)
+        lanes = (np.arange(int(np.add.reduceat(n_bits, [0, *ends[:-1]]).max())) & (_LANES - 1)) * cells
+        room = np.empty(0, "V32")
         for i, j in zip([0, *ends], ends):
             few = slice(edges[i], edges[j])
             own, places = runs_of(pair[few], [c[few] for c in contexts], self.trees)
-            there, sizes = owner[i:j], n_bits[i:j]
+            there = np.concatenate([owner[i:j], owner[i:j]])
+            sizes = np.concatenate([n_first[i:j], n_bits[i:j] - n_first[i:j]])
+            there, sizes = there[sizes > 0], sizes[sizes > 0]
             first = np.cumsum(sizes) - sizes
             walks = _WALKS.take(own).view(np.uint8)
             slot = np.flatnonzero(walks != 0)
@@ -455,8 +466,10 @@ class Model:
             slot <<= 2
             slot |= walk
             gate, odds = None, []
+            if len(own) > len(room):
+                room = np.empty(len(own), "V32")
             for table, s in zip(self.places, places):
-                held = table.take(s).view(np.uint16).take(slot)
+                held = table.take(s, out=room[: len(s)], mode="clip").view(np.uint16).take(slot)
                 if odds:
                     degree = held & np.uint16(3)
                     gate = degree if gate is None else (gate << np.uint16(2)) | degree
@@ -465,43 +478,43 @@ class Model:
                 held *= np.float32(1 / _FINE)
                 held -= np.float32(_REACH)
                 odds.append(held)
-            cell = np.repeat(there * _GATES, sizes)
-            cell += gate
-            x = weights[0].take(cell)
+            base = np.repeat(there * _STEPS, sizes)
+            base += lanes[: len(base)]
+            cell = base + gate
+            weight = np.tile(weights, _LANES)
+            x = weight[0].take(cell)
             x *= odds[0]
             for k in range(1, k_all):
-                part = weights[k].take(cell)
+                part = weight[k].take(cell)
                 part *= odds[k]
                 x += part
             np.clip(x, np.float32(-11.99), np.float32(11.99), out=x)
-            step = np.repeat(there * _STEPS, sizes)
-            step += (x + np.float32(12)).astype(np.int8)
-            x += bend.take(step)
+            step = base
+            step += (x + np.float32(12)).astype(np.int32)
+            x += np.tile(bend, _LANES).take(step)
             np.negative(x, out=x)
             np.exp(x, out=x)
             x += np.float32(1)
             np.reciprocal(x, out=x)
             miss = np.subtract(turn, x, out=x)
             p = np.maximum(np.float32(1) - np.abs(miss), np.float32(1e-6))  # of the turn taken
-            out[there] += np.add.reduceat(np.log10(p, out=p), first, dtype=float)
-            cell += lanes[: len(cell)]
-            mass = _sums(cell, None, n)[: n * _GATES]
+            out += np.bincount(there, np.add.reduceat(np.log10(p, out=p).astype(np.float64), first), n)
+            mass = _sums(cell, None, cells)
             met = np.flatnonzero(mass)
             for k in range(k_all):
                 odds[k] *= miss
-                slope = _sums(cell, odds[k], n)[met] / mass[met]
+                slope = _sums(cell, odds[k], cells)[met] / mass[met]
                 pace[k, met] += slope * slope
                 weights[k, met] += (_RATE * slope / np.sqrt(pace[k, met])).astype(np.float32)
-            step += lanes[: len(step)]
-            mass = _sums(step, None, n)
+            mass = _sums(step, None, cells)
             met = np.flatnonzero(mass)
-            bend[met] += (_sums(step, miss, n)[met] / (mass[met] + _CALM)).astype(np.float32)
+            bend[met] += (_sums(step, miss, cells)[met] / (mass[met] + _CALM)).astype(np.float32)
         return out
 
 
 def _sums(at: np.ndarray, what: np.ndarray | None, n: int) -> np.ndarray:
-    """How many, or the sum of ``what``, for each cell of ``n`` texts, from places in ``_LANES`` copies of these cells."""
-    return np.bincount(at, what, n * _STEPS * _LANES).reshape(_LANES, -1).sum(axis=0)
+    """How many, or the sum of ``what``, for each of ``n`` cells, from places in ``_LANES`` copies of them."""
+    return np.bincount(at, what, n * _LANES).reshape(_LANES, -1).sum(axis=0)
 
 
 def _stretches(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:

@@ -330,7 +330,7 @@ def test_counting_and_scoring_cost_little(spark, monkeypatch):
     sorting = least(lambda: [np.sort(x) for x in blocks])
     counting = least(lambda: [None for _ in docs.run(iter([batch]))])
     scoring = least(lambda: [model.score(x) for x in m._portions(iter(whole))])
-    assert counting < 3.6 * sorting and scoring < 4.7 * sorting, (counting, scoring, sorting)
+    assert counting < 3.2 * sorting and scoring < 4.6 * sorting, (counting, scoring, sorting)
 
 
 def test_words_of_many_texts():
