@@ -37,7 +37,6 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -302,7 +301,7 @@ def byte_pairs(words: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16)
         for b in batches:
-            ended = [b" " + w + b" " if w else b" \n" for w in b.column(0).to_pylist()]
+            ended = [b" " + w + b" " if w else b" \n" for w in b.column(0).to_numpy(zero_copy_only=False)]
             sizes = np.fromiter(map(len, ended), np.int64, len(ended))
             raw = np.frombuffer(b"".join(ended), np.uint8).astype(np.int64)
             each = np.repeat(b.column(1).to_numpy().astype(float), sizes)
@@ -581,9 +580,10 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
     n_train, n_distinct = int(sums[0]), int(sums[1])
     model = spark.sparkContext.broadcast(fit(slim, learned))
     often = (F.length("word") <= _HEAD_BYTES) & (F.col("c") >= _least_count(words, head))
-    top = {bytes(r["word"]): r["c"] for r in words.where(often).select("word", "c").collect()}
+    top = words.where(often).select("word", "c").collect()
     rest = words.where(~often).select("word", "c")
-    known = spark.sparkContext.broadcast({w: math.log10(c + 0.1) for w, c in top.items()})
+    logs = np.array([*(math.log10(r["c"] + 0.1) for r in top), math.nan])
+    known = spark.sparkContext.broadcast((pa.array([bytes(r["word"]) for r in top], pa.binary()), logs))
     kind = slim.schema["doc_id"].dataType
     tail = T.ArrayType(T.StructType([T.StructField("w", T.BinaryType()), T.StructField("k", T.LongType())]))
     fields = [("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_head", T.LongType()), ("head_sum", T.DoubleType())]
@@ -591,7 +591,7 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(*f) for f in fields]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = known.value
+        head_words, head_logs = known.value
 
         def done(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             words, n = _words(texts), len(ids)
@@ -599,8 +599,8 @@ def score_documents(docs: DataFrame, head: int = 65_536) -> DataFrame:
             tokens, owner = _tokens(words)
             tokens = tokens.dictionary_encode()
             code, kinds = tokens.indices.to_numpy(), tokens.dictionary
-            found = np.fromiter(map(table.get, kinds.to_pylist(), repeat(math.nan)), float, len(kinds))
-            value = found.take(code)
+            found = pc.index_in(kinds, value_set=head_words).fill_null(len(head_words)).to_numpy()
+            value = head_logs.take(found).take(code)
             left = np.isnan(value)
             # The words of a text that are met by the join, each once, with how often it has it.
             pair, times = np.unique(owner[left].astype(np.int64) * len(kinds) + code[left], return_counts=True)
