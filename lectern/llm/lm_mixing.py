@@ -88,10 +88,11 @@ def _tokens(words: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Few rows at a time, so that few texts are Python's at once."""
+    """Few rows at a time, so that few texts are Python's at once; Arrow gives back what it holds beside the last batch."""
     for b in batches:
         for k in range(0, b.num_rows, rows):
             yield b.slice(k, rows)
+        pa.default_memory_pool().release_unused()
 
 
 def word_counts(docs: DataFrame, room: int = 1 << 24) -> DataFrame:
@@ -122,6 +123,7 @@ def word_counts(docs: DataFrame, room: int = 1 << 24) -> DataFrame:
                 yield from out()
                 size = 0
         yield from out()
+        pa.default_memory_pool().release_unused()
 
     counted = docs.select("doc_id", "text").mapInArrow(run, "word binary, c long, held long")
     return counted.groupBy("word").agg(F.sum("c").alias("c"), F.sum("held").alias("held"))
